@@ -72,3 +72,12 @@ def drop_rows(docs: DataFrame, gone: DataFrame, bound: int = BROADCAST_BYTES) ->
 def fold(doc_id: str, modulus: int):
     """``crc32(doc_id as text) mod modulus``; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, use, most: int) -> DataFrame:
+    """``doc_id, text, y`` of at most ``most`` documents with a label 0 or 1, chosen by a hash of the id among those for
+    which ``use`` holds: the bounded sample that classifiers are fitted on. Null texts count as empty."""
+    y = F.col(label).cast("int")
+    chosen = labels.where(use & y.isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("_id"), y.alias("y")).distinct()
+    chosen = chosen.orderBy(F.xxhash64("_id"), "_id", "y").limit(most)  # so small enough to broadcast
+    return keyed(docs).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "y")

@@ -273,5 +273,6 @@ def op9_prefix_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(found)
 
 
-def digests(found: DataFrame) -> DataFrame:
-    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+def digests(found: DataFrame, *more: str) -> DataFrame:
+    """The digest columns of ``encode_and_decode`` rows, and the columns named."""
+    return found.select("doc_id", *more, F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

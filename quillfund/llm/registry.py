@@ -1,9 +1,28 @@
 """Queries of this subpackage and their SQL, for the driver's entry module."""
 
+import corpus_pipeline
+from quillfund.llm.collision_counting import op2_collision_counting
+from quillfund.llm.line_crf import op8_line_crf
 from quillfund.llm.pieces import op9_prefix_table
 from quillfund.llm.simhash import op3_simhash
+from quillfund.llm.spaced_seeds import op10_spaced_seeds
 from quillfund.llm.suffix_buckets import op6_suffix_buckets
 from quillfund.llm.suffix_trees import OP4_SQL, op4_suffix_trees
+from quillfund.llm.surrogates import op1_surrogates
+from quillfund.llm.warc import OP7_SQL, op7_warc_revisits
+from quillfund.llm.weak_toxicity import op5_weak_toxicity
 
-QUERIES = {"op3_simhash": op3_simhash, "op4_suffix_trees": op4_suffix_trees, "op6_suffix_buckets": op6_suffix_buckets, "op9_prefix_table": op9_prefix_table}
-ORACLE_SQL = {"op4_suffix_trees": OP4_SQL}
+QUERIES = {
+    "op1_surrogates": op1_surrogates,
+    "op2_collision_counting": op2_collision_counting,
+    "op3_simhash": op3_simhash,
+    "op4_suffix_trees": op4_suffix_trees,
+    "op5_weak_toxicity": op5_weak_toxicity,
+    "op6_suffix_buckets": op6_suffix_buckets,
+    "op7_warc_revisits": op7_warc_revisits,
+    "op8_line_crf": op8_line_crf,
+    "op9_prefix_table": op9_prefix_table,
+    "op10_spaced_seeds": op10_spaced_seeds,
+    "pipeline": corpus_pipeline.run,
+}
+ORACLE_SQL = {"op4_suffix_trees": OP4_SQL, "op7_warc_revisits": OP7_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

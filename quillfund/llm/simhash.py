@@ -240,8 +240,8 @@ def keep_one(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """``docs`` with one row of each near-duplicate group: that of the group's ``component_id``; if rows with different
     texts share that id, the text with the smallest hash; of repeated rows, one."""
     rows = written(near_duplicates(docs, distance), "near-duplicates")
-    stays = rows.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("t").alias("stay"))
-    goes = rows.join(stays, rows["component_id"].eqNullSafe(stays["component_id"])).where(~(F.col("doc_id").eqNullSafe(rows["component_id"]) & (F.col("t") == F.col("stay"))))
+    stays = rows.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("component_id").alias("group")).agg(F.min("t").alias("stay"))
+    goes = rows.join(stays, F.col("component_id").eqNullSafe(F.col("group"))).where(~(F.col("doc_id").eqNullSafe(F.col("group")) & (F.col("t") == F.col("stay"))))
     kept = drop_rows(docs, goes.select("doc_id", "t").distinct())
     again = rows.groupBy("doc_id", "t").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     return kept if again.isEmpty() else kept.dropDuplicates(["doc_id", "text"])

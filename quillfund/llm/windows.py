@@ -73,21 +73,22 @@ def byte_units(data: np.ndarray) -> np.ndarray:
     return BYTE_VALUES[data]
 
 
-def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where the words ``[^\\x20\\x09-\\x0D]+`` of UTF-8 text begin and end."""
-    space = np.ones(len(data) + 2, np.int8)
-    space[1:-1] = _SPACE[data]
-    edges = np.flatnonzero(space[1:] != space[:-1])
+def word_bounds(data: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of UTF-8 text begin and end; bytes marked in ``between`` are no part of words. By default words
+    are ``[^\\x20\\x09-\\x0D]+``."""
+    gap = np.ones(len(data) + 2, np.int8)
+    gap[1:-1] = between[data]
+    edges = np.flatnonzero(gap[1:] != gap[:-1])
     return edges[::2], edges[1::2]
 
 
-def word_units(data: np.ndarray) -> np.ndarray:
+def word_units(data: np.ndarray, between: np.ndarray = _SPACE) -> np.ndarray:
     """A 64-bit hash of each word of UTF-8 text."""
-    begin, end = word_bounds(data)
+    begin, end = word_bounds(data, between)
     if not len(begin):
         return np.zeros(0, np.uint64)
     values = BYTE_VALUES[data]
-    values[_SPACE[data]] = 0
+    values[between[data]] = 0
     place = np.arange(begin[0], len(data)) - np.repeat(begin, np.diff(np.append(begin, len(data))))
     up = powers(int(place.max()) + 1)[0]
     sums = np.add.reduceat(values[begin[0] :] * up[place], begin - begin[0])

@@ -1,0 +1,68 @@
+"""PII surrogates: detection, form, coreference, distinctness."""
+
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from quillfund.llm import surrogates
+from quillfund.llm.surrogates import _checked, detect, normal, redraws, replace_pii, surrogate
+
+DOCS = "doc_id long, text string, n_chars long, items string, t string"
+KEY = b"key"
+TEXT = 'Mail that.92@mail2.example.com or THAT.92@MAIL2.EXAMPLE.COM!! call +1 (499) 555-6503%%% from 10.0.0.255, card 4111111111111111, token = "1eb9c654e721b4f812088970e66a6345cee33dd6"### Mrs. Anna Smith met Mr Пётр Иванов. SSN 078-05-1120, GB82 WEST 1234 5698 7654 32.'
+
+
+def test_detects_all_kinds_and_nothing_in_prose():
+    kinds = [k for _, _, k in detect(TEXT)]
+    assert kinds == ["email", "email", "phone", "ip", "card", "secret", "name-f", "name-m", "ssn", "iban"]
+    for clean in ("Licensed under CC BY-NC 4.0.", "the GNU General Public License, version 3.", "a @ b, 12 of 1999-2000, v1.2.3.4.5, key value", "", "Thing to from 123456789012"):
+        assert detect(clean) == []
+
+
+def test_surrogates_keep_form_and_coreference():
+    for begin, end, kind in detect(TEXT):
+        value = TEXT[begin:end]
+        fresh = surrogate(KEY, kind, value)
+        assert fresh != value and surrogate(KEY, kind, value) == fresh != surrogate(b"other", kind, value)
+        assert [k for _, _, k in detect(TEXT.replace(value, fresh))] == [k for _, _, k in detect(TEXT)]
+        if kind not in ("name-f", "name-m"):
+            assert re.sub(r"\d", "9", re.sub(r"[^\W\d_]", "a", fresh)) == re.sub(r"\d", "9", re.sub(r"[^\W\d_]", "a", value)) or kind == "secret"
+    a, b = (surrogate(KEY, "email", v) for v in ("that.92@mail2.example.com", "THAT.92@MAIL2.EXAMPLE.COM"))
+    assert a.upper() == b.upper() and a.islower()
+    assert a.partition("@")[2] == surrogate(KEY, "email", "x@mail2.example.com").partition("@")[2]
+    assert _checked(surrogate(KEY, "card", "4111111111111111")) and not _checked(surrogate(KEY, "card", "4111111111111112"))
+    assert surrogate(KEY, "phone", "+44 20 7946 0958").startswith("+44 ")
+    woman, man = surrogate(KEY, "name-f", "Anna Smith"), surrogate(KEY, "name-m", "Пётр Иванов")
+    assert woman.split()[0] in surrogates.NAMES["latin", "f"] and man.split()[0] in surrogates.NAMES["cyrillic", "m"]
+
+
+def test_collisions_are_drawn_again(spark):
+    # 100 one-digit-octet addresses can hardly be drawn apart at once.
+    rows = [(k, k, "ip", f"{k}.{k}.{k}.{j}", f"{k}.{k}.{k}.{j}") for k in range(10) for j in range(10)]
+    rows += [(1, 1, "name-f", f"n{k}", f"N{k}") for k in range(60)]
+    entities = spark.createDataFrame(rows, "doc_id long, t long, kind string, value string, sample string")
+    again = {(r.kind, r.value): r.draw for r in redraws(entities, KEY).collect()}
+    assert again
+    fresh = [normal(kind, surrogate(KEY, kind, sample, again.get((kind, value), 0))) for _, _, kind, value, sample in rows]
+    assert len(set(fresh)) == len(rows) and not set(fresh) & {r[3] for r in rows}
+    crowded = spark.createDataFrame([(1, 1, "name-f", f"{k}", f"{k}") for k in range(10)], entities.schema)
+    with pytest.raises(ValueError, match="fewer"):
+        redraws(crowded, KEY)
+
+
+def test_documents(spark):
+    names = [f"Ms {a}{b} was here" for a in "ABCDEFGHIJ" for b in "abcdefghijklm"]
+    rows = [(1, TEXT, len(TEXT), "i", "t"), (1, TEXT, len(TEXT), "i", "t"), (None, "see 10.0.0.255", 14, None, None), (3, None, 7, "i", None), (4, "", 0, None, "t"), (5, "clean", 99, "i", "t")]
+    rows += [(10 + k, text, len(text), None, None) for k, text in enumerate(names)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = replace_pii(docs, KEY)
+    assert got.columns == docs.columns and got.dtypes == docs.dtypes
+    out = {(r.doc_id, r.t): r for r in got.collect()}
+    assert got.where("doc_id = 1").select("text").distinct().count() == 1 and got.count() == len(rows)
+    assert surrogate(KEY, "ip", "10.0.0.255") in out[1, "t"].text and surrogate(KEY, "ip", "10.0.0.255") in out[None, None].text
+    for begin, end, _ in detect(TEXT):
+        assert TEXT[begin:end] not in out[1, "t"].text
+    assert out[3, None].text is None and out[4, "t"].text == "" and out[5, "t"].text == "clean"
+    assert got.where(F.col("doc_id") >= 10).select("text").distinct().count() == len(names)
+    assert replace_pii(docs.limit(0), KEY).count() == 0
