@@ -39,26 +39,27 @@ def refine(text: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
         grams[: len(text) - k] |= text[k:].astype(np.uint64) << np.uint64(8 * k)
     bucket = np.full(len(text), -1, np.int64)
     active = np.flatnonzero(room >= depth)
-    fresh = _number(bucket, active, grams[active][:, None], 0)
+    fresh = _number(bucket, active, grams[active], 0)
     while depth < length:
         step = min(depth, length - depth)
         active = active[room[active] >= depth + step]
         active = active[np.bincount(bucket[active], minlength=1)[bucket[active]] > 1]  # alone in a bucket: settled
         # Pointers are read before any of this pass is written. A settled position keeps its identifier, which no other
         # position with room for this depth has.
-        fresh = _number(bucket, active, np.stack([bucket[active], bucket[active + step]], axis=1), fresh)
+        fresh = _number(bucket, active, bucket[active] << 32 | bucket[active + step], fresh)
         depth += step
     bucket[room < length] = -1
     return bucket
 
 
 def _number(bucket: np.ndarray, places: np.ndarray, keys: np.ndarray, fresh: int) -> int:
-    """Gives the positions ``places`` new identifiers from ``fresh`` on, in the order of their keys; the next free one."""
+    """Gives the positions ``places`` new identifiers from ``fresh`` on, in the order of their keys; the next free one.
+    Identifiers stay below 2**32: a batch of 2**22 positions takes at most as many in each of its few passes."""
     if not len(places):
         return fresh
-    order = np.lexsort(keys.T[::-1])
-    split = (keys[order[1:]] != keys[order[:-1]]).any(axis=1)
-    names = fresh + np.concatenate([[0], np.cumsum(split)])
+    order = np.argsort(keys)
+    keys = keys[order]
+    names = fresh + np.concatenate([[0], np.cumsum(keys[1:] != keys[:-1])])
     bucket[places[order]] = names
     return int(names[-1]) + 1
 
