@@ -47,12 +47,13 @@ def keyed(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("t"), text.alias("text"), *columns)
 
 
-def attach(docs: DataFrame, side: DataFrame, items: str, item_bytes: int, bound: int = BROADCAST_BYTES) -> DataFrame:
+def attach(docs: DataFrame, side: DataFrame, items: str, item_bytes: int, bound: int | None = None) -> DataFrame:
     """Left join of ``docs`` (of ``keyed``) with one ``side`` row per ``(doc_id, t)``.
 
-    ``side`` is a written table; ``items`` names its array column. Its size is measured first: up to ``bound`` bytes it is
-    broadcast and the texts stay where they are, beyond that both sides are shuffled by document.
+    ``side`` is a written table; ``items`` names its array column. Its size is measured first: up to ``bound`` bytes
+    (``BROADCAST_BYTES``) it is broadcast and the texts stay where they are, beyond that both sides are shuffled by document.
     """
+    bound = BROADCAST_BYTES if bound is None else bound
     rows, total = side.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size(items)), F.lit(0))).first()
     side = side.withColumnsRenamed({"doc_id": "_side_id", "t": "_side_t"})
     side = F.broadcast(side) if rows * 80 + total * item_bytes <= bound else side.hint("shuffle_hash")
@@ -60,9 +61,10 @@ def attach(docs: DataFrame, side: DataFrame, items: str, item_bytes: int, bound:
     return docs.join(side, same, "left").drop("_side_id", "_side_t")
 
 
-def drop_rows(docs: DataFrame, gone: DataFrame, bound: int = BROADCAST_BYTES) -> DataFrame:
+def drop_rows(docs: DataFrame, gone: DataFrame, bound: int | None = None) -> DataFrame:
     """``docs`` without the rows whose ``(doc_id, t)`` is in ``gone``; all columns stay. ``gone`` is broadcast if its
-    measured size is at most ``bound`` bytes, and shuffled with the documents otherwise."""
+    measured size is at most ``bound`` bytes (``BROADCAST_BYTES``), and shuffled with the documents otherwise."""
+    bound = BROADCAST_BYTES if bound is None else bound
     gone = written(gone.select(F.col("doc_id").alias("_gone_id"), F.col("t").alias("_gone_t")), "gone")
     gone = F.broadcast(gone) if gone.count() * 40 <= bound else gone.hint("shuffle_hash")
     text = F.xxhash64(F.coalesce(docs["text"], F.lit("")))

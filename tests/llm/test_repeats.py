@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillfund.llm import suffix_buckets, suffix_trees
+from quillfund.llm import common, suffix_buckets, suffix_trees
 from quillfund.llm.suffix_buckets import refine
 
 DOCS = "doc_id long, text string, start int, key string"
@@ -45,7 +45,9 @@ def corpus(seed):
 
 
 @pytest.mark.parametrize("limits", [{}, {"group_suffixes": 3}, {"group_suffixes": 40}])
-def test_words(spark, limits):
+def test_words(spark, limits, monkeypatch):
+    if limits:
+        monkeypatch.setattr(common, "BROADCAST_BYTES", -1)  # side tables are shuffled
     rows = corpus(1)
     found = suffix_trees.remove_repeated_words(spark.createDataFrame(rows, DOCS), **limits)
     got = Counter((r.doc_id, " ".join(r.kept), sum(s.end - s.begin for s in r.removed)) for r in found.collect())
@@ -56,7 +58,9 @@ def test_words(spark, limits):
 
 
 @pytest.mark.parametrize("limits", [{}, {"group_texts": 2, "batch_bytes": 3000}])
-def test_bytes(spark, limits):
+def test_bytes(spark, limits, monkeypatch):
+    if limits:
+        monkeypatch.setattr(common, "BROADCAST_BYTES", -1)  # side tables are shuffled
     rows = corpus(2)
     found = suffix_buckets.remove_repeated_bytes(spark.createDataFrame(rows, DOCS), **limits)
     got = Counter((r.doc_id, bytes(r.kept), tuple((s.begin, s.end) for s in r.removed)) for r in found.collect())

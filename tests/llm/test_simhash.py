@@ -5,8 +5,10 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 import xxhash
 
+from quillfund.llm import common
 from quillfund.llm.simhash import bucket_links, fingerprint, keep_one, near_duplicates, plan, probes
 
 DOCS = "doc_id long, text string, fp int, component string"
@@ -49,7 +51,10 @@ def test_fingerprints():
         assert fingerprint((text or "").encode()) == plain(text)
 
 
-def test_groups(spark):
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_groups(spark, broadcast, monkeypatch):
+    if not broadcast:
+        monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
     rows = corpus()
     rows += [rows[9], (None, rows[10][1], 1, "x"), (4, rows[12][1], 1, "x")]
     values = [plain(r[1]) for r in rows]
