@@ -128,7 +128,7 @@ def three_bases(nav: DataFrame, dividends: DataFrame, as_of: str) -> DataFrame:
     return based.select("share_code", "period", F.col("base_used").alias("base_date"), (unit * F.col("last.gain") / F.col("base_gain") - 1).alias("reinvest"), (unit - 1).alias("unit"), (F.col("last.chain") / F.col("base_chain") - 1).alias("chain"))
 
 
-_LONG = "SELECT lpad(CAST(o_custkey % 10 AS STRING), 6, '0') AS share_code, CAST(o_orderdate AS DATE) AS nav_date, round(1 + avg(o_totalprice) / 1000000, 4) AS unit_nav, round(avg(o_totalprice) / 100000000, 6) AS daily_return FROM {orders} GROUP BY o_custkey % 10, CAST(o_orderdate AS DATE)"
+_LONG = "SELECT lpad(CAST(o_custkey % 10 AS STRING), 6, '0') AS share_code, CAST(o_orderdate AS DATE) AS nav_date, floor((1 + avg(o_totalprice) / 1000000) * 10000 + 0.5000001) / 10000.0E0 AS unit_nav, floor(avg(o_totalprice) / 100 + 0.5000001) / 1000000.0E0 AS daily_return FROM {orders} GROUP BY o_custkey % 10, CAST(o_orderdate AS DATE)"
 REQUESTS = """
     SELECT event_id AS request_id, lpad(CAST(user_id AS STRING), 6, '0') AS share_code, CAST(ts AS DATE) AS start_date,
       CAST(ts AS DATE) + CAST(event_id % 15 AS INT) AS end_date, event_id % 2 = 0 AS include_fees, value * 10000 AS amount

@@ -41,7 +41,7 @@ VIEWS = {
           UNION ALL SELECT 2, 7, 30, 0.0075E0 UNION ALL SELECT 3, 30, CAST(NULL AS INT), 0.0E0) t""",
     "nav_daily": """
         SELECT lpad(CAST(user_id AS STRING), 6, '0') AS share_code, CAST(ts AS DATE) AS nav_date,
-          round(1 + avg(value) / 1000, 4) AS unit_nav
+          floor((1 + avg(value) / 1000) * 10000 + 0.5000001) / 10000.0E0 AS unit_nav
         FROM {events} GROUP BY user_id, CAST(ts AS DATE)""",
     "dividends": """
         SELECT lpad(CAST(user_id AS STRING), 6, '0') AS share_code, CAST(ts AS DATE) AS ex_date,
