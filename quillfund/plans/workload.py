@@ -53,6 +53,34 @@ SQL = {
     "u5_distinct_pairs": "SELECT DISTINCT least(l_partkey, l_suppkey) AS a, greatest(l_partkey, l_suppkey) AS b FROM {lineitem}",
     "c8_documents_by_type": "SELECT source, lang, count(*) AS n FROM {documents} GROUP BY source, lang",
     "a15_rater_confusion": "SELECT quality, toxic, count(*) AS n FROM {labels} WHERE quality IS NOT NULL AND toxic IS NOT NULL GROUP BY quality, toxic",
+    "a7_metric_rollup": "SELECT coalesce(event_type, 'all') AS topic, coalesce(CAST(user_id % 3 AS STRING), 'all') AS style, count(*) AS n, round(avg(value), 6) AS mean_value FROM {events} GROUP BY GROUPING SETS ((), (event_type), (user_id % 3))",
+    "a8_answer_rollup": "SELECT coalesce(event_type, 'all') AS answer_type, count(*) AS n, sum(CASE WHEN value > 100 THEN 1 ELSE 0 END) AS n_correct, round(avg(CASE WHEN user_id % 10 = 0 THEN NULL WHEN value > 100 THEN 1.0E0 ELSE 0.0E0 END), 6) AS acc_completed, round(avg(CASE WHEN user_id % 10 = 0 THEN 0.0E0 WHEN value > 100 THEN 1.0E0 ELSE 0.0E0 END), 6) AS acc_all FROM {events} GROUP BY GROUPING SETS ((), (event_type))",
+    "a5_last_wins": "SELECT user_id, max_by(event_type, event_id) AS last_type, max(event_id) AS last_id FROM {events} GROUP BY user_id",
+    "a2_primary_share": "SELECT fund_code, coalesce(min(CASE WHEN share_class = 'A' THEN share_code END), min(share_code)) AS primary_share, count(*) AS n_classes FROM {share_classes} GROUP BY fund_code",
+    "a14_hit_counts": "SELECT event_type, sum(CASE WHEN value >= 200 THEN 1 ELSE 0 END) AS hits, count(*) AS n FROM {events} GROUP BY event_type",
+    "a20_repetition_median": "SELECT user_id % 7 AS level, round(median(value), 3) AS median_value FROM {events} WHERE event_type <> 'error' GROUP BY user_id % 7",
+    "a26_batch_completion": "SELECT user_id % 5 AS batch_id, CASE WHEN sum(CASE WHEN event_type IN ('view', 'click') AND value > 250 THEN 1 ELSE 0 END) > 0 THEN 'RUNNING' WHEN sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) > 0 THEN 'COMPLETED_WITH_FAILURES' ELSE 'COMPLETED' END AS state FROM {events} GROUP BY user_id % 5",
+    "a27_content_version": "SELECT c_mktsegment AS kb_id, CONCAT(CAST(count(*) AS STRING), '-', CAST(max(c_custkey) AS STRING)) AS version FROM {customer} GROUP BY c_mktsegment",
+    "a29_stale_documents": "SELECT o_orderkey FROM {orders} WHERE o_orderstatus IN ('P', 'O') AND CAST(o_orderdate AS DATE) < DATE '1996-01-01'",
+    "a30_ingest_summary": "SELECT source, count(*) AS documents, sum(n_chars) AS chars, max(n_chars) AS longest FROM {documents} GROUP BY source",
+    "a31_dataset_distribution": "SELECT 'lang' AS dim, lang AS name, count(*) AS n FROM {documents} GROUP BY lang UNION ALL SELECT 'source', source, count(*) FROM {documents} GROUP BY source",
+    "a33_cost_projection": "SELECT t.topic, round(t.mean_tokens * c.n, 4) AS projected FROM (SELECT event_type AS topic, avg(value) AS mean_tokens FROM {events} WHERE user_id % 2 = 0 GROUP BY event_type) t JOIN (SELECT event_type AS topic, count(*) AS n FROM {events} GROUP BY event_type) c ON c.topic = t.topic",
+    "a36_actual_vs_estimate": "SELECT round(sum(CASE WHEN event_type = 'view' THEN value END) / sum(CASE WHEN event_type = 'click' THEN value END), 6) AS ratio, round(sum(value), 2) AS total FROM {events}",
+    "f2_universe_funnel": "SELECT count(*) AS n_all, sum(CASE WHEN style = 'active' THEN 1 ELSE 0 END) AS n_type, sum(CASE WHEN style = 'active' AND fund_name NOT LIKE '%7' THEN 1 ELSE 0 END) AS n_name, sum(CASE WHEN style = 'active' AND fund_name NOT LIKE '%7' AND theme <> 'ASIA' THEN 1 ELSE 0 END) AS n_theme FROM {funds}",
+    "f5_recent_announcements": "SELECT o_custkey, count(DISTINCT CAST(o_orderdate AS DATE)) AS n_dates FROM {orders} WHERE o_orderpriority LIKE '%URGENT%' AND CAST(o_orderdate AS DATE) BETWEEN DATE '1995-06-30' AND DATE '1997-06-30' GROUP BY o_custkey",
+    "f8_evaluable_items": "SELECT sum(CASE WHEN d.doc_id IS NULL THEN 1 ELSE 0 END) AS unknown, sum(CASE WHEN d.doc_id IS NOT NULL AND l.quality = 1 THEN 1 ELSE 0 END) AS evaluable FROM {labels} l LEFT JOIN {documents} d ON d.doc_id = l.doc_id",
+    "j1_accumulated_nav": "SELECT n.share_code, n.nav_date, n.unit_nav, d.cash_per_unit FROM {nav_daily} n LEFT JOIN {dividends} d ON d.share_code = n.share_code AND d.ex_date = n.nav_date",
+    "j16_run_differences": "SELECT l_orderkey, l_linenumber FROM {lineitem} WHERE l_quantity > 45 EXCEPT SELECT l_orderkey, l_linenumber FROM {lineitem} WHERE l_discount > 0.05",
+    "j19_review_marks": "SELECT d.doc_id, CASE WHEN l.doc_id IS NOT NULL THEN 'verified' ELSE 'draft' END AS mark FROM {documents} d LEFT JOIN (SELECT DISTINCT doc_id FROM {labels}) l ON l.doc_id = d.doc_id",
+    "u3_extra_documents": "SELECT doc_id FROM {documents} EXCEPT SELECT doc_id FROM {labels}",
+    "u6_content_dedup": "SELECT digest, min(doc_id) AS kept, count(*) AS n FROM (SELECT doc_id, md5(text) AS digest FROM {documents}) x GROUP BY digest",
+    "w6_tenure_merge": "SELECT o_custkey AS manager, min_by(o_orderpriority, o_orderkey) AS first_source, max_by(CAST(o_orderdate AS DATE), o_orderkey) AS last_date FROM {orders} GROUP BY o_custkey",
+    "w15_rank_within_route": "SELECT event_type, event_id, k FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS k FROM {events}) x WHERE k <= 20",
+    "w17_general_fee_table": "SELECT l_suppkey, max_by(l_orderkey, l_extendedprice) AS chosen, max(l_extendedprice) AS rate FROM {lineitem} WHERE l_returnflag <> 'R' GROUP BY l_suppkey",
+    "w18_first_of_stratum": "SELECT c_mktsegment, c_custkey FROM (SELECT c_mktsegment, c_custkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS k FROM {customer}) x WHERE k <= 10",
+    "c2_load_counts": "SELECT 'orders' AS name, count(*) AS n FROM {orders} UNION ALL SELECT 'lineitem', count(*) FROM {lineitem} UNION ALL SELECT 'events', count(*) FROM {events}",
+    "d2_missing_returns": "SELECT f.fund_code, CASE WHEN n.share_code IS NULL THEN 'missing' ELSE 'date' END AS problem FROM {funds} f LEFT JOIN (SELECT share_code, max(nav_date) AS last_day FROM {nav_daily} GROUP BY share_code) n ON n.share_code = f.fund_code WHERE n.share_code IS NULL OR n.last_day <> DATE '2024-01-30'",
+    "d4_dataset_rules": "SELECT 'duplicate text' AS rule, count(*) AS n FROM (SELECT text FROM {benchmark} GROUP BY text HAVING count(*) > 1) a UNION ALL SELECT 'short text', count(*) FROM {benchmark} WHERE length(text) < 100 UNION ALL SELECT 'unknown document', count(*) FROM {labels} l LEFT JOIN {documents} d ON d.doc_id = l.doc_id WHERE d.doc_id IS NULL",
 }
 
 
