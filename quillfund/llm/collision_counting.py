@@ -234,3 +234,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
 
 def op2_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+#: All pairs: equal as long as no link is missed.
+OP2_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+ l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
+ reach AS (SELECT vec_id AS id, vec_id AS c FROM embeddings UNION SELECT l.b, reach.c FROM reach JOIN l ON l.a = reach.id)
+SELECT vec_id, CAST((SELECT count(*) FROM l WHERE l.a = vec_id) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN (SELECT id, min(c) AS component_id FROM reach GROUP BY id) m ON m.id = vec_id
+"""

@@ -1,12 +1,12 @@
 """Queries of this subpackage and their SQL, for the driver's entry module."""
 
 import corpus_pipeline
-from quillfund.llm.collision_counting import op2_collision_counting
+from quillfund.llm.collision_counting import OP2_SQL, op2_collision_counting
 from quillfund.llm.line_crf import op8_line_crf
 from quillfund.llm.pieces import op9_prefix_table
 from quillfund.llm.simhash import op3_simhash
 from quillfund.llm.spaced_seeds import op10_spaced_seeds
-from quillfund.llm.suffix_buckets import op6_suffix_buckets
+from quillfund.llm.suffix_buckets import OP6_SQL, op6_suffix_buckets
 from quillfund.llm.suffix_trees import OP4_SQL, op4_suffix_trees
 from quillfund.llm.surrogates import op1_surrogates
 from quillfund.llm.warc import OP7_SQL, op7_warc_revisits
@@ -25,4 +25,4 @@ QUERIES = {
     "op10_spaced_seeds": op10_spaced_seeds,
     "pipeline": corpus_pipeline.run,
 }
-ORACLE_SQL = {"op4_suffix_trees": OP4_SQL, "op7_warc_revisits": OP7_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+ORACLE_SQL = {"op2_collision_counting": OP2_SQL, "op4_suffix_trees": OP4_SQL, "op6_suffix_buckets": OP6_SQL, "op7_warc_revisits": OP7_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

@@ -165,3 +165,17 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, **limits) -> Da
 def op6_suffix_buckets(spark, sf_dir: str) -> DataFrame:
     found = remove_repeated_bytes(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.octet_length("data").cast("long").alias("n_bytes"), F.aggregate("removed", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["begin"]).alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP6_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+ s AS (SELECT r, unnest(range(0, len(h) // 2 - 399)) AS i FROM d WHERE len(h) >= 800),
+ g AS (SELECT s.r, i, md5(substr(h, 2 * i + 1, 800)) AS k FROM s JOIN d ON d.r = s.r),
+ hit AS (SELECT r, i FROM g WHERE k IN (SELECT k FROM g GROUP BY k HAVING count(*) > 1)),
+ island AS (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS n FROM (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 400 THEN 0 ELSE 1 END AS fresh FROM hit) x),
+ span AS (SELECT r, n, min(i) AS b, max(i) + 400 AS e FROM island GROUP BY r, n),
+ piece AS (SELECT r, b, e, coalesce(lag(e) OVER (PARTITION BY r ORDER BY b), 0) AS p FROM span),
+ cut AS (SELECT piece.r, count(*) AS n_spans, sum(e - b) AS n_removed, string_agg(substr(h, CAST(2 * p + 1 AS BIGINT), CAST(2 * (b - p) AS BIGINT)), '' ORDER BY b) || substr(any_value(h), CAST(2 * max(e) + 1 AS BIGINT)) AS kept FROM piece JOIN d ON d.r = piece.r GROUP BY piece.r)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN cut ON cut.r = d.r
+"""
