@@ -24,7 +24,7 @@ LENGTH = 400
 #: Bytes hashed together to choose a window's key.
 GRAM = 24
 #: Bytes of text refined at once.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 #: Texts of one key that a task takes; keys with more are dealt out by window.
 GROUP_TEXTS = 8192
 
@@ -54,7 +54,7 @@ def refine(text: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
 
 def _number(bucket: np.ndarray, places: np.ndarray, keys: np.ndarray, fresh: int) -> int:
     """Gives the positions ``places`` new identifiers from ``fresh`` on, in the order of their keys; the next free one.
-    Identifiers stay below 2**32: a batch of 2**22 positions takes at most as many in each of its few passes."""
+    Identifiers stay below 2**32: a batch of 2**21 positions takes at most as many in each of its few passes."""
     if not len(places):
         return fresh
     order = np.argsort(keys)
