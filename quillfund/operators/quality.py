@@ -98,6 +98,16 @@ def missing_documents(funds: DataFrame, specs: DataFrame, found: DataFrame) -> D
     return rows.withColumn("reason", reason).where("reason IS NOT NULL").select("fund_code", "spec", "reason")
 
 
+def quality_report(parts: dict[str, DataFrame], folder: str) -> DataFrame:
+    """Writes each check's rows as Parquet below ``folder``; a summary row for each: check, rows."""
+    out = None
+    for name, rows in parts.items():
+        rows.write.mode("overwrite").parquet(f"{folder}/{name}")
+        one = rows.sparkSession.read.parquet(f"{folder}/{name}").agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("check"), "rows")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def continuity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return continuity(view(spark, sf_dir, "nav_daily"), view(spark, sf_dir, "trading_days"), "2024-01-30")
 

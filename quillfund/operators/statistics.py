@@ -105,6 +105,45 @@ def paired_bootstrap(pairs: DataFrame, a: str, b: str, draws: int = 10_000, seed
     return mean.crossJoin(means).select("n", "mean", floor_index(F.col("ms"), 0.025).alias("low"), floor_index(F.col("ms"), 0.975).alias("high"), "share_not_better")
 
 
+def similarity_distribution(scored: DataFrame) -> DataFrame:
+    """Per category, and per first part of the subtype of hard negatives: n, least, quartiles at index floor(f n), greatest."""
+    labels = F.array_compact(F.array(F.col("category"), F.when(F.col("category") == "hard_negative", F.concat(F.lit("hard:"), F.split("subtype", "_")[0]))))
+    rows = scored.select(F.explode(labels).alias("kind"), "sim").groupBy("kind").agg(F.sort_array(F.collect_list("sim")).alias("v"))
+    v = F.col("v")
+    return rows.select("kind", F.size(v).alias("n"), F.array_min(v).alias("least"), *[floor_index(v, f).alias(name) for f, name in ((0.25, "p25"), (0.5, "median"), (0.75, "p75"))], F.array_max(v).alias("greatest"))
+
+
+def compare_configurations(a: DataFrame, b: DataFrame, group: str, draws: int = 2000) -> DataFrame:
+    """Paired bootstrap of two runs (id, value) overall and in each group (of a, few values); pairs need both values."""
+    pairs = a.select("id", group, F.col("value").alias("a")).join(b.select("id", F.col("value").alias("b")), "id").where("a IS NOT NULL AND b IS NOT NULL")
+    out = paired_bootstrap(pairs, "a", "b", draws).withColumn("part", F.lit("all"))
+    for (name,) in pairs.select(group).distinct().orderBy(group).collect():  # topics
+        out = out.unionByName(paired_bootstrap(pairs.where(F.col(group).eqNullSafe(F.lit(name))), "a", "b", draws).withColumn("part", F.lit(str(name))))
+    return out
+
+
+def overlap_quantiles(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """n, mean, inclusive quartiles and range of a score for each key value, four digits."""
+    kinds = F.explode(F.array(*[F.concat_ws("=", F.lit(k), F.col(k).cast("string")) for k in keys])).alias("kind")
+    out = rows.select(kinds, F.col(value).alias("v")).groupBy("kind")
+    four = lambda c, name: F.round(c, 4).alias(name)
+    return out.agg(F.count("v").alias("n"), four(F.avg("v"), "mean"), *[four(F.percentile("v", q), name) for q, name in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))], four(F.min("v"), "least"), four(F.max("v"), "greatest"))
+
+
+def without_malformed(scored: DataFrame, codes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs whose six-digit runs before a space and a digit are all known codes, and the ids of the others."""
+    runs = F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all(q, F.lit(r"(\d{6})(?=\s\d)"), F.lit(1)) for q in ("q1", "q2")])))
+    bad = scored.select("id", F.explode(runs).alias("code")).join(codes.select("code"), "code", "left_anti").select("id").distinct()
+    return scored.join(bad, "id", "left_anti"), bad
+
+
+def reachability(hits: DataFrame, evidence: DataFrame, whole: DataFrame) -> DataFrame:
+    """Per quote (query_id, ev_no): whether any chunk holds it whole, and whether any chunk reaches it by the run rule."""
+    keys = ["query_id", "ev_no"]
+    rows = evidence.select(*keys).distinct().join(hits.select(*keys, F.lit(True).alias("reached")).distinct(), keys, "left").join(whole.select(*keys, F.lit(True).alias("whole")).distinct(), keys, "left")
+    return rows.fillna(False, ["reached", "whole"])
+
+
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet")
 
@@ -142,7 +181,22 @@ def bootstrap_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paired_bootstrap(rows, "view", "click", draws=2000).select("n", F.round("mean", 6).alias("mean"), "low", "high", "share_not_better")
 
 
-QUERIES = {"a22_percentiles": percentile_query, "a15_kappa": kappa_query, "a11_threshold_sweep": sweep_query, "w9_stratified_split": split_query, "w10_spot_sample": spot_query, "a16_paired_bootstrap": bootstrap_query}
+def distribution_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.sql(_SCORED.replace("events", "{events}").replace(" AS guard_ok", " AS guard_ok, concat('s', user_id % 3, '_x') AS subtype"), events=_events(spark, sf_dir))
+    return similarity_distribution(rows)
+
+
+def overlap_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap_quantiles(spark.read.parquet(f"{sf_dir}/orders.parquet").withColumn("year", F.year("o_orderdate")), ["o_orderpriority", "year"], "o_totalprice")
+
+
+def configurations_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("id"), "o_orderpriority", F.col("o_totalprice").alias("value"))
+    found = compare_configurations(rows, rows.withColumn("value", F.col("value") + F.col("id") % 3), "o_orderpriority", 200)
+    return found.select("part", "n", F.round("mean", 6).alias("mean"), "low", "high", "share_not_better")
+
+
+QUERIES = {"a22_percentiles": percentile_query, "a15_kappa": kappa_query, "a11_threshold_sweep": sweep_query, "w9_stratified_split": split_query, "w10_spot_sample": spot_query, "a16_paired_bootstrap": bootstrap_query, "a13_similarity_distribution": distribution_query, "a24_overlap_quantiles": overlap_query, "a17_compare_configurations": configurations_query}
 ORACLE_SQL = {
     "a22_percentiles": """
         SELECT event_type, v[greatest(1, CAST(ceil(len(v) * 0.95) AS INT))] AS nearest, round(linear, 6) AS linear, v[least(len(v), CAST(floor(len(v) * 0.95) AS INT) + 1)] AS floored, v[CAST(round_even(0.9 * (len(v) - 1), 0) AS INT) + 1] AS rounded, disc
@@ -164,4 +218,11 @@ ORACLE_SQL = {
     "w9_stratified_split": """
         SELECT p_partkey, CASE WHEN k <= round_even(0.3 * n, 0) THEN 'dev' ELSE 'test' END AS split FROM (SELECT p_partkey, row_number() OVER (PARTITION BY p_type ORDER BY sha256(p_type || chr(0) || p_partkey || ' ' || p_name), p_partkey || ' ' || p_name) AS k, count(*) OVER (PARTITION BY p_type) AS n FROM part) x""",
     "w10_spot_sample": "SELECT c_mktsegment, c_custkey FROM (SELECT c_mktsegment, c_custkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY sha256('spotcheck-v1:' || c_custkey), c_custkey) AS k FROM customer) x WHERE k <= 4",
+    "a13_similarity_distribution": f"""
+        WITH s AS ({_SCORED.replace("AS guard_ok", "AS guard_ok, concat('s', user_id % 3) AS sub")}), k AS (SELECT category AS kind, sim FROM s UNION ALL SELECT concat('hard:', sub), sim FROM s WHERE category = 'hard_negative'),
+          l AS (SELECT kind, list_sort(list(sim)) AS v FROM k GROUP BY kind)
+        SELECT kind, CAST(len(v) AS INT) AS n, v[1] AS least, v[least(len(v), CAST(floor(len(v) * 0.25) AS INT) + 1)] AS p25, v[least(len(v), CAST(floor(len(v) * 0.5) AS INT) + 1)] AS median, v[least(len(v), CAST(floor(len(v) * 0.75) AS INT) + 1)] AS p75, v[len(v)] AS greatest FROM l""",
+    "a24_overlap_quantiles": """
+        SELECT kind, count(*) AS n, round(avg(v), 4) AS mean, round(quantile_cont(v, 0.25), 4) AS p25, round(quantile_cont(v, 0.5), 4) AS p50, round(quantile_cont(v, 0.75), 4) AS p75, round(min(v), 4) AS least, round(max(v), 4) AS greatest
+        FROM (SELECT concat('o_orderpriority=', o_orderpriority) AS kind, o_totalprice AS v FROM orders UNION ALL SELECT concat('year=', year(o_orderdate)), o_totalprice FROM orders) x GROUP BY kind""",
 }

@@ -127,3 +127,14 @@ def test_bounded_sql(spark):
     for bad in ("DROP TABLE funds", "SELECT 1; SELECT 2", "SELECT * FROM secrets"):
         with pytest.raises(ValueError):
             O.bounded_sql(spark, data, bad)
+
+
+def test_more_statistics(spark, tmp_path):
+    scored = spark.createDataFrame([(1, "see 000001 5", "x"), (2, "see 999999 5", "x"), (3, "999999", "1")], "id int, q1 string, q2 string")
+    good, bad = S.without_malformed(scored, spark.createDataFrame([("000001",)], "code string"))
+    assert sorted(r.id for r in good.collect()) == [1, 3] and [r.id for r in bad.collect()] == [2]
+    keys = "query_id int, ev_no int"
+    got = S.reachability(spark.createDataFrame([(1, 0)], keys), spark.createDataFrame([(1, 0), (1, 1)], keys), spark.createDataFrame([], keys))
+    assert sorted((r.ev_no, r.reached, r.whole) for r in got.collect()) == [(0, True, False), (1, False, False)]
+    got = Q.quality_report({"gaps": scored, "none": scored.limit(0)}, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [("gaps", 3), ("none", 0)]
