@@ -9,7 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillfund.llm import common, suffix_buckets, suffix_trees
+from quillfund.llm import common, suffix_buckets, suffix_trees, windows
+from quillfund.llm.common import keyed
 from quillfund.llm.suffix_buckets import refine
 
 DOCS = "doc_id long, text string, start int, key string"
@@ -100,3 +101,35 @@ def test_query_digests(spark):
     docs = spark.createDataFrame(rows, DOCS)
     row = suffix_buckets.remove_repeated_bytes(docs).where("doc_id = 6").select(F.sha2("kept", 256)).first()[0]
     assert row == hashlib.sha256(rows[6][1].encode()).hexdigest()
+
+
+def test_runs_name_equal_windows_alike(monkeypatch):
+    monkeypatch.setattr(windows, "CHUNK_BITS", 10)
+    monkeypatch.setattr(windows, "_MASK", np.uint64(1023))
+    rng = np.random.default_rng(5)
+    data = rng.integers(97, 123, 5000).astype(np.uint8)
+    data[3000:3600] = data[100:700]
+    data[4000:4500] = 97
+    start, n, key, _, loop = windows.runs(windows.byte_units(data), 400, 24)
+    assert n.sum() == 5000 - 399 and (np.cumsum(n)[:-1] == start[1:]).all()
+    keys, loops = np.repeat(key, n), np.repeat(loop, n)
+    seen = {}
+    for i in range(len(keys)):
+        first = seen.setdefault(bytes(data[i : i + 400]), i)
+        assert keys[first] == keys[i]
+        # An equal window is in another run, or in a run that is marked.
+        assert first == i or loops[i] or np.searchsorted(start, first, side="right") != np.searchsorted(start, i, side="right")
+
+
+def test_very_long_texts(spark):
+    rng = np.random.default_rng(6)
+    a, b = (rng.integers(97, 123, size).astype(np.uint8) for size in (1_500_000, 1_200_000))
+    b[1_100_000:1_101_000] = a[1_048_000:1_049_000]  # across the border of a chunk in the one, not in the other
+    b[1_099_999], b[1_101_000] = 65, 66
+    docs = spark.createDataFrame([(1, bytes(a).decode()), (2, bytes(b).decode())], "doc_id long, text string")
+    found = suffix_buckets.repeated_spans(keyed(docs)).collect()
+    assert {(r.doc_id, tuple((s.begin, s.end) for s in r.items)) for r in found} == {(1, ((1_048_000, 1_049_000),)), (2, ((1_100_000, 1_101_000),))}
+    words = [f"w{k}" for k in rng.integers(0, 10**9, 60_000)]
+    words[50_000:50_040] = words[10:50]
+    found = suffix_trees.repeated_spans(keyed(spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string"))).collect()
+    assert [(s.begin, s.end) for r in found for s in r.items] == [(10, 50), (50_000, 50_040)]
