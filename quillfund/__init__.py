@@ -1 +1 @@
-"""Spark-native fund-research analytics."""
+"""Spark-native analytics of fund data and training corpora."""

@@ -48,6 +48,7 @@ def quarter_end(c: Column) -> Column:
     return F.last_day(F.make_date(F.substring(c, 1, 4).cast("int"), F.substring(c, -1, 1).cast("int") * 3, F.lit(1)))
 
 
+# Wordings of bounds in the next three functions.
 def holding_period(c: Column) -> Column:
     """struct(min_days, max_days): [min, max) in days, a year 365 and a month 30 days; null if neither bound is found."""
     s = F.translate(F.replace(c, F.lit(" ")), "＜（）", "<()")
@@ -83,6 +84,7 @@ def fee_value(c: Column) -> Column:
     return F.struct(F.when(fixed.isNull(), pct_to_decimal(s).cast("double")).alias("rate"), fixed.alias("fixed_fee"))
 
 
+# End of fixed values.
 def cash_per_unit(c: Column) -> Column:
     """`每N份…派…现金X元` gives X / N; N is 1 if it is not said."""
     return _got(c, rf"派(?:发)?现金(?:红利)?{_NUM}元").cast("double") / F.coalesce(_got(c, rf"每{_NUM}份").cast("double"), F.lit(1.0))

@@ -76,7 +76,7 @@ def _day(year: str | None, month: str, day: str) -> str:
     return f"t:{year or ''}" + (QUARTER_ENDS.get((int(month), int(day))) or f"{int(month):02d}-{int(day):02d}")
 
 
-#: Pattern and token of each number or time, in the order in which they take text away.
+# Pattern and token of each number or time, in the order in which they take text away.
 NUMBER_RULES: list[tuple[str, Callable[..., str]]] = [
     (r"(?:(\d{4})\s*年\s*)?(\d{1,2})\s*月\s*(\d{1,2})\s*[日号]", _day),
     (r"(?:(\d{4})\s*年)?\s*第?\s*([1-4])\s*季度?[末报]?", lambda y, q: f"t:{y or ''}Q{q}"),
@@ -92,6 +92,7 @@ NUMBER_RULES: list[tuple[str, Callable[..., str]]] = [
     (r"(\d+(?:\.\d+)?)\s*%", lambda n: f"n:{n}%"),
     (r"(\d+(?:\.\d+)?)\s*(万元|万|亿|元|份)", lambda n, u: f"n:{n}{u}"),
 ]
+# End of fixed values.
 _CHINESE = re.compile(f"[{''.join(DIGITS)}十]+(?=年|个月|月|季度|季|天|日|大|周|万|亿|元|份|%|成)")
 
 
