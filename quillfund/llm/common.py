@@ -12,6 +12,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Folders that this process has made in the shared folder, by application.
+_made: dict[str, list[str]] = {}
+
 #: A side table is broadcast only if its measured size is at most this; beyond it the join shuffles.
 BROADCAST_BYTES = 64 << 20
 
@@ -26,7 +29,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Deletes the intermediate tables that this application has written so far; the number of folders. Call it when all
+    results that read them have been written: DataFrames are lazy, so nothing here can know."""
+    paths = _made.pop(spark.sparkContext.applicationId, [])
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for path in paths:
+        where = hadoop.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    return len(paths)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
