@@ -120,7 +120,7 @@ def stack_profile(stacks: DataFrame, top: int = 20) -> DataFrame:
 
 def read_jfr(spark: SparkSession, path: str, start: str, end: str) -> DataFrame:
     """Execution samples of a JFR text dump with a start time in [start, end): time, frames."""
-    rows = spark.read.option("wholetext", True).text(path).select(F.explode(F.split("value", r"(?=jdk\.ExecutionSample \{)")).alias("block")).where("block LIKE 'jdk.ExecutionSample%'")
+    rows = spark.read.option("lineSep", "jdk.ExecutionSample {").text(path).select(F.col("value").alias("block"))
     at = F.regexp_extract("block", r"startTime = (\d\d:\d\d:\d\d)", 1)
     frames = F.regexp_extract_all("block", F.lit(r"(?m)^\s+([\w.$<>]+\([^)]*\))\s+line:"), F.lit(1))
     return rows.select(at.alias("time"), frames.alias("frames")).where((F.col("time") >= start) & (F.col("time") < end))

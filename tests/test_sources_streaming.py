@@ -99,3 +99,16 @@ def test_usage_merge(spark):
     assert sorted((r.user_id, str(r.usage_date), r.calls, r.tokens) for r in fresh.collect()) == [(1, "2026-01-01", 1, 7), (1, "2026-01-02", 1, 5), (2, "2026-01-02", 1, 1)]
     stored = spark.createDataFrame([(1, dt.date(2026, 1, 1), 9, 1)], fresh.schema)
     assert {r.usage_date: (r.calls, r.tokens) for r in R.merge_usage(stored, fresh).where(F.col("user_id") == 1).collect()}[dt.date(2026, 1, 1)] == (9, 7)
+
+
+def test_manifest_and_dumps(spark, tmp_path):
+    manifest = {"documents": [{"doc_id": "a", "extract": {"ok": True}}, {"doc_id": "b", "extract": {"ok": False}}, {"doc_id": "c", "extract": {"ok": True}}]}
+    (tmp_path / "m.json").write_text(json.dumps(manifest, indent=1))
+    assert [r.doc_id for r in S.read_manifest(spark, str(tmp_path / "m.json")).collect()] == ["a", "c"]
+    assert [r.doc_id for r in S.read_manifest(spark, str(tmp_path / "m.json"), ["c"]).collect()] == ["c"]
+    (tmp_path / "items.jsonl").write_text('{"id": 1, "evidence": [{"doc_id": "d"}]}\n{"id": 2}\n')
+    assert S.read_jsonl(spark, str(tmp_path / "items.jsonl"), "id int, evidence array<struct<doc_id:string>>").where("size(evidence) > 0").count() == 1
+    sample = 'jdk.ExecutionSample {\n  startTime = 12:00:%02d.1\n  stackTrace = [\n    a.B.c() line: 1\n    d.E.f(int) line: 2\n  ]\n}\n'
+    (tmp_path / "dump.txt").write_text(sample % 5 + sample % 30)
+    got = S.read_jfr(spark, str(tmp_path / "dump.txt"), "12:00:00", "12:00:20").collect()
+    assert [(r.time, r.frames) for r in got] == [("12:00:05", ["a.B.c()", "d.E.f(int)"])]
