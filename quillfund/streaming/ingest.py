@@ -145,6 +145,20 @@ def route(batch: DataFrame, good_path: str, dead_path: str) -> None:
     parsed.where("problem IS NOT NULL").select("value", "batch_id", "task_id", "doc_id", "problem").write.mode("append").parquet(dead_path)
 
 
+def kafka_requests(spark: SparkSession, servers: str, topic: str) -> DataFrame:
+    """Request records of a topic as a stream with the column ``value``; the query's checkpoint holds the offsets."""
+    return spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).option("startingOffsets", "earliest").load().select(F.col("value").cast("string").alias("value"))
+
+
+def publish(batch: DataFrame, results: DataFrame, servers: str, result_topic: str, dead_topic: str) -> None:
+    """``foreachBatch`` sink: results keyed by document, and the batch's bad records as dead letters. Offsets are committed
+    after both writes, so delivery is at least once; ``reduce_results`` ignores repeats."""
+    dead = parse_requests(batch).where("problem IS NOT NULL")
+    out = {result_topic: results.select(F.col("doc_id").alias("key"), to_json_rows(results).alias("value")), dead_topic: dead.select(F.col("doc_id").alias("key"), F.to_json(F.struct("value", "batch_id", "task_id", "doc_id", "problem")).alias("value"))}
+    for topic, rows in out.items():
+        rows.write.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).save()
+
+
 def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Request records from events: every seventh has no document, every eleventh a bad hash."""
     return run(spark, sf_dir, """
