@@ -70,12 +70,11 @@ def _open_texts(docs: DataFrame, asked: DataFrame, length: int) -> DataFrame:
     def cut(batches):
         for batch in batches:
             rows: dict[str, list] = {c: [] for c in ("row", "key", "start", "lone", "body", "h")}
-            items = batch.column(batch.schema.get_field_index("items")).to_pylist()
-            for row, (data, asks) in enumerate(zip(texts(batch, "text"), items, strict=True)):
+            asked = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("start", "n", "key", "lone", "crowded")]
+            for row, (data, *asks) in enumerate(zip(texts(batch, "text"), *asked, strict=True)):
                 sums = None
-                for ask in asks:
-                    at, n = ask["start"], ask["n"]
-                    if ask["crowded"]:
+                for at, n, key, lone, crowded in zip(*asks, strict=True):
+                    if crowded:
                         sums = prefix(byte_units(data)) if sums is None else sums
                         where = np.arange(at, at + n)
                         rows["h"] += span_hash(sums, where, where + length).view(np.int64).tolist()
@@ -86,14 +85,14 @@ def _open_texts(docs: DataFrame, asked: DataFrame, length: int) -> DataFrame:
                         rows["body"].append(data[at : at + n - 1 + length].tobytes())
                     rows["row"] += [row] * len(where)
                     rows["start"] += list(where)
-                    rows["key"] += [ask["key"]] * len(where)
-                    rows["lone"] += [ask["lone"]] * len(where)
+                    rows["key"] += [key] * len(where)
+                    rows["lone"] += [lone] * len(where)
             take = pa.array(rows["row"], pa.int64())
             ids = [batch.column(batch.schema.get_field_index(c)).take(take) for c in ("doc_id", "t")]
             columns = [*ids, *(pa.array(rows[c], kind) for c, kind in (("key", pa.int64()), ("start", pa.int32()), ("lone", pa.bool_()), ("body", pa.binary()), ("h", pa.int64())))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "t", "key", "start", "lone", "body", "h"])
 
-    with_items = attach(docs, per_document(asked, "start", "n", "key", "lone", "crowded"), "items", 64).where("items is not null")
+    with_items = attach(docs, per_document(asked, "start", "n", "key", "lone", "crowded"), "start", 20).where("start is not null")
     return with_items.mapInArrow(cut, "doc_id long, t long, key long, start int, lone boolean, body binary, h long")
 
 

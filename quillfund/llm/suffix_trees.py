@@ -2,9 +2,9 @@
 
 The suffixes that can matter are the starts of open windows (``windows``), 35 words deep. They are split into groups by
 prefixes of variable length: a suffix joins the group of its first 5 words, unless that prefix is too frequent for one
-task's memory, then of its first 10, 20 or all 35. Each group's suffixes, in sorted order, are the leaves of one subtree;
+task's memory, then of its first 15 or all 35. Each group's suffixes, in sorted order, are the leaves of one subtree;
 two neighbours whose common prefix is 35 words deep hang below an internal node of that depth, so both repeat. Labels are
-hashes of the words between two depths, and a path is compared at all four of them. A prefix that is too frequent even at
+hashes of the words between two depths, and a path is compared at all three of them. A prefix that is too frequent even at
 35 words is itself a deep node with many leaves: its suffixes are settled by their count, without a group.
 """
 
@@ -26,8 +26,8 @@ GROUP_SUFFIXES = 100_000
 
 
 def depths(length: int) -> list[int]:
-    """The prefix lengths at which groups may be split: 5, 10, 20 and all 35 words."""
-    return sorted({max(1, length // 7), max(1, 2 * length // 7), max(1, 4 * length // 7), length})
+    """The prefix lengths at which groups may be split: 5, 15 and all 35 words."""
+    return sorted({max(1, length // 7), max(1, 3 * length // 7), length})
 
 
 def suffixes(docs: DataFrame, asked: DataFrame, length: int) -> DataFrame:
@@ -37,12 +37,13 @@ def suffixes(docs: DataFrame, asked: DataFrame, length: int) -> DataFrame:
     def cut(batches):
         for batch in batches:
             out: list[list[np.ndarray]] = [[] for _ in range(3 + len(steps))]
-            for row, (data, asks) in enumerate(zip(texts(batch, "text"), batch.column(batch.schema.get_field_index("items")), strict=True)):
-                asks = asks.values
-                at, n = (asks.field(c).to_numpy().astype(np.int64) for c in ("start", "n"))
+            asked = [batch.column(batch.schema.get_field_index(c)) for c in ("start", "n", "lone")]
+            for row, (data, *asks) in enumerate(zip(texts(batch, "text"), *asked, strict=True)):
+                at, n, lone = (ask.values.to_numpy(zero_copy_only=False) for ask in asks)
+                at, n = at.astype(np.int64), n.astype(np.int64)
                 where = np.repeat(at - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
                 sums = prefix(word_units(data))
-                columns = [np.full(len(where), row), where, np.repeat(asks.field("lone").to_numpy(zero_copy_only=False), n)]
+                columns = [np.full(len(where), row), where, np.repeat(lone, n)]
                 for column, values in zip(out, columns + [span_hash(sums, where, where + d).view(np.int64) for d in steps], strict=True):
                     column.append(values)
             if not out[0]:
@@ -51,7 +52,7 @@ def suffixes(docs: DataFrame, asked: DataFrame, length: int) -> DataFrame:
             ids = [batch.column(batch.schema.get_field_index(c)).take(pa.array(row)) for c in ("doc_id", "t")]
             yield pa.RecordBatch.from_arrays([*ids, pa.array(where.astype(np.int32)), pa.array(lone), *map(pa.array, paths)], ["doc_id", "t", "start", "lone", *(f"p{k}" for k in range(len(steps)))])
 
-    with_items = attach(docs, per_document(asked, "start", "n", "lone"), "items", 48).where("items is not null")
+    with_items = attach(docs, per_document(asked, "start", "n", "lone"), "start", 10).where("start is not null")
     return with_items.mapInArrow(cut, "doc_id long, t long, start int, lone boolean, " + ", ".join(f"p{k} long" for k in range(len(steps))))
 
 
