@@ -26,6 +26,8 @@ LABELLED = 20_000
 #: Voters at most, by significance; and lengths of word beginnings.
 VOTERS = 400
 BEGINNINGS = range(3, 9)
+#: Texts whose candidate voters are held in memory at once.
+SLICE = 500
 #: A voter is right more often than this.
 PRECISION = 0.9
 # A lexicon of insults that vote wherever they occur in the sample, unless labels contradict them.
@@ -100,12 +102,13 @@ def induce(sample: DataFrame, voters: int = VOTERS) -> list[bytes]:
 
     def count(batches):
         for batch in batches:
-            seen: dict[bytes, list[int]] = {}
-            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for sign in signs(text):
-                    seen.setdefault(sign, [0, 0])[y] += 1
-            # Signs seen in one clean text only can't become voters, but they count as candidates elsewhere.
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), *(pa.array([v[k] for v in seen.values()], pa.int64()) for k in (0, 1))], ["sign", "clean", "toxic"])
+            for at in range(0, len(batch), SLICE):
+                part = batch.slice(at, SLICE)
+                seen: dict[bytes, list[int]] = {}
+                for text, y in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    for sign in signs(text):
+                        seen.setdefault(sign, [0, 0])[y] += 1
+                yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), *(pa.array([v[k] for v in seen.values()], pa.int64()) for k in (0, 1))], ["sign", "clean", "toxic"])
 
     totals = dict(sample.groupBy("y").count().collect())
     clean, toxic = totals.get(0, 0), totals.get(1, 0)
