@@ -40,7 +40,8 @@ def bm25(queries: DataFrame, chunks: DataFrame, k: int = POOL) -> DataFrame:
     total = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("mean_size"))  # one row
     postings = rows.select("chunk_id", "size", F.explode("terms").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
     postings = postings.groupBy("term", "chunk_id", "size").agg(F.count(F.lit(1)).alias("tf"))
-    found = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # Counting by ``tf`` keeps both uses of the postings alike, so that Spark builds and shuffles them once.
+    found = postings.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean_size")))
     weighted = postings.join(found, "term").crossJoin(F.broadcast(total)).select("term", "chunk_id", weight.alias("weight"))
