@@ -1,8 +1,9 @@
 """Benchmark decontamination with spaced seeds.
 
 A seed hashes the words at some places of a span and skips the others, so a substituted word at a skipped place does not
-break it. The two masks below find every overlap of 13 words in which any two are replaced (a test tries all). Seeds of
-all benchmark items are hashed once; every position of every document is tested against a bitmap of fixed size, and only
+break it. The three masks below find every overlap of at least 13 words in which any fifth is replaced: a test tries all
+patterns of 13 to 25 words, and of a longer overlap one half has as many equal words in proportion. Seeds of all
+benchmark items are hashed once; every position of every document is tested against a bitmap of fixed size, and only
 what is found there is joined with the items and verified word by word around the hit.
 """
 
@@ -17,7 +18,7 @@ from quillfund.llm.common import drop_rows, keyed, table, written
 from quillfund.llm.windows import mix, word_units
 
 #: Places of a span that a seed reads.
-MASKS = ((0, 1, 2, 3, 5, 6), (0, 1, 2, 4, 7, 8))
+MASKS = ((0, 1, 2, 4, 5, 6), (0, 1, 5, 7, 8, 10), (0, 2, 3, 5, 9, 10))
 #: For items of fewer than ``OVERLAP`` words: it finds every such item with a fifth of its words replaced.
 SHORT_MASK = (0, 1)
 #: Words that an overlap has at least, or the whole item if that is shorter; and the least share of equal words.

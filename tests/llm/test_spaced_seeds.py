@@ -19,6 +19,32 @@ def test_masks_find_every_two_substitutions():
             assert any(all(s + p not in bad for p in SHORT_MASK) for s in range(n - SHORT_MASK[-1]))
 
 
+def test_masks_find_every_fifth_replaced():
+    # Longer overlaps need no try: one of two halves of at least 13 words has its share of equal words.
+    for n in range(OVERLAP, 2 * OVERLAP):
+        bad = np.array([sum(1 << p for p in places) for places in itertools.combinations(range(n), n // 5)])
+        for mask in MASKS:
+            for s in range(n - mask[-1]):
+                bad = bad[bad & sum(1 << (s + p) for p in mask) != 0]
+        assert not len(bad), (n, [p for p in range(n) if bad[0] >> p & 1])
+
+
+def test_every_fifth_replaced_is_found(spark):
+    rng = random.Random(3)
+    items = [[f"w{k}x{j}" for j in range(n)] for k, n in enumerate(range(OVERLAP, 31))]
+    lost = {15: (2, 5, 8), 16: (3, 7, 11), 20: (1, 8, 10, 13)}
+    docs = []
+    for k, item in enumerate(items):
+        for turn in range(12):
+            n = len(item)
+            gone = lost[n] if turn == 0 and n in lost else rng.sample(range(1, n - 1), n // 5)
+            copy = [f"r{turn}" if p in gone else w for p, w in enumerate(item)]
+            docs.append((100 * k + turn, " ".join(["before"] * rng.randrange(20) + copy + ["after"] * rng.randrange(20)), 1, "x"))
+    bench = spark.createDataFrame([(k, " ".join(item)) for k, item in enumerate(items)], "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in leaks(spark.createDataFrame(docs, DOCS), bench).collect()}
+    assert found == {(d[0], d[0] // 100) for d in docs}
+
+
 def stretch(same):
     best = 0
     for a in range(len(same)):
