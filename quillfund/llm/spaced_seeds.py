@@ -51,17 +51,28 @@ def seeds_of(words: np.ndarray, masks) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
-    """Words and equal words of the longest stretch of two aligned sequences in which ``IDENTITY`` of the words agree."""
-    same = a == b
+    """Words and equal words of the longest stretch of two aligned sequences that begins and ends on equal words and in
+    which ``IDENTITY`` of the words agree."""
+    equal = np.flatnonzero(a == b)
+    if not len(equal):
+        return 0, 0
     share = round(IDENTITY * 1000)
-    score = np.concatenate([[0], np.cumsum(np.where(same, 1000 - share, -share))])
-    # The longest stretch begins at a new low of the score and ends where the score is last as high.
-    low = np.flatnonzero(np.concatenate([[True], score[1:] < np.minimum.accumulate(score)[:-1]]))
-    reach = np.maximum.accumulate(score[::-1])  # ascending, from the end
-    last = len(score) - 1 - np.searchsorted(reach, score[low], side="left")
-    begin = int(low[k := int(np.argmax(last - low))])
-    inside = np.flatnonzero(same[begin : last[k]])
-    return (int(inside[-1] - inside[0] + 1), len(inside)) if len(inside) else (0, 0)
+    # A stretch from the i-th to the j-th equal word has its share if end[j] is at least begin[i].
+    begin = 1000 * np.arange(len(equal)) - share * equal
+    end = begin + 1000 - share
+    # The longest stretch begins at a new low and ends at the last place that is as high.
+    low = np.flatnonzero(np.concatenate([[True], begin[1:] < np.minimum.accumulate(begin)[:-1]]))
+    reach = np.maximum.accumulate(end[::-1])  # ascending, from the end
+    last = len(equal) - 1 - np.searchsorted(reach, begin[low], side="left")
+    k = int(np.argmax(equal[last] - equal[low]))
+    return int(equal[last[k]] - equal[low[k]] + 1), int(last[k] - low[k] + 1)
+
+
+def agreement(a: np.ndarray, b: np.ndarray, size: int) -> tuple[int, int]:
+    """``overlap``, or all of an item of ``size`` words if it is aligned whole and ``IDENTITY`` of its words are equal,
+    whichever words are replaced."""
+    equal = int(np.count_nonzero(a == b))
+    return (size, equal) if len(a) == size and equal * 1000 >= round(IDENTITY * 1000) * size else overlap(a, b)
 
 
 def _items(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -88,7 +99,8 @@ def _items(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def leaks(docs: DataFrame, benchmark: DataFrame, exact_seeds: int = EXACT_SEEDS) -> DataFrame:
     """``doc_id, t, item_id, item_words, overlap_words, equal_words``: one row for each document (of ``docs`` rows) and
-    item whose texts overlap: at least ``OVERLAP`` aligned words (or the whole of a shorter item), ``IDENTITY`` of them equal.
+    item whose texts overlap: at least ``OVERLAP`` aligned words that begin and end on equal ones, or the whole of an item
+    of any length whichever of its words are replaced; in both, ``IDENTITY`` of the words are equal.
 
     Null and empty texts, and items of fewer than ``LEAST_WORDS`` words, match nothing; repeated documents or items repeat
     rows only where both ids and texts are distinct; empty tables give an empty result; other columns are not read.
@@ -144,7 +156,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, exact_seeds: int = EXACT_SEEDS)
                 best = (0, 0)
                 for shift in shifts:
                     a, b = max(0, shift), min(len(words), shift + len(item))
-                    best = max(best, overlap(words[a:b], item[a - shift : b - shift]))
+                    best = max(best, agreement(words[a:b], item[a - shift : b - shift], len(item)))
                 out.append((*best, len(item)))
             columns = [pa.array([o[k] for o in out], pa.int32()) for k in (2, 0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(5), *columns], ["doc_id", "t", "it", "item_words", "overlap_words", "equal_words"])

@@ -63,6 +63,39 @@ def test_overlap_is_the_longest():
         assert size >= stretch(same) - 4 and (size == 0 or equal >= IDENTITY * size - 1)
 
 
+def test_overlap_is_exactly_the_longest():
+    rng = random.Random(4)
+    cases = [[True] * 12 + [False] * 20 + [True] * 6 + [False] * 2 + [True] * 5]
+    cases += [[rng.random() < rng.choice([0.5, 0.8, 0.9]) for _ in range(rng.randrange(1, 45))] for _ in range(400)]
+    for same in cases:
+        a = np.arange(len(same))
+        size, equal = overlap(a, np.where(same, a, -1))
+        assert size == stretch(same) and equal >= IDENTITY * size - 1e-9
+        assert size == 0 or any(same[k] and same[k + size - 1] and sum(same[k : k + size]) == equal for k in range(len(same) - size + 1))
+
+
+def test_edge_replacements(spark):
+    docs, bench, expected = [], [], set()
+    for n in (5, 6, 8, 10, 12, 13, 15, 20):
+        item = [f"w{n}x{j}" for j in range(n)]
+        bench.append((n, " ".join(item)))
+        most = n // 5
+        for turn, gone in enumerate([range(most), range(n - most, n), [0, *range(n - most + 1, n)], range(most + 1), range(n - 2 * n // 5, n)]):
+            copy = ["r" if p in gone else w for p, w in enumerate(item)]
+            same = [p not in gone for p in range(n)]
+            if len(set(gone)) <= most or stretch(same) >= OVERLAP:
+                expected.add((100 * n + turn, n))
+            docs.append((100 * n + turn, " ".join(["before"] * turn + copy + ["after"] * turn), 1, "x"))
+    # The longer untrimmed stretch of equal words hides the one that counts.
+    item = [f"long{j}" for j in range(45)]
+    bench.append((45, " ".join(item)))
+    docs.append((45, " ".join(f"r{j}" if 12 <= j < 32 or j in (38, 39) else w for j, w in enumerate(item)), 1, "x"))
+    expected.add((45, 45))
+    found = leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(bench, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == expected
+    assert all(r.equal_words >= IDENTITY * r.overlap_words for r in found)
+
+
 @pytest.mark.parametrize("exact", [2_000_000, 0])
 def test_against_all_alignments(spark, exact):
     rng = random.Random(2)
