@@ -85,6 +85,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     pieces = spark.read.option("lineSep", RECORD_END).text(path).select(F.col("value").cast("binary").alias("piece"), F.col("_metadata.file_path").alias("file"))
 
     def assemble(batches):
+        end = RECORD_END.encode()
         file, head, block, left = None, None, [], 0
         for batch in batches:
             heads, blocks = [], []
@@ -94,6 +95,14 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                     if head is not None:
                         raise ValueError(f"the last record of {file} is cut short")
                     file = name
+                if head is not None and block and left < len(end):
+                    # This separator straddles the block's end; what is left of it begins the record's end.
+                    rest = end[left:] + piece
+                    if not rest.startswith(end):
+                        raise ValueError(f"a record of {file} is longer than its Content-Length")
+                    heads.append(list(head.items()))
+                    blocks.append(b"".join([*block, end[:left]]))
+                    head, piece = None, rest[len(end) :]
                 if head is None:
                     if not piece.strip():
                         continue
@@ -107,8 +116,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                     continue
                 # A separator inside the block belongs to it.
                 if block:
-                    block.append(RECORD_END.encode())
-                    left -= len(RECORD_END)
+                    block.append(end)
+                    left -= len(end)
                 block.append(piece)
                 left -= len(piece)
                 if left == 0:

@@ -7,6 +7,7 @@ from collections import Counter
 
 import pytest
 
+from quillfund.llm import warc
 from quillfund.llm.common import scratch_path
 from quillfund.llm.warc import read_archives, read_pages, resolve, write_archives
 
@@ -40,6 +41,24 @@ def test_round_trip(spark):
     assert stored and all(bytes(r.block).endswith(b"\r\n\r\n") and len(r.block) < 100 for r in stored)
 
 
+@pytest.mark.parametrize("file_records", [20_000, 1])
+def test_any_ending_round_trips(spark, monkeypatch, file_records):
+    monkeypatch.setattr(warc, "FILE_RECORDS", file_records)
+    endings = ["\r\n" * k for k in range(6)] + ["\r", "\n", "\r\n\r", "\n\r\n", "\r\r\n"]
+    rows = [(10 * j + k, "u", start + ending, "clash") for j, start in enumerate(["", "x", "y" * 120, "\r\n\r\nz"]) for k, ending in enumerate(endings)]
+    rows += [(row[0] + 1000, *row[1:]) for row in rows]
+    path = scratch_path(spark, "warc")
+    write_archives(spark.createDataFrame(rows, PAGES).coalesce(1), path)
+    got = Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in read_pages(spark, path).collect())
+    assert got == expected(rows)
+
+
+def test_refuses_records_longer_than_they_say(spark, tmp_path):
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(b"WARC/1.0\r\nWARC-Type: resource\r\nContent-Length: 3\r\n\r\nx\r\n\r\ny\r\n\r\n"))
+    with pytest.raises(Exception, match="longer than"):
+        read_archives(spark, str(tmp_path)).collect()
+
+
 def test_reads_other_writers_and_refuses_cut_files(spark, tmp_path):
     record = b"WARC/1.0\r\nWARC-Type: resource\r\nContent-Length: 5\r\n\r\n\xff\r\n\r\n\r\n\r\n"
     empty = b"WARC/1.0\r\nWARC-Type: metadata\r\nContent-Length: 0\r\n\r\n\r\n\r\n"
