@@ -7,7 +7,8 @@ everywhere (also in other case), so coreference holds; an e-mail's domain is rep
 colleagues.
 
 Distinctness is checked on the distinct entities of the whole corpus: a surrogate that two entities share, or that is
-itself an entity of the corpus, is drawn again for all but the smallest of them until none is left. Only entities drawn
+itself an entity of the corpus, is drawn again for all but the smallest of them until none is left. From draw ``WIDE_DRAW``
+on the form widens with each draw (more letters or digits, octets of any width), so a crowded form ends too. Only entities drawn
 more than once must be carried to the documents; all others are recomputed where they stand, so texts are not shuffled.
 """
 
@@ -23,8 +24,11 @@ from pyspark.sql import functions as F
 
 from quillfund.llm.common import attach, keyed, table, written
 
-#: Draws after which the check gives up with an error.
+#: Draws after which the check gives up with an error. Forms widen long before, so only what has nothing to widen (a name
+#: without letters, which is never detected) or half of all IPv4 addresses can get there.
 MOST_DRAWS = 64
+#: The first draw that may leave the form: one symbol more than the entity has, and another one with each further draw.
+WIDE_DRAW = 8
 DEFAULT_KEY = b"surrogates"
 
 # Given names by script and gender, honorifics by gender.
@@ -126,6 +130,11 @@ def _masked(value: str, draw: Draw, hexadecimal: bool = False) -> str:
     return "".join(out)
 
 
+def _more(count: int, first: str, last: str, draw: Draw) -> str:
+    """``count`` further symbols from ``first`` to ``last``."""
+    return "".join(chr(ord(first) + draw.below(ord(last) - ord(first) + 1)) for _ in range(count))
+
+
 def _checked(digits: str) -> bool:
     total = 0
     for k, c in enumerate(reversed(digits)):
@@ -138,17 +147,23 @@ def surrogate(key: bytes, kind: str, value: str, draw: int = 0) -> str:
     """The replacement of ``value``, an entity of type ``kind``, at draw number ``draw``. Case and separators follow the
     value; everything else follows ``normal(kind, value)`` only."""
     same = normal(kind, value)
+    wide = max(0, draw + 1 - WIDE_DRAW)
     stream = Draw(key, kind, same, draw)
     if kind == "email":
         local, _, domain = value.rpartition("@")
         labels = domain.split(".")
         host = _masked(".".join(labels[:-1]).casefold(), Draw(key, "domain", domain.casefold(), 0))
         cased = host.upper() if domain.isupper() else host
-        return f"{_masked(local.casefold(), stream).upper() if local.isupper() else _masked(local.casefold(), stream)}@{cased}.{labels[-1]}"
+        name = _masked(local.casefold(), stream) + _more(wide, "a", "z", stream)
+        return f"{name.upper() if local.isupper() else name}@{cased}.{labels[-1]}"
+    if kind == "ip" and wide:
+        return ".".join(str(stream.below(256)) for _ in range(4))
     if kind == "ip":
         return ".".join(str(_octet(len(part), stream)) for part in value.split("."))
     if kind in ("phone", "card", "ssn", "iban"):
         fresh = _masked(same, stream) if kind != "phone" or "+" not in same else "+" + _phone(value, same, stream)
+        # Two at least, a group of a phone number.
+        fresh += _more(wide + 1 if wide else 0, "0", "9", stream)
         if kind == "card":
             valid = _checked(same)
             last = next(d for d in "0123456789"[int(fresh[-1]) :] + "0123456789" if _checked(fresh[:-1] + d) == valid)
@@ -157,11 +172,12 @@ def surrogate(key: bytes, kind: str, value: str, draw: int = 0) -> str:
             fresh = same[:2] + fresh[2:]
         fill = iter(fresh)
         out = [next(fill) if normal(kind, c) else c for c in value]
-        return "".join(c.upper() if v.isupper() else c for c, v in zip(out, value, strict=True))
+        return "".join(c.upper() if v.isupper() else c for c, v in zip(out, value, strict=True)) + "".join(fill)
     if kind.startswith("name"):
-        return _name(value, kind[-1], stream)
+        return _name(value, kind[-1], stream, wide)
     shape = _masked(value.casefold(), stream, bool(re.fullmatch(r"[0-9a-fA-F]+", value)))
-    return shape.upper() if value.isupper() else shape if value.islower() else "".join(c.upper() if v.isupper() else c for c, v in zip(shape, value, strict=True))
+    more = _more(wide, *("09" if same.isdecimal() else "af" if re.fullmatch(r"[0-9a-f]+", same) else "az"), stream)
+    return (shape + more).upper() if value.isupper() else shape + more if value.islower() else "".join(c.upper() if v.isupper() else c for c, v in zip(shape, value, strict=True)) + more
 
 
 def _octet(size: int, draw: Draw) -> int:
@@ -176,16 +192,19 @@ def _phone(value: str, same: str, draw: Draw) -> str:
     return same[1 : 1 + country] + _masked(same[1 + country :], draw)
 
 
-def _name(value: str, gender: str, draw: Draw) -> str:
+def _name(value: str, gender: str, draw: Draw, wide: int = 0) -> str:
     given, *rest = value.split(" ")
     letter = next((c for c in given if c.isalpha()), "A")
     script = next((s for s in ("latin", "cyrillic", "greek") if unicodedata.name(letter, "").startswith(s.upper())), None)
+    ends = {"cyrillic": ("а", "я"), "greek": ("α", "ρ")}.get(script, ("a", "z"))
+    wide *= any(c.isalpha() for c in value)
     if script is None:
-        return _masked(value, draw)
+        return _masked(value, draw) + _more(wide, *ends, draw)
     choices = NAMES[script, gender]
     # The lists are short, so the rest of the name is drawn letter by letter; a lone name too gets a drawn part.
     words = [choices[draw.below(len(choices))]] if rest else [_spelled(given, draw)]
     words += [_spelled(word, draw) for word in rest]
+    words[-1] += _more(wide, *ends, draw)
     return " ".join(w.upper() if value.isupper() else w for w in words)
 
 

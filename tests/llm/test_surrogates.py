@@ -51,6 +51,31 @@ def test_collisions_are_drawn_again(spark):
         redraws(crowded, KEY)
 
 
+def test_crowded_forms_widen(spark):
+    # More entities than half of a form, forms without a free value, and values that have nothing to mask.
+    texts = [f"v {a}.{b}.{c}.{d} x" for a in range(10) for b in range(10) for c in range(10) for d in range(6)]
+    texts += [f"Mr {chr(a)}{chr(b)} x" for a in range(65, 91) for b in range(97, 117)]
+    texts += ["Ms Ђђ x", 'password = "******"', 'token = "!!!!!!"'] + [f"{c}@a.com x" for c in "abcdefghijklmnopqrstuvwxyz0123456789"]
+    docs = spark.createDataFrame([(k, text) for k, text in enumerate(texts)], "doc_id long, text string")
+    out = {r.doc_id: r.text for r in replace_pii(docs, KEY).collect()}
+    old = [[(kind[:4], normal(kind, t[a:b])) for a, b, kind in detect(t)] for t in texts]
+    new = [[(kind[:4], normal(kind, out[k][a:b])) for a, b, kind in detect(out[k])] for k in range(len(texts))]
+    assert [[kind for kind, _ in found] for found in new] == [[kind for kind, _ in found] for found in old]
+    values = [v for found in new for v in found]
+    assert len(values) == len(set(values)) == len(texts) and not set(values) & {v for found in old for v in found}
+
+
+def test_wide_surrogates_keep_their_kind():
+    for begin, end, kind in detect(TEXT):
+        value = TEXT[begin:end]
+        for draw in (surrogates.WIDE_DRAW, surrogates.WIDE_DRAW + 1):
+            fresh = surrogate(KEY, kind, value, draw)
+            assert fresh != surrogate(KEY, kind, value, draw - 1) and (kind == "ip" or len(normal(kind, fresh)) > len(normal(kind, value)) or kind.startswith("name"))
+            assert kind != "card" or _checked(fresh)
+            if kind not in ("ssn", "phone"):
+                assert [k for _, _, k in detect(TEXT[:begin] + fresh + TEXT[end:])] == [k for _, _, k in detect(TEXT)]
+
+
 def test_documents(spark):
     names = [f"Ms {a}{b} was here" for a in "ABCDEFGHIJ" for b in "abcdefghijklm"]
     rows = [(1, TEXT, len(TEXT), "i", "t"), (1, TEXT, len(TEXT), "i", "t"), (None, "see 10.0.0.255", 14, None, None), (3, None, 7, "i", None), (4, "", 0, None, "t"), (5, "clean", 99, "i", "t")]
