@@ -7,6 +7,7 @@ import math
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -112,12 +113,28 @@ def buckets(pdf: pd.DataFrame, level: float | None, at: float | None, capacity:
 
 
 def token_bucket(calls: DataFrame, capacity: float, per_second: float, cost: float = 1.0) -> DataFrame:
-    """Batch replay of (user_id, event_id, ms). A user's calls are a sequence that cannot be cut, so a user is one group."""
-
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        return buckets(pdf.sort_values(["ms", "event_id"]), None, None, capacity, per_second, cost)[0]
-
-    return calls.select("user_id", "event_id", "ms").groupBy("user_id").applyInPandas(one, "user_id long, event_id long, ms long, allowed boolean, wait_ms long")
+    """Batch replay of (user_id, event_id, ms). Calls come sorted, and only the level and time of one user are carried from
+    batch to batch, so a user's calls need not fit in memory."""
+
+    def replay(batches):
+        user, level, at = None, None, None
+        for batch in batches:
+            pdf, users = batch.to_pandas(), batch.column(0).to_pylist()
+            cuts = [0, *(k for k in range(1, len(users)) if users[k] != users[k - 1]), len(users)]
+            parts = []
+            for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
+                if begin == end:
+                    continue
+                if users[begin] != user:
+                    user, level, at = users[begin], None, None
+                part, level, at = buckets(pdf.iloc[begin:end], level, at, capacity, per_second, cost)
+                parts.append(part)
+            allowed, wait = ([x for part in parts for x in part[c]] for c in ("allowed", "wait_ms"))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(allowed, pa.bool_()), pa.array(wait, pa.int64())], ["user_id", "event_id", "ms", "allowed", "wait_ms"])
+
+    rows = calls.select(*[F.col(c).cast("long").alias(c) for c in ("user_id", "event_id", "ms")])
+    rows = rows.repartition("user_id").sortWithinPartitions("user_id", F.col("ms").asc_nulls_last(), F.col("event_id").asc_nulls_last())
+    return rows.mapInArrow(replay, "user_id long, event_id long, ms long, allowed boolean, wait_ms long")
 
 
 def token_bucket_stream(calls: DataFrame, capacity: float, per_second: float, cost: float = 1.0) -> DataFrame:

@@ -4,6 +4,7 @@ import datetime as dt
 import json
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,3 +113,21 @@ def test_manifest_and_dumps(spark, tmp_path):
     (tmp_path / "dump.txt").write_text(sample % 5 + sample % 30)
     got = S.read_jfr(spark, str(tmp_path / "dump.txt"), "12:00:00", "12:00:20").collect()
     assert [(r.time, r.frames) for r in got] == [("12:00:05", ["a.B.c()", "d.E.f(int)"])]
+
+
+def test_token_bucket_carries_a_user_across_batches(spark):
+    rows = [(user, k, (k * 7919) % 1000) for user, n in ((1, 300), (2, 5), (None, 40), (3, 1)) for k in range(n)]
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = R.token_bucket(spark.createDataFrame(rows, "user_id long, event_id long, ms long"), 3, 20.0)
+        assert "FlatMapGroups" not in found._jdf.queryExecution().toString()
+        got = {(r.user_id, r.event_id): (r.allowed, r.wait_ms) for r in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    expected = {}
+    for user in (1, 2, None, 3):
+        calls = pd.DataFrame([r for r in rows if r[0] == user], columns=["user_id", "event_id", "ms"]).sort_values(["ms", "event_id"])
+        for r in R.buckets(calls, None, None, 3, 20.0, 1.0)[0].itertuples():
+            expected[user, r.event_id] = (r.allowed, r.wait_ms)
+    assert got == expected
