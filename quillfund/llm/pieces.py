@@ -3,7 +3,8 @@
 For every prefix of a text, BPE's encoding of that prefix ends in one particular token. The table stores that token for
 each prefix, from left to right: among the tokens that end at a position (found by an automaton), the last one is that
 which leaves a prefix whose own last token is compatible with it, that is, which BPE keeps apart from it. Following the
-table backwards from the end gives the ids. No merge queue is run, and the work is linear in the text.
+table backwards from the end gives the ids. The work is linear in the text, and a merge queue is run only where a word
+begins with two marks or a model's texts cannot be split into words.
 
 Two tokens are compatible if no merge across their boundary comes before the merges that hide the pieces next to it. The
 test undoes the merges of both sides, latest first, and looks at each pair that met at the boundary.

@@ -3,8 +3,8 @@
 The suffixes that can matter are the starts of open windows (``windows``), 35 words deep. They are split into groups by
 prefixes of variable length: a suffix joins the group of its first 5 words, unless that prefix is too frequent for one
 task's memory, then of its first 15 or all 35. Each group's suffixes, in sorted order, are the leaves of one subtree;
-two neighbours whose common prefix is 35 words deep hang below an internal node of that depth, so both repeat. Labels are
-hashes of the words between two depths, and a path is compared at all three of them. A prefix that is too frequent even at
+two neighbours whose common prefix is 35 words deep hang below an internal node of that depth, so both repeat. No tree
+is built: suffixes are sorted by hashes of their first 5, 15 and 35 words, and a path is compared at all three of them. A prefix that is too frequent even at
 35 words is itself a deep node with many leaves: its suffixes are settled by their count, without a group.
 """
 
