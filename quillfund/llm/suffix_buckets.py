@@ -4,28 +4,25 @@
 by key and each task sorts its suffixes only as deep as the answer needs: a first pass puts positions into buckets by
 their first eight bytes, and every later pass splits the buckets that still hold several positions by sorting on the
 bucket identifiers of a later offset. Identifiers are updated in place, so a pass reuses what earlier passes refined and
-the settled depth doubles. Positions that are alone in a bucket are done. Comparison is by bytes, not by hash.
-
-A key that very many texts share would be one large group; it is dealt out again by the windows' own hashes, counted
-before the shuffle, and settled by counts.
+the settled depth doubles. Positions that are alone in a bucket are done. Different texts are compared by bytes, not by
+hash; a key that very many texts share is dealt out by longer shared content, so no group outgrows a task.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillfund.llm.common import attach, keyed, table, written
-from quillfund.llm.windows import byte_units, classify, kept_pieces, per_document, prefix, span_hash, spans, texts, window_runs
+from quillfund.llm.windows import classify, in_groups, kept_pieces, settle, spans, window_runs
 
 LENGTH = 400
 #: Bytes hashed together to choose a window's key.
 GRAM = 24
 #: Bytes of text refined at once.
 BATCH_BYTES = 2 << 20
-#: Texts of one key that a task takes; keys with more are dealt out by window.
+#: Different texts of one group that a task takes; larger groups are dealt out again.
 GROUP_TEXTS = 8192
 
 
@@ -64,85 +61,19 @@ def _number(bucket: np.ndarray, places: np.ndarray, keys: np.ndarray, fresh: int
     return int(names[-1]) + 1
 
 
-def _open_texts(docs: DataFrame, asked: DataFrame, length: int) -> DataFrame:
-    """The texts of open runs: key, place, ``lone`` and the bytes; of crowded keys one row for each window with its hash."""
-
-    def cut(batches):
-        for batch in batches:
-            rows: dict[str, list] = {c: [] for c in ("row", "key", "start", "lone", "body", "h")}
-            asked = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("start", "n", "key", "lone", "crowded")]
-            for row, (data, *asks) in enumerate(zip(texts(batch, "text"), *asked, strict=True)):
-                sums = None
-                for at, n, key, lone, crowded in zip(*asks, strict=True):
-                    if crowded:
-                        sums = prefix(byte_units(data)) if sums is None else sums
-                        where = np.arange(at, at + n)
-                        rows["h"] += span_hash(sums, where, where + length).view(np.int64).tolist()
-                        rows["body"] += [None] * n
-                    else:
-                        where = [at]
-                        rows["h"].append(None)
-                        rows["body"].append(data[at : at + n - 1 + length].tobytes())
-                    rows["row"] += [row] * len(where)
-                    rows["start"] += list(where)
-                    rows["key"] += [key] * len(where)
-                    rows["lone"] += [lone] * len(where)
-            take = pa.array(rows["row"], pa.int64())
-            ids = [batch.column(batch.schema.get_field_index(c)).take(take) for c in ("doc_id", "t")]
-            columns = [*ids, *(pa.array(rows[c], kind) for c, kind in (("key", pa.int64()), ("start", pa.int32()), ("lone", pa.bool_()), ("body", pa.binary()), ("h", pa.int64())))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "t", "key", "start", "lone", "body", "h"])
-
-    with_items = attach(docs, per_document(asked, "start", "n", "key", "lone", "crowded"), "start", 20).where("start is not null")
-    return with_items.mapInArrow(cut, "doc_id long, t long, key long, start int, lone boolean, body binary, h long")
-
-
-def _settle(length: int, batch_bytes: int):
-    """Reads texts in order of their keys and returns the repeated windows of the lone ones, as runs."""
-
-    def settle(batches):
-        held, size, last = [], 0, None
-        for batch in batches:
-            for row in batch.to_pylist():
-                if size >= batch_bytes and row["key"] != last:
-                    yield from answer(held)
-                    held, size = [], 0
-                held.append(row)
-                size, last = size + len(row["body"]), row["key"]
-        if held:
-            yield from answer(held)
-
-    def answer(rows):
-        sizes = np.array([len(r["body"]) for r in rows])
-        text = np.frombuffer(b"".join(r["body"] for r in rows), np.uint8)
-        ends = np.cumsum(sizes)
-        bucket = refine(text, np.repeat(ends, sizes), length)
-        whole = bucket >= 0
-        counts = np.bincount(bucket[whole], minlength=1)
-        lone = np.repeat(np.array([r["lone"] for r in rows]), sizes)
-        again = whole & lone
-        again[again] = counts[bucket[again]] > 1
-        edges = np.flatnonzero(np.diff(np.concatenate([[0], again.view(np.int8), [0]])))
-        begin, end = edges[::2], edges[1::2]  # a text's last windows are not starts, so runs never cross texts
-        of = np.searchsorted(ends, begin, side="right")
-        take = [rows[k] for k in of]
-        start = np.array([r["start"] for r in take], np.int64) + begin - (ends - sizes)[of]
-        yield pa.RecordBatch.from_arrays([pa.array([r["doc_id"] for r in take], pa.int64()), pa.array([r["t"] for r in take], pa.int64()), pa.array(start.astype(np.int32)), pa.array((end - begin).astype(np.int32))], ["doc_id", "t", "start", "n"])
-
-    return settle
+def repeated(text: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
+    """The positions of several joined texts whose ``length`` bytes start at another position too."""
+    bucket = refine(text, ends, length)
+    again = bucket >= 0
+    again[again] = np.bincount(bucket[again], minlength=1)[bucket[again]] > 1
+    return again
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group_texts: int = GROUP_TEXTS, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """The byte spans of ``keyed`` documents that repeated ``length``-byte strings cover: doc_id, t, items of (begin, end)."""
     whole, asked = classify(window_runs(docs, "byte", length, gram))
-    crowded = asked.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > group_texts).select("key", F.lit(True).alias("crowded"))
-    asked = asked.join(crowded, "key", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False)))
-    opened = written(_open_texts(docs, asked, length), "open-texts")
-    place = "doc_id long, t long, start int, n int"
-    settled = opened.where("body is not null").repartition("key").sortWithinPartitions("key").mapInArrow(_settle(length, batch_bytes), place)
-    split = opened.where("body is null")
-    again = split.groupBy("key", "h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key", "h")
-    split = split.where("lone").join(again, ["key", "h"], "left_semi").select("doc_id", "t", "start", F.lit(1).alias("n"))
-    return spans(whole.unionByName(settled).unionByName(split), length)
+    settled = settle(docs, asked, "byte", length, gram, group_texts, in_groups(length, batch_bytes, 1, repeated))
+    return spans(whole.unionByName(settled), length)
 
 
 def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, **limits) -> DataFrame:

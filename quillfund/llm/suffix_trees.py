@@ -1,108 +1,104 @@
 """Word-level substring dedup with prefix-partitioned suffix trees.
 
-The suffixes that can matter are the starts of open windows (``windows``), 35 words deep. They are split into groups by
-prefixes of variable length: a suffix joins the group of its first 5 words, unless that prefix is too frequent for one
-task's memory, then of its first 15 or all 35. Each group's suffixes, in sorted order, are the leaves of one subtree;
-two neighbours whose common prefix is 35 words deep hang below an internal node of that depth, so both repeat. No tree
-is built: suffixes are sorted by hashes of their first 5, 15 and 35 words, and a path is compared at all three of them. A prefix that is too frequent even at
-35 words is itself a deep node with many leaves: its suffixes are settled by their count, without a group.
+The suffixes that can matter are the starts of open windows (``windows``), 35 words deep and more. Putting each into the
+tree by its own first words would move 35 words for every single one, so the tree is a sparse one: its suffixes begin at the
+4-word prefix that a window's key chooses, and the windows around it travel with it as one text. Texts are split into
+groups by that prefix; a prefix that more texts share than fit a task's memory is lengthened, to the words that all
+windows of a range of offsets share, until groups fit.
+
+Each group's texts make one generalised suffix tree, held as its leaves in word order with the common-prefix depth of
+neighbours, from which internal nodes are read. Nodes at least 35 words deep are repeats, and all their leaves start
+repeated windows; a node whose leaves are preceded by different words is a maximal repeat.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillfund.llm.common import attach, keyed, table, written
-from quillfund.llm.windows import classify, kept_pieces, per_document, prefix, span_hash, spans, texts, window_runs, word_units
+from quillfund.llm.common import attach, keyed, table
+from quillfund.llm.windows import classify, in_groups, kept_pieces, settle, spans, window_runs
 
 LENGTH = 35
-#: Words hashed together to choose a window's key.
+#: Words of the prefix that chooses a group.
 GRAM = 4
-#: Suffixes that one group may hold.
-GROUP_SUFFIXES = 100_000
-
-
-def depths(length: int) -> list[int]:
-    """The prefix lengths at which groups may be split: 5, 15 and all 35 words."""
-    return sorted({max(1, length // 7), max(1, 3 * length // 7), length})
-
-
-def suffixes(docs: DataFrame, asked: DataFrame, length: int) -> DataFrame:
-    """One row for each open window: doc_id, t, start, lone and the prefix hashes p0, p1, ... at ``depths``."""
-    steps = depths(length)
-
-    def cut(batches):
-        for batch in batches:
-            out: list[list[np.ndarray]] = [[] for _ in range(3 + len(steps))]
-            asked = [batch.column(batch.schema.get_field_index(c)) for c in ("start", "n", "lone")]
-            for row, (data, *asks) in enumerate(zip(texts(batch, "text"), *asked, strict=True)):
-                at, n, lone = (ask.values.to_numpy(zero_copy_only=False) for ask in asks)
-                at, n = at.astype(np.int64), n.astype(np.int64)
-                where = np.repeat(at - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                sums = prefix(word_units(data))
-                columns = [np.full(len(where), row), where, np.repeat(lone, n)]
-                for column, values in zip(out, columns + [span_hash(sums, where, where + d).view(np.int64) for d in steps], strict=True):
-                    column.append(values)
-            if not out[0]:
-                continue
-            row, where, lone, *paths = (np.concatenate(c) for c in out)
-            ids = [batch.column(batch.schema.get_field_index(c)).take(pa.array(row)) for c in ("doc_id", "t")]
-            yield pa.RecordBatch.from_arrays([*ids, pa.array(where.astype(np.int32)), pa.array(lone), *map(pa.array, paths)], ["doc_id", "t", "start", "lone", *(f"p{k}" for k in range(len(steps)))])
-
-    with_items = attach(docs, per_document(asked, "start", "n", "lone"), "start", 10).where("start is not null")
-    return with_items.mapInArrow(cut, "doc_id long, t long, start int, lone boolean, " + ", ".join(f"p{k} long" for k in range(len(steps))))
-
-
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group_suffixes: int = GROUP_SUFFIXES) -> DataFrame:
+#: Different texts of one group that a task takes; larger groups get longer prefixes.
+GROUP_TEXTS = 8192
+#: Bytes of text (8 a word) whose trees are built at once.
+BATCH_BYTES = 4 << 20
+
+
+class SuffixTree:
+    """The suffixes of several texts that are at least ``length`` words long, as leaves of a tree of words.
+
+    ``order``: the leaves' positions, sorted by their first ``length`` words; ``depth[k]``: words that the leaves k and
+    k + 1 have in common (exact below twice the largest power of two within ``length``). No repeat holds a word that occurs
+    once, so suffixes with one among their first ``length`` words are left out.
+    """
+
+    def __init__(self, words: np.ndarray, ends: np.ndarray, length: int):
+        self.words, self.ends, self.length = words, ends, length
+        self.room = ends - np.arange(len(words))
+        _, code, count = np.unique(words, return_inverse=True, return_counts=True)
+        once = np.concatenate([[0], np.cumsum(count[code] == 1)])
+        reach = np.minimum(self.room, length)
+        can = np.flatnonzero((self.room >= length) & (once[np.arange(len(words)) + reach] == once[:-1]))
+        # ranks[j][i]: the place of the 2**j words at i among all such spans in word order, -1 past the end of a text.
+        self.ranks = [code.astype(np.int64)]
+        needed = np.bincount(can, minlength=len(words) + 1) - np.bincount(can + length, minlength=len(words) + 1)
+        inside = np.flatnonzero(np.cumsum(needed[:-1]) > 0)  # only words of windows that may repeat are ranked further
+        step = 1
+        while 2 * step <= length:
+            at, low = inside[self.room[inside] >= 2 * step], self.ranks[-1]
+            at = at[low[at + step] >= 0]
+            rank = np.full(len(words), -1, np.int64)
+            rank[at] = np.unique(low[at] << 32 | low[at + step] + 1, return_inverse=True)[1]
+            self.ranks.append(rank)
+            step *= 2
+        top = self.ranks[-1]
+        self.order = can[np.lexsort((top[can + length - step], top[can]))]
+        self.depth = self.common(self.order[:-1], self.order[1:])
+
+    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Words that the suffixes at ``a`` and ``b`` have in common."""
+        found = np.zeros(len(a), np.int64)
+        for j in range(len(self.ranks) - 1, -1, -1):
+            x, y = a + found, b + found
+            able = np.flatnonzero((x < self.ends[a]) & (y < self.ends[b]))
+            rank = self.ranks[j]
+            same = able[(rank[x[able]] >= 0) & (rank[x[able]] == rank[y[able]])]
+            found[same] += 1 << j
+        return found
+
+    def deep_nodes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The internal nodes of ``length`` words or more that have none such above them: first leaf, last leaf, depth, and
+        whether different words (or none) precede the leaves, so that the repeat is maximal."""
+        deep = np.concatenate([[False], self.depth >= self.length, [False]])
+        first, last = np.flatnonzero(~deep[:-1] & deep[1:]), np.flatnonzero(deep[:-1] & ~deep[1:])
+        depth = np.minimum.reduceat(np.append(self.depth, 0), np.stack([first, last], axis=1).ravel())[::2]
+        starts = np.diff(self.ends, prepend=-1) != 0
+        before = np.where(starts[self.order], -1 - self.order, self.ranks[0][self.order - 1])
+        differ = np.concatenate([[0], np.cumsum(before[1:] != before[:-1])]) if len(before) else before
+        return first, last, depth, differ[last] > differ[first]
+
+
+def repeated(words: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
+    """The positions of several joined texts whose ``length`` words start at another position too: leaves of deep nodes."""
+    tree = SuffixTree(words, ends, length)
+    first, last, _, _ = tree.deep_nodes()
+    again, edges = np.zeros(len(words), bool), np.zeros(len(tree.order) + 1, np.int64)
+    edges[first] += 1
+    edges[last + 1] -= 1
+    again[tree.order[np.cumsum(edges[:-1]) > 0]] = True
+    return again
+
+
+def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group_texts: int = GROUP_TEXTS, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """The word spans of ``keyed`` documents that repeated ``length``-word sequences cover: doc_id, t, items of (begin, end)."""
     whole, asked = classify(window_runs(docs, "word", length, gram))
-    leaves = written(suffixes(docs, asked, length), "suffixes")
-    paths = [c for c in leaves.columns if c[0] == "p" and c[1:].isdigit()]
-    settled = []
-    for k, path in enumerate(paths):
-        frequent = leaves.groupBy(*paths[: k + 1]).agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > group_suffixes).drop("c")
-        frequent = written(frequent, "frequent-prefixes")
-        if frequent.isEmpty():
-            settled.append(subtrees(leaves, path, paths))
-            break
-        settled.append(subtrees(leaves.join(frequent, paths[: k + 1], "left_anti"), path, paths))
-        leaves = leaves.join(frequent, paths[: k + 1], "left_semi")
-        if k + 1 < len(paths):
-            leaves = written(leaves, "suffixes")
-        else:
-            settled.append(leaves.where("lone").select("doc_id", "t", "start"))
-    for found in settled:
-        whole = whole.unionByName(found.select("doc_id", "t", "start", F.lit(1).alias("n")))
-    return spans(whole, length)
-
-
-def subtrees(leaves: DataFrame, group: str, paths: list[str]) -> DataFrame:
-    """Leaves below an internal node of full depth, among groups by the prefix ``group``: lone ones, doc_id, t, start.
-
-    Sorting is external and only one leaf is carried from batch to batch, so no group is held in memory whole."""
-
-    def walk(batches):
-        carried = None
-        for batch in batches:
-            batch = pa.Table.from_batches([batch])
-            both = pa.concat_tables([carried, batch]) if carried is not None else batch
-            path = np.stack([both.column(p).to_numpy() for p in paths], axis=1)
-            deep = (path[1:] == path[:-1]).all(axis=1)  # the common prefix with the next leaf has full depth
-            hit = np.zeros(len(path), bool)
-            hit[:-1] |= deep
-            hit[1:] |= deep
-            yield from found(both, hit)
-            carried = both.slice(len(path) - 1)
-
-    def found(rows, hit):
-        hit = hit & rows.column("lone").to_numpy()
-        for batch in rows.filter(pa.array(hit)).select(["doc_id", "t", "start"]).combine_chunks().to_batches():
-            yield batch
-
-    return leaves.repartition(group).sortWithinPartitions(*paths).mapInArrow(walk, "doc_id long, t long, start int")
+    settled = settle(docs, asked, "word", length, gram, group_texts, in_groups(length, batch_bytes, 8, repeated))
+    return spans(whole.unionByName(settled), length)
 
 
 def remove_repeated_words(docs: DataFrame, length: int = LENGTH, **limits) -> DataFrame:

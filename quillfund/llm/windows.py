@@ -6,24 +6,39 @@ mostly share a key, and a maximal run of them is one row: for 400-byte windows a
 (first byte of its first window to the last byte of its last) has a hash of its own, ``seg``.
 
 Any window that repeats has its key in two runs, or twice inside one run that is marked ``loop``. So keys seen once are
-dropped, runs whose whole text occurs twice are repeated throughout, and only what is left is *open*: runs that share a
-key with a different text. The operators settle those exactly, each by its own method, one copy of each text.
+dropped; copies of a run's text are one class with its number of members, told apart by 128 bits of hash besides the key;
+what is left is *open*: classes that share a key with a different text. The operators settle those by content, each by
+its own method, one copy of each text.
+
+A key that more texts share than one task takes (``settle``) is dealt out by longer shared content. Every window with that
+key holds the key's q-gram at some offset; the offsets are cut into ranges, and all windows of one range share the units
+around the q-gram that lie in every window of it. Those units name the new, smaller group. Ranges shrink until groups fit;
+windows of a range of one offset share everything, so they are one class.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillfund.llm.common import written
+from quillfund.llm.common import attach, written
 
 #: Units handled at once; positions inside a chunk need this many bits.
 CHUNK_BITS = 20
 _MASK = np.uint64((1 << CHUNK_BITS) - 1)
 _BASE = 0x9E3779B97F4A7C15
 _UNBASE = pow(_BASE, -1, 1 << 64)
+_TWIN = 0xC2B2AE3D27D4EB4F
+#: Where a run of windows stands.
+PLACE = ("doc_id", "t", "start", "n")
+#: Bytes of open texts that leave a task at once.
+OPEN_BYTES = 8 << 20
 _RANDOM = np.random.default_rng(20240229)
 #: A random 64-bit value for each byte.
 BYTE_VALUES = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -60,6 +75,11 @@ def span_hash(sums: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarra
     return mix((sums[end] - sums[begin]) * powers(len(sums))[1][begin])
 
 
+def gram_hashes(sums: np.ndarray, gram: int) -> np.ndarray:
+    """The hash of the q-gram at each place, the same wherever the q-gram stands."""
+    return mix((sums[gram:] - sums[:-gram]) * powers(len(sums))[1][: len(sums) - gram])
+
+
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     done = 1
     while done < width:
@@ -96,23 +116,24 @@ def word_units(data: np.ndarray, between: np.ndarray = _SPACE) -> np.ndarray:
 
 
 def runs(units: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Runs of the windows of one document: first window, number of windows, key, text hash, loop mark."""
+    """Runs of the windows of one document: first window, number of windows, key, two text hashes, loop mark."""
     parts = []
     step = (1 << CHUNK_BITS) - length
     for at in range(0, len(units) - length + 1, step):
         windows = min(step, len(units) - length + 1 - at)
         part = units[at : at + windows + length - 1]
-        sums, down = prefix(part), powers(len(part) + 1)[1]
-        grams = mix((sums[gram:] - sums[:-gram]) * down[: len(part) - gram + 1])
+        sums, twins = prefix(part), prefix(mix(part ^ np.uint64(_TWIN)))
+        grams = gram_hashes(sums, gram)
         least = sliding_min((grams & ~_MASK) | np.arange(len(grams), dtype=np.uint64), length - gram + 1)
         key = least >> np.uint64(CHUNK_BITS)
         first = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])
         last = np.concatenate([first[1:], [windows]]) - 1
         moved = np.concatenate([[0], np.cumsum(least[1:] != least[:-1])])
-        seg = mix(span_hash(sums, first, last + length) + (last - first).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
-        parts.append((first + at, last - first + 1, key[first].astype(np.int64), seg.view(np.int64), moved[last] != moved[first]))
+        size = (last - first).astype(np.uint64) * np.uint64(0xA24BAED4963EE407)
+        seg, twin = (mix(span_hash(x, first, last + length) + size).view(np.int64) for x in (sums, twins))
+        parts.append((first + at, last - first + 1, key[first].astype(np.int64), seg, twin, moved[last] != moved[first]))
     if not parts:
-        return tuple(np.zeros(0, kind) for kind in (np.int64, np.int64, np.int64, np.int64, bool))
+        return tuple(np.zeros(0, kind) for kind in (np.int64, np.int64, np.int64, np.int64, np.int64, bool))
     return tuple(np.concatenate(column) for column in zip(*parts, strict=True))
 
 
@@ -125,7 +146,7 @@ def texts(batch: pa.RecordBatch, column: str) -> list[np.ndarray]:
 
 
 def window_runs(docs: DataFrame, unit: str, length: int, gram: int) -> DataFrame:
-    """``runs`` of every document of ``keyed`` rows: doc_id, t, start, n, key, seg, loop."""
+    """``runs`` of every document of ``keyed`` rows: doc_id, t, start, n, key, seg, twin, loop."""
     units = {"byte": byte_units, "word": word_units}[unit]
 
     def find(batches):
@@ -139,34 +160,133 @@ def window_runs(docs: DataFrame, unit: str, length: int, gram: int) -> DataFrame
                         rows.append(np.full(len(out[0]), row))
                         found.append(out)
             if rows:
-                start, n, key, seg, loop = (np.concatenate(column) for column in zip(*found, strict=True))
+                start, n, key, seg, twin, loop = (np.concatenate(column) for column in zip(*found, strict=True))
                 take = pa.array(np.concatenate(rows))
-                columns = [ids.take(take), ts.take(take), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(key), pa.array(seg), pa.array(loop)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "t", "start", "n", "key", "seg", "loop"])
+                columns = [ids.take(take), ts.take(take), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(key), pa.array(seg), pa.array(twin), pa.array(loop)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "t", "start", "n", "key", "seg", "twin", "loop"])
 
-    return docs.select("doc_id", "t", "text").mapInArrow(find, "doc_id long, t long, start int, n int, key long, seg long, loop boolean")
+    return docs.select("doc_id", "t", "text").mapInArrow(find, "doc_id long, t long, start int, n int, key long, seg long, twin long, loop boolean")
 
 
 def classify(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Splits ``window_runs`` into (whole, open), both written tables.
 
-    whole: doc_id, t, start, n of runs that are repeated throughout. open: one row for each other text that shares its
-    key, with one place where it stands (doc_id, t, start, n), its key, and ``lone``: the text occurs only there, so which
-    of its windows repeat is asked; the others only serve as witnesses.
+    whole: doc_id, t, start, n of runs whose text has copies, so that they are repeated throughout. open: one row for each
+    text that shares its key with others, with one place where it stands (doc_id, t, start, n), its key, and ``lone``: the
+    text occurs only there, so which of its windows repeat is asked; the others only serve as witnesses.
     """
     found = written(found, "runs")
-    keys = found.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("seg").alias("low"), F.max("seg").alias("high"), F.max("loop").alias("loops")).where("c > 1 or loops")
+    ends = [f(c).alias(f"{f.__name__}_{c}") for c in ("seg", "twin") for f in (F.min, F.max)]
+    keys = found.groupBy("key").agg(F.count(F.lit(1)).alias("c"), *ends, F.max("loop").alias("loops")).where("c > 1 or loops")
     shared = written(found.join(keys.drop("c"), "key"), "shared-runs")
-    alike = F.expr("low = high and not loops")
+    alike = F.expr("min_seg = max_seg and min_twin = max_twin and not loops")
     mixed = shared.where(~alike)
-    segs = mixed.groupBy("key", "seg").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("doc_id", "t", "start", "n")).alias("at"))
+    segs = mixed.groupBy("key", "seg", "twin").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("doc_id", "t", "start", "n")).alias("at"))
     segs = written(segs, "segments")
-    many = mixed.join(segs.where("c > 1").select("key", "seg"), ["key", "seg"], "left_semi")
-    place = ("doc_id", "t", "start", "n")
-    whole = shared.where(alike).select(*place).unionByName(many.select(*place))
+    many = mixed.join(segs.where("c > 1").select("key", "seg", "twin"), ["key", "seg", "twin"], "left_semi")
+    whole = shared.where(alike).select(*PLACE).unionByName(many.select(*PLACE))
     return whole, segs.select("at.*", "key", (F.col("c") == 1).alias("lone"))
 
 
+def open_texts(docs: DataFrame, asked: DataFrame, unit: str, length: int, gram: int, ranges: int = 1) -> DataFrame:
+    """The content of ``asked`` runs: doc_id, t, start, n, lone, body (the bytes, or 8 bytes for each word), ``key`` and
+    ``group``: the key itself, or with several ``ranges`` of offsets a hash of what all windows of the range share."""
+    span = length - gram + 1
+
+    def pieces(hashes: np.ndarray, body: np.ndarray, at: int, n: int, key: int) -> Iterator[tuple[int, int, int]]:
+        """(first window, windows, group) of the parts of one run, each of one place of the q-gram and one range."""
+        stands = np.flatnonzero(gram_hashes(prefix(hashes[at : at + n - 1 + length]), gram) >> np.uint64(CHUNK_BITS) == np.uint64(key))
+        window = np.arange(n)
+        place = stands[np.searchsorted(stands, window)]  # the leftmost, as in ``runs``
+        part = (place - window) * ranges // span
+        for rows in np.split(window, np.flatnonzero((place[1:] != place[:-1]) | (part[1:] != part[:-1])) + 1):
+            k, to = int(part[rows[0]]), at + int(place[rows[0]])
+            least, most = -(-k * span // ranges), -(-(k + 1) * span // ranges) - 1
+            common = body[to - least : to - most + length].tobytes()
+            yield at + int(rows[0]), len(rows), xxhash.xxh64_intdigest(common, (key * 1024 + k) % (1 << 64))
+
+    def cut(batches):
+        for batch in batches:
+            asks = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("start", "n", "key", "lone")]
+            rows, size = [], 0
+            for row, (data, *ask) in enumerate(zip(texts(batch, "text"), *asks, strict=True)):
+                hashes = word_units(data) if unit == "word" else byte_units(data) if ranges > 1 else data
+                body = hashes if unit == "word" else data
+                for at, n, key, lone in zip(*ask, strict=True):
+                    for first, windows, group in pieces(hashes, body, at, n, key) if ranges > 1 else [(at, n, key)]:
+                        rows.append((row, first, windows, lone, body[first : first + windows - 1 + length].tobytes(), key, group - (1 << 64) * (group >> 63)))
+                        size += len(rows[-1][4])
+                if size >= OPEN_BYTES:
+                    yield emit(batch, rows)
+                    rows, size = [], 0
+            yield emit(batch, rows)
+
+    def emit(batch, rows):
+        columns = list(zip(*rows, strict=True)) or [()] * 7
+        take = pa.array(columns[0], pa.int64())
+        ids = [batch.column(batch.schema.get_field_index(c)).take(take) for c in ("doc_id", "t")]
+        kinds = (pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([*ids, *(pa.array(c, kind) for c, kind in zip(columns[1:], kinds, strict=True))], ["doc_id", "t", "start", "n", "lone", "body", "key", "group"])
+
+    with_items = attach(docs, per_document(asked, "start", "n", "key", "lone"), "start", 20).where("start is not null")
+    return with_items.mapInArrow(cut, "doc_id long, t long, start int, n int, lone boolean, body binary, key long, group long")
+
+
+def settle(docs: DataFrame, asked: DataFrame, unit: str, length: int, gram: int, group_texts: int, solve: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Which windows of the ``lone`` runs of ``asked`` repeat: doc_id, t, start, n. ``solve`` gets groups of at most
+    ``group_texts`` different texts; larger ones come back as several, by ever narrower ranges of offsets."""
+    span, ranges, settled = length - gram + 1, 1, []
+    while True:
+        found = written(open_texts(docs, asked, unit, length, gram, ranges), "open-texts")
+        if ranges > 1:
+            # Different texts can have equal parts. Those repeat throughout, and one of them stays as a witness.
+            same = found.groupBy("group", "body").agg(F.count(F.lit(1)).alias("c"), F.max("lone").alias("lone"), F.min(F.struct(*PLACE, "key")).alias("at"))
+            same = written(same, "open-texts")
+            many = same.where("c > 1").select("group", "body")
+            settled.append(found.where("lone").join(many, ["group", "body"], "left_semi").select(*PLACE))
+            found = same.select("group", "body", "at.*", (F.col("lone") & (F.col("c") == 1)).alias("lone"))
+        crowded = found.groupBy("group").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > group_texts).select("group")
+        crowded = written(crowded, "crowded-groups")
+        if ranges == span or crowded.isEmpty():
+            return reduce(DataFrame.unionByName, [*settled, solve(found)])
+        settled.append(solve(found.join(crowded, "group", "left_anti")))
+        asked = found.join(crowded, "group", "left_semi").select(*PLACE, "key", "lone")
+        ranges = min(4 * ranges, span)
+
+
+def in_groups(length: int, batch_bytes: int, unit_bytes: int, repeated: Callable[[np.ndarray, np.ndarray, int], np.ndarray]) -> Callable[[DataFrame], DataFrame]:
+    """A ``solve`` for ``settle``: deals texts out by group and asks ``repeated`` which positions of the joined texts
+    (units, end of each position's text, length) start a window that starts elsewhere too. Whole groups are asked about
+    together, with at least ``batch_bytes`` of text unless it ends."""
+    kind = np.uint8 if unit_bytes == 1 else np.uint64
+
+    def walk(batches):
+        held, size, last = [], 0, None
+        for batch in batches:
+            for row in batch.to_pylist():
+                if size >= batch_bytes and row["group"] != last:
+                    yield answer(held)
+                    held, size = [], 0
+                held.append(row)
+                size, last = size + len(row["body"]), row["group"]
+        if held:
+            yield answer(held)
+
+    def answer(rows):
+        sizes = np.array([len(r["body"]) // unit_bytes for r in rows])
+        text = np.frombuffer(b"".join(r["body"] for r in rows), kind)
+        ends = np.cumsum(sizes)
+        again = repeated(text, np.repeat(ends, sizes), length) & np.repeat(np.array([r["lone"] for r in rows]), sizes)
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], again.view(np.int8), [0]])))
+        begin, end = edges[::2], edges[1::2]  # a text's last windows are not starts, so runs never cross texts
+        of = np.searchsorted(ends, begin, side="right")
+        take = [rows[k] for k in of]
+        start = np.array([r["start"] for r in take], np.int64) + begin - (ends - sizes)[of]
+        return pa.RecordBatch.from_arrays([pa.array([r["doc_id"] for r in take], pa.int64()), pa.array([r["t"] for r in take], pa.int64()), pa.array(start.astype(np.int32)), pa.array((end - begin).astype(np.int32))], list(PLACE))
+
+    return lambda rows: rows.repartition("group").sortWithinPartitions("group").mapInArrow(walk, "doc_id long, t long, start int, n int")
+
+
 def per_document(rows: DataFrame, *columns: str) -> DataFrame:
     """One written row per document with an array for each column; a document's items are bounded by its own length.
     Arrays of plain values take a sixth of the room that an array of structs takes, which matters when they are broadcast."""

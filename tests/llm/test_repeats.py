@@ -45,7 +45,7 @@ def corpus(seed):
     return rows + [rows[12], (None, texts[13], 1, "x"), (None, texts[13], 1, "x"), (3, texts[14], 1, "x")]
 
 
-@pytest.mark.parametrize("limits", [{}, {"group_suffixes": 3}, {"group_suffixes": 40}])
+@pytest.mark.parametrize("limits", [{}, {"group_texts": 2}, {"group_texts": 7, "batch_bytes": 3000}])
 def test_words(spark, limits, monkeypatch):
     if limits:
         monkeypatch.setattr(common, "BROADCAST_BYTES", -1)  # side tables are shuffled
@@ -90,6 +90,51 @@ def test_refine_names_equal_strings():
         assert len(set(strings.values())) == len(strings)
 
 
+def test_deep_nodes_are_the_repeats():
+    rng = np.random.default_rng(8)
+    for _ in range(40):
+        size = int(rng.integers(1, 120))
+        words = rng.integers(0, 3, size).astype(np.uint64)
+        words[: size // 3] = words[size // 3 : 2 * (size // 3)]
+        cut = int(rng.integers(1, size + 1))
+        ends = np.where(np.arange(size) < cut, cut, size)
+        for length in (1, 2, 5, 8, 11):
+            tree = suffix_trees.SuffixTree(words, ends, length)
+            first, last, depth, maximal = tree.deep_nodes()
+            got = {frozenset(tree.order[a : b + 1].tolist()): (d, m) for a, b, d, m in zip(first, last, depth, maximal, strict=True)}
+            places = {}
+            for i in range(size):
+                if i + length <= ends[i]:
+                    places.setdefault(tuple(words[i : i + length]), []).append(i)
+            places = {frozenset(p): p for p in places.values() if len(p) > 1}
+            assert set(got) == set(places)
+            for node, p in places.items():
+                more = length
+                while all(i + more < ends[i] for i in p) and len({words[i + more] for i in p}) == 1:
+                    more += 1
+                before = {(i, None) if i in (0, cut) else words[i - 1] for i in p}
+                assert got[node][1] == (len(before) > 1)
+                assert got[node][0] == more or more > got[node][0] >= 2 * (1 << (length.bit_length() - 1)) - 1
+            again = np.flatnonzero(suffix_trees.repeated(words, ends, length)).tolist()
+            assert again == sorted(i for p in places.values() for i in p)
+    assert len(suffix_trees.repeated(np.zeros(0, np.uint64), np.zeros(0, np.int64), 35)) == 0
+
+
+def test_a_prefix_that_many_texts_share(spark):
+    """One passage in every text: its groups are dealt out by ever longer prefixes, and no copy is lost."""
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    passage = [word() for _ in range(50)]
+    rows = [(k, " ".join([word() for _ in range(60)] + passage[: 50 - k % 3] + [word() for _ in range(60)]), 1, "x") for k in range(60)]
+    docs = spark.createDataFrame(rows, DOCS)
+    units = [t.split() for _, t, _, _ in rows]
+    for r, gone in zip(sorted(suffix_trees.remove_repeated_words(docs, group_texts=5).collect(), key=lambda r: r.doc_id), brute(units, 35), strict=True):
+        assert {i for s in r.removed for i in range(s.begin, s.end)} == gone
+    bytes_of = [list(t.encode()) for _, t, _, _ in rows]
+    for r, gone in zip(sorted(suffix_buckets.remove_repeated_bytes(docs, length=150, group_texts=5).collect(), key=lambda r: r.doc_id), brute(bytes_of, 150), strict=True):
+        assert {i for s in r.removed for i in range(s.begin, s.end)} == gone
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], DOCS)
     assert suffix_trees.remove_repeated_words(empty).count() == 0
@@ -110,7 +155,7 @@ def test_runs_name_equal_windows_alike(monkeypatch):
     data = rng.integers(97, 123, 5000).astype(np.uint8)
     data[3000:3600] = data[100:700]
     data[4000:4500] = 97
-    start, n, key, _, loop = windows.runs(windows.byte_units(data), 400, 24)
+    start, n, key, _, _, loop = windows.runs(windows.byte_units(data), 400, 24)
     assert n.sum() == 5000 - 399 and (np.cumsum(n)[:-1] == start[1:]).all()
     keys, loops = np.repeat(key, n), np.repeat(loop, n)
     seen = {}
