@@ -1,11 +1,14 @@
 """Near-duplicate vectors by counting collisions in many one-dimensional projections.
 
 A projection direction is the sum of one direction of each of two sets, so a few hundred dot products give tens of
-thousands of projections. Every vector enters the lists of the projections in which it lies furthest out, where the sorted
-order is sparse. Two vectors collide in a list if each lies in the window of fixed width centred on the other. Pairs are
-looked at inside a list only; those whose cosine passes and whose collisions over all lists reach the calibrated count
-are links, reported by the first list in which they collide. The number of lists per vector is calibrated by simulated
-pairs at the threshold itself, so pairs above it are found at least as often.
+thousands of projections. Every vector enters the lists of the projections in which it lies furthest out, where the order
+is sparse. Lists are sorted by projection. Each vector is the centre of a window of fixed width, and the vectors inside
+collide with it. For every colliding pair the collisions over all lists are counted; a pair that reaches the calibrated
+count is verified once, by its cosine, in the first list in which it collides. No verified pair is dropped.
+
+The number of lists and the count come from simulated pairs at the threshold itself: the fewest lists with which the
+share of them that reaches a count of at least ``LEAST_COUNT`` is the recall asked for. Pairs above the threshold are
+found at least as often. If no number of lists will do, the plan is refused with an error.
 
 Equal vectors are one entry with a multiplicity. Lists that many vectors share (a large group of near copies) are split
 into pairs of blocks, so no task holds one whole; what leaves a task is a count for each vector and a spanning set of
@@ -15,7 +18,7 @@ links, never all pairs.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +29,12 @@ from quillfund.llm.common import table, written
 from quillfund.llm.components import connected_components
 
 THRESHOLD = 0.9
-#: Collisions that a pair needs, and the share of pairs at the threshold that must reach it.
-COLLISIONS, RECALL = 2, 0.97
+#: Collisions that a pair needs at least, and the share of pairs at the threshold that must reach the count.
+LEAST_COUNT, RECALL = 2, 0.97
 #: Independent sets of directions; vectors that a list holds on average; most directions of a set.
 SETS, LIST_SIZE, MOST_DIRECTIONS = 3, 40, 4096
+#: Colliding pairs that are counted at once.
+PAIRS = 20_000
 #: Vectors of a list that a task compares; longer lists are split into pairs of blocks.
 BLOCK = 2048
 SEED = 20240229
@@ -41,6 +46,7 @@ class Plan:
     directions: int
     lists: int  # per vector and set
     window: float
+    count: int  # collisions that a pair needs
 
 
 def directions(plan: Plan) -> np.ndarray:
@@ -49,7 +55,7 @@ def directions(plan: Plan) -> np.ndarray:
 
 
 def enter(unit: np.ndarray, plan: Plan, ways: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The lists of each unit vector, ascending, and its place (projection) in each."""
+    """The lists of each unit vector, ascending and so set by set, and its place (projection) in each."""
     names, places = [], []
     top = min(plan.lists, plan.directions)
     for s in range(SETS):
@@ -64,20 +70,23 @@ def enter(unit: np.ndarray, plan: Plan, ways: np.ndarray) -> tuple[np.ndarray, n
         i, j = np.take_along_axis(a, best // top, axis=1), np.take_along_axis(b, best % top, axis=1)
         names.append((s * plan.directions + i) * plan.directions + j)
         places.append(np.take_along_axis(total, best, axis=1))
-    names, places = np.concatenate(names, axis=1).astype(np.int64), np.concatenate(places, axis=1).astype(np.float32)
+    names, places = np.concatenate(names, axis=1).astype(np.int32), np.concatenate(places, axis=1).astype(np.float32)
     order = np.argsort(names, axis=1)
     return np.take_along_axis(names, order, axis=1), np.take_along_axis(places, order, axis=1)
 
 
 def collisions(names_a, places_a, names_b, places_b, window: float) -> tuple[np.ndarray, np.ndarray]:
     """Number of collisions of each pair of rows, and the first list in which they collide."""
-    both = (names_a[:, :, None] == names_b[:, None, :]) & (np.abs(places_a[:, :, None] - places_b[:, None, :]) <= window)
-    met = both.any(axis=2)
-    return both.sum(axis=(1, 2)), np.where(met.any(axis=1), np.take_along_axis(names_a, met.argmax(axis=1)[:, None], axis=1)[:, 0], -1)
+    n, width = names_a.shape
+    names_a, places_a, names_b, places_b = (x.reshape(n, SETS, width // SETS) for x in (names_a, places_a, names_b, places_b))
+    both = (names_a[..., None] == names_b[..., None, :]) & (np.abs(places_a[..., None] - places_b[..., None, :]) <= window)
+    met = both.any(axis=3).reshape(n, width)
+    first = np.take_along_axis(names_a.reshape(n, width), met.argmax(axis=1)[:, None], axis=1)[:, 0]
+    return met.sum(axis=1), np.where(met.any(axis=1), first, -1)
 
 
 def calibrate(n: int, dim: int, threshold: float = THRESHOLD, recall: float = RECALL, pairs: int = 2000) -> Plan:
-    """The fewest lists with which simulated pairs at the threshold reach the count often enough."""
+    """The fewest lists, and the highest count, that simulated pairs at the threshold reach often enough."""
     rng = np.random.default_rng([SEED, dim])
     x = rng.standard_normal((pairs, dim))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
@@ -85,33 +94,36 @@ def calibrate(n: int, dim: int, threshold: float = THRESHOLD, recall: float = RE
     y -= (y * x).sum(axis=1, keepdims=True) * x
     y = threshold * x + math.sqrt(1 - threshold**2) * y / np.maximum(1e-12, np.linalg.norm(y, axis=1, keepdims=True))
     window = 3 * math.sqrt(2 * (2 - 2 * threshold))  # three deviations of the projected difference
-    for lists in (3, 4, 5, 6, 8, 10, 12, 16, 24, 32, 48, 64):
-        many = int(min(MOST_DIRECTIONS, max(8, math.ceil(math.sqrt(n * lists / LIST_SIZE)))))
-        plan = Plan(dim, many, lists, window)
+    for lists in (3, 4, 5, 6, 8, 10, 12, 16, 24, 32, 48, 64, 96, 128):
+        many = int(max(lists, 8, min(MOST_DIRECTIONS, math.ceil(math.sqrt(n * lists / LIST_SIZE)))))
+        plan = Plan(dim, many, lists, window, 0)
         ways = directions(plan)
-        if (collisions(*enter(x, plan, ways), *enter(y, plan, ways), window)[0] >= COLLISIONS).mean() >= recall:
-            break
-    return plan
-
-
-def _compare(rows: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray, same: bool, name: int, window: float, threshold: float):
-    """Links between the rows ``a`` and ``b`` (the same rows: each pair once) that list ``name`` reports."""
-    found = []
-    for at in range(0, len(a), 1024):
-        for to in range(at if same else 0, len(b), 1024):
-            left, right = a[at : at + 1024], b[to : to + 1024]
-            near = rows["unit"][left] @ rows["unit"][right].T >= threshold
-            if same and at == to:
-                near = np.triu(near, 1)
-            i, j = np.nonzero(near)
-            i, j = left[i], right[j]
-            for k in range(0, len(i), 20_000):
-                p, q = i[k : k + 20_000], j[k : k + 20_000]
-                count, first = collisions(rows["names"][p], rows["places"][p], rows["names"][q], rows["places"][q], window)
-                mine = (count >= COLLISIONS) & (first == name)
-                found.append((p[mine], q[mine]))
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        counts = collisions(*enter(x, plan, ways), *enter(y, plan, ways), window)[0]
+        reached = int(np.quantile(counts, 1 - recall, method="lower"))  # ``recall`` of the pairs have so many or more
+        if reached >= LEAST_COUNT:
+            return replace(plan, count=reached)
+    raise ValueError(f"no plan finds {recall:.0%} of the pairs with cosine {threshold} in {dim} dimensions")
+
+
+def _compare(rows: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray, same: bool, name: int, plan: Plan, threshold: float):
+    """Links between the rows ``a`` and ``b`` (the same rows: each pair once) that list ``name`` reports. Both are sorted
+    by ``place``."""
+    found = [(a[:0], a[:0])]
+    low = np.searchsorted(rows["place"][b], rows["place"][a] - plan.window)
+    high = np.searchsorted(rows["place"][b], rows["place"][a] + plan.window, side="right")
+    if same:
+        low = np.arange(1, len(a) + 1)
+    size = np.maximum(0, high - low)
+    for part in np.split(np.arange(len(a)), np.searchsorted(np.cumsum(size), np.arange(PAIRS, size.sum(), PAIRS))):
+        # The window of each query: the places ``low`` to ``high``.
+        many = size[part]
+        p = np.repeat(a[part], many)
+        q = b[np.repeat(low[part] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())]
+        count, first = collisions(rows["names"][p], rows["places"][p], rows["names"][q], rows["places"][q], plan.window)
+        mine = (count >= plan.count) & (first == name)
+        p, q = p[mine], q[mine]
+        near = np.einsum("ij,ij->i", rows["unit"][p], rows["unit"][q]) >= threshold
+        found.append((p[near], q[near]))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
@@ -149,22 +161,34 @@ def links(classes: DataFrame, threshold: float = THRESHOLD, recall: float = RECA
     sizes = classes.groupBy(F.size("vector").alias("dim")).count().collect()  # one row for each dimension in use
     plans = {r.dim: calibrate(r["count"], r.dim, threshold, recall) for r in sizes}
 
-    def assign(batches):
+    kind = np.float32 if dict(classes.dtypes)["vector"] == "array<float>" else np.float64
+
+    def lists(batches):
+        """For each dimension of a batch, in slices: (rows, vectors, names, places)."""
         ways = {dim: directions(plan) for dim, plan in plans.items()}
         for batch in batches:
-            node, copies = (batch.column(k).to_numpy() for k in (0, 1))
-            vectors = [v.values.to_numpy(zero_copy_only=False) for v in batch.column(2)]
+            vectors = [v.values.to_numpy(zero_copy_only=False) for v in batch.column(batch.schema.get_field_index("vector"))]
             dims = np.array([len(v) for v in vectors])
             for dim in np.unique(dims):
                 rows = np.flatnonzero(dims == dim)
                 for at in range(0, len(rows), 1000):
                     part = rows[at : at + 1000]
-                    names, places = enter(_units([vectors[k] for k in part]), plans[dim], ways[dim])
-                    each = np.repeat(np.arange(len(part)), names.shape[1])
-                    width = names.shape[1]
-                    shared = [pa.array([vectors[part[k]].tobytes() for k in each], pa.binary())]
-                    shared += [pa.ListArray.from_arrays(pa.array(np.arange(len(each) + 1, dtype=np.int32) * width), pa.array(x[each].ravel())) for x in (names, places)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(each), dim, np.int32)), pa.array(names.ravel()), pa.array(node[part][each]), pa.array(copies[part][each]), *shared], ["dim", "name", "node", "copies", "vector", "names", "places"])
+                    yield batch, int(dim), part, [vectors[k] for k in part], *enter(_units([vectors[k] for k in part]), plans[dim], ways[dim])
+
+    def size(batches):
+        for _, dim, _, _, names, _ in lists(batches):
+            name, c = np.unique(names, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(name), dim, np.int32)), pa.array(name), pa.array(c)], ["dim", "name", "c"])
+
+    def assign(batches):
+        for batch, dim, part, vectors, names, places in lists(batches):
+            width = names.shape[1]
+            each = np.repeat(np.arange(len(part)), width)
+            node, copies = (batch.column(batch.schema.get_field_index(c)).to_numpy()[part][each] for c in ("node", "copies"))
+            own = [pa.array(np.full(len(each), dim, np.int32)), pa.array(names.ravel()), pa.array(places.ravel()), pa.array(node), pa.array(copies)]
+            shared = [pa.array([x.tobytes() for x in vectors], pa.binary()).take(pa.array(each))]
+            shared += [pa.ListArray.from_arrays(pa.array(np.arange(len(each) + 1, dtype=np.int32) * width), pa.array(x[each].ravel())) for x in (names, places)]
+            yield pa.RecordBatch.from_arrays([*own, *shared], ["dim", "name", "place", "node", "copies", "vector", "names", "places"])
 
     def compare(batches):
         held = None
@@ -183,12 +207,12 @@ def links(classes: DataFrame, threshold: float = THRESHOLD, recall: float = RECA
     def report(group):
         group = group.combine_chunks()
         dim, name, p, q = (group.column(c)[0].as_py() for c in ("dim", "name", "p", "q"))
-        rows = {"unit": _units([np.frombuffer(v.as_py(), np.float64) for v in group.column("vector")])}
+        rows = {"unit": _units([np.frombuffer(v, kind) for v in group.column("vector").to_pylist()]), "place": group.column("place").to_numpy()}
         for c in ("names", "places"):
-            rows[c] = np.stack([v.values.to_numpy() for v in group.column(c)])
+            rows[c] = group.column(c).chunk(0).flatten().to_numpy().reshape(len(group), -1)
         part = group.column("part").to_numpy()
         a, b = np.flatnonzero(part == p), np.flatnonzero(part == q)
-        i, j = _compare(rows, a, b, p == q, name, plans[dim].window, threshold)
+        i, j = _compare(rows, a, b, p == q, name, plans[dim], threshold)
         if not len(i):
             return
         node, copies = (group.column(c).to_numpy() for c in ("node", "copies"))
@@ -198,16 +222,19 @@ def links(classes: DataFrame, threshold: float = THRESHOLD, recall: float = RECA
         i, j = _spanning(i, j, len(node))
         yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.nulls(len(i), pa.int64()), pa.array(node[j])], ["node", "links", "other"])
 
-    entries = classes.select("node", "copies", F.col("vector").cast("array<double>")).mapInArrow(assign, "dim int, name long, node long, copies long, vector binary, names array<long>, places array<float>")
-    entries = written(entries, "projection-lists")
-    crowded = written(entries.groupBy("dim", "name").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > block), "crowded-lists")
-    single = entries.join(F.broadcast(crowded.drop("c")) if crowded.count() < 100_000 else crowded.drop("c"), ["dim", "name"], "left_anti")
-    dealt = single.select("*", F.lit(0).alias("part"), F.lit(0).alias("p"), F.lit(0).alias("q"))
-    if not crowded.isEmpty():
+    sizes = classes.select("vector").mapInArrow(size, "dim int, name int, c long").groupBy("dim", "name").agg(F.sum("c").alias("c"))
+    crowded = written(sizes.where(F.col("c") > block), "crowded-lists")
+    entries = classes.select("node", "copies", "vector").mapInArrow(assign, "dim int, name int, place float, node long, copies long, vector binary, names array<int>, places array<float>")
+    whole = [F.lit(0).alias("part"), F.lit(0).alias("p"), F.lit(0).alias("q")]
+    if crowded.isEmpty():
+        dealt = entries.select("*", *whole)
+    else:
         parts = F.ceil(F.col("c") / block).cast("int")
+        dealt = entries.join(crowded.drop("c"), ["dim", "name"], "left_anti").select("*", *whole)
         split = entries.join(crowded, ["dim", "name"]).withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
         dealt = dealt.unionByName(split.select(*entries.columns, "part", F.least("part", "other").cast("int").alias("p"), F.greatest("part", "other").cast("int").alias("q")))
-    found = dealt.repartition("dim", "name", "p", "q").sortWithinPartitions("dim", "name", "p", "q").mapInArrow(compare, "node long, links long, other long")
+    keys = ["dim", "name", "p", "q"]
+    found = dealt.repartition(*keys).sortWithinPartitions(*keys, "place").mapInArrow(compare, "node long, links long, other long")
     found = written(found, "links")
     counts = found.where("links is not null").groupBy("node").agg(F.sum("links").alias("links"))
     return counts, found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b"))
@@ -216,11 +243,12 @@ def links(classes: DataFrame, threshold: float = THRESHOLD, recall: float = RECA
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for each row (vec_id, embedding).
 
-    Rows without a usable vector, or without a vec_id, link with nothing: n_links 0, component_id their vec_id. Vectors
-    link only within their dimension. Repeated rows are vectors of their own and link with each other; rows that share a
+    Rows without a usable vector, or without a vec_id, link with nothing: n_links 0, component_id their vec_id, kept true.
+    Vectors link only within their dimension. Repeated rows are vectors of their own and link with each other; rows that share a
     vec_id are one node of the graph. An empty table gives an empty result; other columns (labels) are not read.
     """
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"))
+    single = dict(vectors.dtypes)["embedding"] == "array<float>"  # kept so, and compared in double precision
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), (F.col("embedding") if single else F.col("embedding").cast("array<double>")).alias("vector"))
     can = F.col("vec_id").isNotNull() & usable("vector")
     classes = written(rows.where(can).groupBy("vector").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies")), "vectors")
     counts, edges = links(classes, threshold, recall, block)
@@ -229,7 +257,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
     classes = classes.select("vector", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), F.coalesce("component", "node").alias("component_id"))
     linked = rows.where(can).join(classes, "vector").select("vec_id", "n_links", "component_id")
     others = rows.where(~can | can.isNull()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.unionByName(others).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return linked.unionByName(others).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
 def op2_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,7 +53,7 @@ def test_links_against_all_pairs(spark, block):
     for vec, n, component in expected:
         for r in found[vec]:
             assert r.n_links <= n
-            assert r.component_id == component and r.kept == (None if vec is None else vec == component)
+            assert r.component_id == component and r.kept == (vec == component)
 
 
 def test_recall_at_the_threshold(spark):
