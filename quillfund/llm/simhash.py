@@ -5,6 +5,11 @@ differ in at most ``distance`` bits differ in at most ``T_i`` bits of some part
 parts group correlated bits, and the thresholds are unequal: dynamic programming picks those with the fewest estimated
 candidates, from bit and bit-pair counts over all fingerprints; the number of parts follows from the same estimate, so
 few wide parts are chosen on large corpora. Probes that meet in a part's value are verified on all 64 bits.
+
+A part's value that more fingerprints share than one task compares is dealt out again: of the bits that it leaves free,
+cut into ``distance + 1`` pieces, two fingerprints within the distance agree on one piece, so the bucket becomes smaller
+ones by piece and value. What stays crowded after ``DEALS`` rounds is a cloud of fingerprints a few bits apart (of which
+there are not very many: 680,000 within four bits of one) and is split into pairs of blocks.
 """
 
 from __future__ import annotations
@@ -25,8 +30,10 @@ SEED = 42
 ROW_COST, PAIR_COST = 100.0, 1.0
 #: Fingerprints of a bucket compared at once.
 BLOCK = 1024
-#: Buckets beyond this are split again on the bits that the bucket does not fix.
+#: Fingerprints of a bucket that a task compares; larger buckets are dealt out again on the bits that they leave free.
 BUCKET = 8192
+#: Rounds of that.
+DEALS = 2
 
 
 def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
@@ -154,21 +161,10 @@ def probes(fps: np.ndarray, parts: list[tuple[list[int], int]]) -> tuple[np.ndar
     return (np.concatenate([np.full(len(v), k, np.int32) for k, v, _ in out]), np.concatenate([v for _, v, _ in out]).view(np.int64), np.concatenate([p for _, _, p in out]))
 
 
-def bucket_links(fps: np.ndarray, distance: int = DISTANCE, free: tuple[int, ...] = tuple(range(64)), limit: int = BUCKET) -> np.ndarray:
-    """Pairs (rows of two) that join every two fingerprints of a bucket within ``distance``, directly or through others;
-    each pair is within it itself. At most one pair for each merge, so the output is linear in the bucket."""
-    fps = np.unique(fps)
-    if len(fps) > limit and len(free) > distance:
-        # distance + 1 parts of the free bits: a pair within the distance agrees on one of them.
-        found = []
-        for part in np.array_split(np.array(free), distance + 1):
-            rest = tuple(b for b in free if b not in set(part.tolist()))
-            value = fps & np.uint64(sum(1 << int(b) for b in part))
-            order = np.argsort(value, kind="stable")
-            cuts = np.flatnonzero(np.diff(value[order])) + 1
-            found += [bucket_links(fps[g], distance, rest, limit) for g in np.split(order, cuts) if len(g) > 1]
-        return np.concatenate([np.zeros((0, 2), np.uint64), *found])
-    label, links = np.arange(len(fps)), []
+def bucket_links(fps: np.ndarray, distance: int = DISTANCE) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places in ``fps`` that join every two fingerprints within ``distance``, directly or through others; each
+    pair is within it itself. At most one pair for each merge, so the output is linear in the bucket."""
+    label, links = np.arange(len(fps)), [np.zeros((2, 0), np.int64)]
     for at in range(0, len(fps), BLOCK):
         for to in range(at, len(fps), BLOCK):
             a, b = np.nonzero(np.bitwise_count(fps[at : at + BLOCK, None] ^ fps[None, to : to + BLOCK]) <= distance)
@@ -180,47 +176,102 @@ def bucket_links(fps: np.ndarray, distance: int = DISTANCE, free: tuple[int, ...
                     break
                 a, b, low, high = a[apart], b[apart], low[apart], high[apart]
                 top, one = np.unique(high, return_index=True)  # each component hooks to one lower component
-                links.append(np.stack([fps[a[one]], fps[b[one]]], axis=1))
+                links.append(np.stack([a[one], b[one]]))
                 label[top] = low[one]
                 while (label != (jump := label[label])).any():
                     label = jump
-    return np.concatenate([np.zeros((0, 2), np.uint64), *links])
+    return tuple(np.concatenate(links, axis=1))
+
+
+def pieces(free: int, count: int) -> list[int]:
+    """The set bits of ``free`` as ``count`` masks of even size."""
+    bits = [b for b in range(64) if free >> b & 1]
+    return [sum(1 << int(b) for b in part) for part in np.array_split(np.array(bits, int), count)]
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) * (x >> 63)
 
 
-def fingerprint_links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """Links ``a, b`` among distinct fingerprints: every two within ``distance`` bits are joined by a path of links."""
+def fingerprint_links(fps: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET) -> DataFrame:
+    """Links ``a, b`` among distinct fingerprints (fp, least): every two within ``distance`` bits are joined by a path of
+    links. Ends are structs (nameless, least, fp) that sort by ``least``, null last."""
     n, both = bit_counts(fps)
     parts = plan(n, both, distance)
+    left_free = [_signed(((1 << 64) - 1) & ~sum(1 << b for b in bits)) for bits, _ in parts]
 
     def probe(batches):
         for batch in batches:
             values = batch.column(0).to_numpy().view(np.uint64)
             part, value, place = probes(values, parts)
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(value), pa.array(values[place].view(np.int64))], ["part", "value", "fp"])
+            free = np.array(left_free, np.int64)[part]
+            take = pa.array(place)
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(value), pa.array(free), batch.column(0).take(take), batch.column(1).take(take)], ["part", "value", "free", "fp", "least"])
+
+    def deal(batches):
+        for batch in batches:
+            group, free, fp = (batch.column(k).to_numpy() for k in (0, 1, 2))
+            for mask in np.unique(free):
+                rows = np.flatnonzero(free == mask)
+                for k, piece in enumerate(pieces(int(mask) % (1 << 64), distance + 1)):
+                    take = pa.array(rows)
+                    rest = np.full(len(rows), _signed((int(mask) % (1 << 64)) & ~piece))
+                    yield pa.RecordBatch.from_arrays([pa.array(group[rows]), pa.array(np.full(len(rows), k, np.int32)), pa.array(fp[rows] & np.int64(_signed(piece))), pa.array(rest), batch.column(2).take(take), batch.column(3).take(take)], ["group", "part", "value", "free", "fp", "least"])
 
     def link(batches):
-        held: list[np.ndarray] = []
+        held = None
         for batch in batches:
-            rows = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(3)], axis=1)
-            if held:
-                rows = np.concatenate([*held, rows])
-            cuts = np.flatnonzero((rows[1:, :2] != rows[:-1, :2]).any(axis=1)) + 1
-            *done, last = np.split(rows, cuts)
-            held = [last]
-            yield from emit(done)
-        if held:
-            yield from emit(held)
+            rows = pa.Table.from_batches([batch])
+            rows = pa.concat_tables([held, rows]).combine_chunks() if held is not None else rows
+            group = rows.column("group").to_numpy()
+            cuts = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist()]
+            yield emit([rows.slice(a, b - a) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b - a > 1])
+            held = rows.slice(cuts[-1])
+        if held is not None:
+            yield emit([held])
 
     def emit(groups):
-        found = [bucket_links(g[:, 2].copy().view(np.uint64), distance) for g in groups if len(g) > 1]
-        if found and len(pairs := np.concatenate(found)):
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, k].copy().view(np.int64)) for k in (0, 1)], ["a", "b"])
-
-    rows = fps.select("fp").mapInArrow(probe, "part int, value long, fp long")
-    return rows.repartition("part", "value").sortWithinPartitions("part", "value").mapInArrow(link, "a long, b long").distinct()
-
-
-def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
+        ends = {c: [np.zeros(0, np.int64)] for c in ("a_fp", "b_fp", "a_least", "b_least")}
+        nulls = {c: [np.zeros(0, bool)] for c in ("a_none", "b_none")}
+        for rows in groups:
+            fps, one = np.unique(rows.column("fp").to_numpy(), return_index=True)
+            least = rows.column("least").take(pa.array(one))
+            none, least = least.is_null().to_numpy(), least.fill_null(0).to_numpy()
+            for side, of in zip("ab", bucket_links(fps.view(np.uint64), distance), strict=True):
+                ends[f"{side}_fp"].append(fps[of])
+                ends[f"{side}_least"].append(least[of])
+                nulls[f"{side}_none"].append(none[of])
+        columns = {c: np.concatenate(x) for c, x in (ends | nulls).items()}
+        return pa.RecordBatch.from_arrays([pa.array(columns[c]) for c in order], order)
+
+    order = ["a_none", "a_least", "a_fp", "b_none", "b_least", "b_fp"]
+    rows = fps.select("fp", "least").mapInArrow(probe, "part int, value long, free long, fp long, least long").select(F.xxhash64("part", "value").alias("group"), "free", "fp", "least")
+    links: list[DataFrame] = []
+    for turn in range(DEALS + 2):
+        rows = written(rows, "probes")
+        crowded = written(rows.groupBy("group").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > bucket), "crowded-buckets")
+        done = turn > DEALS or crowded.isEmpty()
+        fits = rows if done else rows.join(crowded, "group", "left_anti")
+        links.append(fits.repartition("group").sortWithinPartitions("group").mapInArrow(link, ", ".join(f"{c} {'boolean' if c.endswith('none') else 'long'}" for c in order)))
+        if done:
+            break
+        rows = rows.join(crowded, "group")
+        if turn < DEALS:
+            rows = rows.select("group", "free", "fp", "least").mapInArrow(deal, "group long, part int, value long, free long, fp long, least long")
+            rows = rows.select(F.xxhash64("group", "part", "value").alias("group"), "free", "fp", "least")
+        else:
+            # Two of these blocks fit one bucket.
+            blocks = F.ceil(2 * F.col("c") / bucket).cast("int")
+            rows = rows.withColumn("one", F.pmod(F.xxhash64("fp"), blocks).cast("int")).withColumn("two", F.explode(F.sequence(F.lit(0), blocks - 1))).where("one <> two")
+            rows = rows.select(F.xxhash64("group", F.least("one", "two"), F.greatest("one", "two")).alias("group"), "free", "fp", "least")
+    found = links[0]
+    for more in links[1:]:
+        found = found.unionByName(more)
+    end = lambda side: F.struct(*[F.col(f"{side}_{c}").alias(c) for c in ("none", "least", "fp")]).alias(side)
+    return found.select(end("a"), end("b")).distinct()
+
+
+def near_duplicates(docs: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET) -> DataFrame:
     """``doc_id, t, fp, component_id`` for each row of ``docs``.
 
     ``component_id`` is the smallest non-null doc_id reachable over links of at most ``distance`` bits; null only if no
@@ -229,19 +280,18 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """
     rows = written(fingerprints(docs), "fingerprints")
     groups = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    parts = connected_components(fingerprint_links(groups, distance)).withColumnRenamed("node", "fp")
-    groups = groups.join(parts, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = groups.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = groups.select("fp", "component").join(least, "component").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "t", "fp", "component_id")
+    # The smallest node of a component is that of the smallest doc_id, so nothing has to be looked up by component.
+    parts = connected_components(fingerprint_links(groups, distance, bucket)).select(F.col("node.fp").alias("_fp"), F.when(~F.col("component.none"), F.col("component.least")).alias("reached"))
+    named = groups.join(parts, F.col("fp") == F.col("_fp"), "left").select("fp", F.when(F.col("_fp").isNull(), F.col("least")).otherwise(F.col("reached")).alias("component_id"))
+    return rows.join(written(named, "components"), "fp").select("doc_id", "t", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """``docs`` with one row of each near-duplicate group: that of the group's ``component_id``; if rows with different
     texts share that id, the text with the smallest hash; of repeated rows, one."""
     rows = written(near_duplicates(docs, distance), "near-duplicates")
-    stays = rows.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("component_id").alias("group")).agg(F.min("t").alias("stay"))
-    goes = rows.join(stays, F.col("component_id").eqNullSafe(F.col("group"))).where(~(F.col("doc_id").eqNullSafe(F.col("group")) & (F.col("t") == F.col("stay"))))
+    stays = rows.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("component_id").alias("_id")).agg(F.min("t").alias("_t"))
+    goes = rows.join(stays, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("t") == F.col("_t")), "left_anti")
     kept = drop_rows(docs, goes.select("doc_id", "t").distinct())
     again = rows.groupBy("doc_id", "t").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     return kept if again.isEmpty() else kept.dropDuplicates(["doc_id", "text"])

@@ -9,7 +9,7 @@ import pytest
 import xxhash
 
 from quillfund.llm import common
-from quillfund.llm.simhash import bucket_links, fingerprint, keep_one, near_duplicates, plan, probes
+from quillfund.llm.simhash import bucket_links, fingerprint, fingerprint_links, keep_one, near_duplicates, pieces, plan, probes
 
 DOCS = "doc_id long, text string, fp int, component string"
 
@@ -88,12 +88,35 @@ def test_bucket_links_join_what_is_near():
     rng = np.random.default_rng(2)
     values = np.unique(np.concatenate([(rng.integers(0, 1 << 63, 5, dtype=np.uint64)[:, None] ^ (np.uint64(1) << rng.integers(0, 64, (1, 60)).astype(np.uint64))).ravel(), rng.integers(0, 1 << 63, 100, dtype=np.uint64)]))
     expected = components([int(v) for v in values], 4)
-    for limit in (8192, 20):
-        links = bucket_links(values, 4, limit=limit)
-        assert (np.bitwise_count(links[:, 0] ^ links[:, 1]) <= 4).all()
-        place = {int(v): k for k, v in enumerate(values)}
-        label = list(range(len(values)))
-        for a, b in links.tolist():
-            old, new = label[place[a]], label[place[b]]
-            label = [min(old, new) if x in (old, new) else x for x in label]
-        assert len(set(label)) == len(set(expected))
+    a, b = bucket_links(values, 4)
+    assert (np.bitwise_count(values[a] ^ values[b]) <= 4).all()
+    label = list(range(len(values)))
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        old, new = sorted((label[x], label[y]), reverse=True)
+        label = [new if v == old else v for v in label]
+    assert len(set(label)) == len(set(expected))
+    assert [x.size for x in bucket_links(values[:0], 4)] == [0, 0]
+
+
+def test_pieces_cut_the_free_bits():
+    free = 0xF0F0_0000_0000_00FF
+    assert sum(pieces(free, 5)) == free and len(pieces(free, 5)) == 5
+
+
+@pytest.mark.parametrize("bucket", [40, 100])
+def test_crowded_buckets_are_dealt_out(spark, bucket):
+    """Fingerprints a few bits from each other fill buckets far beyond the limit."""
+    rng = np.random.default_rng(4)
+    near = {int(b) ^ (1 << int(i)) ^ (1 << int(j)) for b in rng.integers(0, 1 << 63, 3) for i, j in rng.integers(0, 64, (150, 2))}
+    values = sorted(near | {int(x) for x in rng.integers(0, 1 << 63, 100)})
+    rows = [(v - (1 << 64) * (v >> 63), k if k % 7 else None) for k, v in enumerate(values)]
+    links = fingerprint_links(spark.createDataFrame(rows, "fp long, least long"), bucket=bucket).collect()
+    place = {fp: k for k, (fp, _) in enumerate(rows)}
+    label = list(range(len(values)))
+    for r in links:
+        x, y = place[r.a.fp], place[r.b.fp]
+        assert (values[x] ^ values[y]).bit_count() <= 4
+        assert [(r.a.none, r.a.least), (r.b.none, r.b.least)] == [(rows[k][1] is None, rows[k][1] or 0) for k in (x, y)]
+        old, new = max(label[x], label[y]), min(label[x], label[y])
+        label = [new if v == old else v for v in label]
+    assert label == components(values, 4)
