@@ -1,7 +1,9 @@
 """WARC archives with revisit records for repeated payloads.
 
-Headers (digest, size, page id) are shuffled, never payloads: the smallest page id of each digest is found by a
-pre-aggregated minimum, so a digest that a third of all pages share costs one row per task. Archives are written and read
+Headers (digest, size, page id) are shuffled by digest: the smallest page id of each digest is found by a pre-aggregated
+minimum, so a digest that a third of all pages share costs one row per task. The list of revisits is broadcast to the
+pages, which stay where they are, if its measured size allows (``BROADCAST_BYTES``); beyond that pages are shuffled once
+with it, by page id. Archives are written and read
 by Spark's text source with the record end as line separator; a reader puts records together by their Content-Length, so
 payloads may hold anything, and only one record is in memory at a time.
 """
@@ -15,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillfund.llm.common import scratch_path, table, written
+from quillfund.llm.common import BROADCAST_BYTES, scratch_path, table, written
 
 #: Payloads below this many bytes are always stored.
 LEAST_PAYLOAD = 100
@@ -27,7 +29,7 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
 
-def resolve(pages: DataFrame, least_payload: int = LEAST_PAYLOAD) -> DataFrame:
+def resolve(pages: DataFrame, least_payload: int = LEAST_PAYLOAD, bound: int | None = None) -> DataFrame:
     """Headers of all pages: page_id, url, payload_bytes, payload_digest, record_type, refers_to, with the payload ``html``.
 
     Of equal payloads of at least ``least_payload`` bytes, the smallest non-null page_id is the response and rows with
@@ -39,8 +41,11 @@ def resolve(pages: DataFrame, least_payload: int = LEAST_PAYLOAD) -> DataFrame:
     heads = pages.select("page_id", "payload_bytes", "payload_digest").where(F.col("page_id").isNotNull() & (F.col("payload_bytes") >= least_payload))
     # Only digests of several pages need a join.
     first = heads.groupBy("payload_digest").agg(F.min("page_id").alias("original"), F.max("page_id").alias("latest")).where("original < latest").drop("latest")
+    first = written(first, "repeated-digests")  # so that adaptive execution can split a frequent digest in the join
     moved = heads.join(first, "payload_digest").where("page_id > original").groupBy("page_id", "payload_digest").agg(F.max("original").alias("original"))
-    moved = moved.withColumnsRenamed({"page_id": "_id", "payload_digest": "_digest"})
+    moved = written(moved.withColumnsRenamed({"page_id": "_id", "payload_digest": "_digest"}), "revisits")
+    bound = BROADCAST_BYTES if bound is None else bound
+    moved = F.broadcast(moved) if moved.count() * 160 <= bound else moved.hint("shuffle_hash")
     found = pages.join(moved, (F.col("page_id") == F.col("_id")) & (F.col("payload_digest") == F.col("_digest")), "left")
     kind = F.when(F.col("original").isNull(), "response").otherwise("revisit")
     return found.select("page_id", "url", "html", "payload_bytes", "payload_digest", kind.alias("record_type"), F.col("original").alias("refers_to"))
@@ -73,9 +78,9 @@ def records(resolved: DataFrame, date: str = "1970-01-01T00:00:00Z") -> Column:
     return F.concat(F.concat_ws("\r\n", *lines), F.lit(RECORD_END), block)
 
 
-def write_archives(pages: DataFrame, path: str, least_payload: int = LEAST_PAYLOAD) -> None:
+def write_archives(pages: DataFrame, path: str, least_payload: int = LEAST_PAYLOAD, bound: int | None = None) -> None:
     """Writes gzipped archives to the folder ``path``, one record for each page, repeated payloads as revisits."""
-    found = resolve(pages, least_payload)
+    found = resolve(pages, least_payload, bound)
     found.select(records(found).alias("value")).write.option("lineSep", RECORD_END).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
@@ -158,6 +163,7 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     rows = written(rows, "warc-headers")
     named = rows.where("record_type = 'revisit'").select(F.col("to").alias("id")).distinct()
     originals = rows.where("record_type = 'response'").join(named, "id", "left_semi").groupBy(F.col("id").alias("to")).agg(F.min("page_id").alias("refers_to"), F.max("payload_bytes").alias("size"), F.max("payload_digest").alias("digest"))
+    originals = written(originals, "revisited")
     responses = rows.where("record_type = 'response'").select("page_id", "url", "payload_bytes", "payload_digest", "record_type", F.lit(None).cast("long").alias("refers_to"))
     revisits = rows.where("record_type = 'revisit'").join(originals, "to").select("page_id", "url", F.col("size").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to")
     return responses.unionByName(revisits)

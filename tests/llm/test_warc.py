@@ -32,9 +32,10 @@ def expected(rows):
     return out
 
 
-def test_round_trip(spark):
+@pytest.mark.parametrize("bound", [None, -1])
+def test_round_trip(spark, bound):
     path = scratch_path(spark, "warc")
-    write_archives(spark.createDataFrame(pages(), PAGES), path)
+    write_archives(spark.createDataFrame(pages(), PAGES), path, bound=bound)
     got = Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in read_pages(spark, path).collect())
     assert got == expected(pages())
     stored = [r for r in read_archives(spark, path).collect() if r.headers["warc-type"] == "revisit"]
