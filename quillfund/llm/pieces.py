@@ -40,6 +40,7 @@ class PieceTable:
     """The pieces of a BPE model, with what encoding and decoding need."""
 
     def __init__(self, model: bytes):
+        _checked(model)
         library = sentencepiece.SentencePieceProcessor(model_proto=model)  # only to read the list of pieces
         self.surface: list[str] = []
         self.byte = np.full(library.get_piece_size(), -1, np.int16)
@@ -231,6 +232,52 @@ def _utf8(data: bytes) -> str:
     return "".join(text)
 
 
+def _fields(message: bytes) -> dict[int, list[bytes | int]]:
+    """The fields of a protocol-buffer message, by number: numbers, or the bytes of texts and messages."""
+    found: dict[int, list[bytes | int]] = {}
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = message[at]
+            at += 1
+            value |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return value
+
+    while at < len(message):
+        tag = number()
+        if tag & 7 == 0:
+            value: bytes | int = number()
+        else:
+            size = number() if tag & 7 == 2 else {1: 8, 5: 4}[tag & 7]
+            value, at = message[at : at + size], at + size
+        found.setdefault(tag >> 3, []).append(value)
+    return found
+
+
+def _checked(model: bytes) -> None:
+    """Refuses models whose texts are prepared in another way than ``encode`` does: it adds one mark in front, keeps all
+    white space, turns spaces into marks and leaves characters as they are."""
+    parts = _fields(model)
+    trainer, normalizer = ({k: v[-1] for k, v in _fields(parts[n][-1]).items()} if n in parts else {} for n in (2, 3))
+    asked = {
+        "is no BPE model": trainer.get(3, 1) == 2,
+        "has no bytes for unknown characters": trainer.get(35, 0) == 1,
+        "puts the mark behind words": not trainer.get(24, 0),
+        "normalises characters": not normalizer.get(2, b""),
+        "adds no mark in front": normalizer.get(3, 1) == 1,
+        "removes white space": normalizer.get(4, 1) == 0,
+        "keeps spaces": normalizer.get(5, 1) == 1,
+        "has pieces that users defined": all(_fields(piece).get(3, [1])[-1] != 4 for piece in parts.get(1, [])),
+    }
+    if wrong := [what for what, fine in asked.items() if not fine]:
+        raise ValueError(f"this model {' and '.join(wrong)}: its texts are prepared differently")
+
+
 def load(model: bytes) -> PieceTable:
     """The table of a model, made once in each Python process."""
     if model not in _loaded:

@@ -46,3 +46,10 @@ def test_operator(spark, library):
     got = sorted((r.doc_id or 0, list(r.ids), r.decoded) for r in encode_and_decode(docs, default_model()).collect())
     assert got == sorted((i or 0, library.encode(t or ""), t or "") for i, t, _ in rows)
     assert encode_and_decode(docs.limit(0), default_model()).count() == 0
+
+
+def test_other_models_are_refused(spark):
+    model = default_model()
+    for more, what in ((b"\x1a\x04\x12\x02ab", "normalises"), (b"\x1a\x02\x20\x01", "removes white space"), (b"\x1a\x04\x18\x00\x20\x00", "adds no mark"), (b"\x12\x02\x18\x01", "no BPE")):
+        with pytest.raises(ValueError, match=what):
+            load(model + more)
