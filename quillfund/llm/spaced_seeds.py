@@ -23,7 +23,7 @@ MASKS = ((0, 1, 2, 4, 5, 6), (0, 1, 5, 7, 8, 10), (0, 2, 3, 5, 9, 10))
 SHORT_MASK = (0, 1)
 #: Words that an overlap has at least, or the whole item if that is shorter; and the least share of equal words.
 OVERLAP, IDENTITY = 13, 0.8
-#: Items with fewer words are too short to be told from chance and match nothing.
+#: Items with fewer words are too short to be found inside texts; they match documents that have the same words and no more.
 LEAST_WORDS = 5
 #: Bits of the bitmap (2 MB), whatever the size of the benchmark.
 BITMAP_BITS = 1 << 24
@@ -91,8 +91,8 @@ def _items(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
                         yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(at.astype(np.int32)), pa.array([words.view(np.int64)] * len(h), pa.list_(pa.int64()))], ["h", "at", "item"])
 
     source = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text"))
-    items = written(source.mapInArrow(split, "item_id long, item array<long>").where(F.size("item") >= LEAST_WORDS).withColumn("it", F.xxhash64("item")), "items")
-    distinct = items.groupBy("it").agg(F.first("item").alias("item"))
+    items = written(source.mapInArrow(split, "item_id long, item array<long>").where(F.size("item") > 0).withColumn("it", F.xxhash64("item")), "items")
+    distinct = items.where(F.size("item") >= LEAST_WORDS).groupBy("it").agg(F.first("item").alias("item"))
     seeds = distinct.select("it", "item").mapInArrow(seed, "h long, at int, item array<long>").select("h", "at", F.xxhash64("item").alias("it"))
     return items, written(seeds, "seeds")
 
@@ -100,15 +100,18 @@ def _items(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
 def leaks(docs: DataFrame, benchmark: DataFrame, exact_seeds: int = EXACT_SEEDS) -> DataFrame:
     """``doc_id, t, item_id, item_words, overlap_words, equal_words``: one row for each document (of ``docs`` rows) and
     item whose texts overlap: at least ``OVERLAP`` aligned words that begin and end on equal ones, or the whole of an item
-    of any length whichever of its words are replaced; in both, ``IDENTITY`` of the words are equal.
+    of any length whichever of its words are replaced; in both, ``IDENTITY`` of the words are equal. Items of fewer than
+    ``LEAST_WORDS`` words match documents of exactly their words.
 
-    Null and empty texts, and items of fewer than ``LEAST_WORDS`` words, match nothing; repeated documents or items repeat
+    Null and empty texts and items match nothing; repeated documents or items repeat
     rows only where both ids and texts are distinct; empty tables give an empty result; other columns are not read.
     """
     spark = docs.sparkSession
     items, seeds = _items(benchmark)
     longest, = items.agg(F.coalesce(F.max(F.size("item")), F.lit(0))).first()
-    short = not items.where(F.size("item") < OVERLAP).isEmpty()
+    tiny = items.where(F.size("item") < LEAST_WORDS)
+    short = not items.where(F.size("item").between(LEAST_WORDS, OVERLAP - 1)).isEmpty()
+    whole = not tiny.isEmpty()
     bits = F.pmod("h", F.lit(BITMAP_BITS))
     filled = seeds.groupBy(F.shiftright(bits, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(h, {BITMAP_BITS}) & 63 as int))")).alias("mask")).collect()  # BITMAP_BITS / 64 rows at most
     bitmap = np.zeros(BITMAP_BITS // 64, np.uint64)
@@ -125,6 +128,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, exact_seeds: int = EXACT_SEEDS)
             rows, begins, regions, hits = [], [], [], []
             for row, text in enumerate(batch.column(2).to_pylist()):
                 words = words_of(text)
+                if whole and 0 < len(words) < LEAST_WORDS:
+                    rows.append(row)
+                    begins.append(0)
+                    regions.append(words.view(np.int64))
+                    hits.append([])
+                    continue
                 found_h, found_at = [], []
                 for h, at in seeds_of(words, masks):
                     bit = (h.view(np.int64) & (BITMAP_BITS - 1)).astype(np.int64)
@@ -169,7 +178,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, exact_seeds: int = EXACT_SEEDS)
     pairs = shifts.withColumnsRenamed({c: f"_{c}" for c in place}).join(regions.dropDuplicates(place), same).join(items.groupBy("it").agg(F.first("item").alias("item")), "it")
     checked = pairs.select("doc_id", "t", "words", "item", "shifts", "it").mapInArrow(verify, "doc_id long, t long, it long, item_words int, overlap_words int, equal_words int")
     best = checked.where(F.col("overlap_words") >= F.least(F.lit(OVERLAP), "item_words")).groupBy("doc_id", "t", "it", "item_words").agg(F.max(F.struct("overlap_words", "equal_words")).alias("best"))
-    return best.join(items.select("it", "item_id").distinct(), "it").select("doc_id", "t", "item_id", "item_words", "best.overlap_words", "best.equal_words")
+    found = best.join(items.select("it", "item_id").distinct(), "it").select("doc_id", "t", "item_id", "item_words", "best.overlap_words", "best.equal_words")
+    if not whole:
+        return found
+    size = F.size("words")
+    same = regions.where(size < LEAST_WORDS).join(tiny, regions["words"] == tiny["item"]).select("doc_id", "t", "item_id", *[size.alias(c) for c in ("item_words", "overlap_words", "equal_words")])
+    return found.unionByName(same.distinct())
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -135,6 +135,13 @@ def test_against_all_alignments(spark, exact):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(d[0]) for d in docs if d[0] not in {e[0] for e in expected})
 
 
+def test_items_of_few_words_match_whole_documents_only(spark):
+    table = spark.createDataFrame([(1, "Two, words!", 1, "x"), (2, "two words more", 1, "x"), (3, "words two", 1, "x"), (4, None, 1, "x"), (None, "two words", 1, "x")], DOCS)
+    bench = spark.createDataFrame([(7, "two words"), (8, "TWO words."), (9, "..."), (10, "a b c d e f")], "item_id long, text string")
+    assert sorted((r.doc_id or 0, r.item_id, r.item_words, r.overlap_words, r.equal_words) for r in leaks(table, bench).collect()) == [(0, 7, 2, 2, 2), (0, 8, 2, 2, 2), (1, 7, 2, 2, 2), (1, 8, 2, 2, 2)]
+    assert sorted(r.doc_id for r in clean(table, bench).collect()) == [2, 3, 4]
+
+
 def test_empty_tables(spark):
     table = spark.createDataFrame([(1, "a b c d e f g", 1, "x")], DOCS)
     none = spark.createDataFrame([], "item_id long, text string")
