@@ -77,3 +77,29 @@ def test_empty_and_unusable(spark):
     rows = spark.createDataFrame([(1, None, "x", 1), (2, [0.0], "x", 1)], VECTORS)
     assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in near_duplicates(rows).collect()) == [(1, 0, 1, True), (2, 0, 2, True)]
     assert rows.where(usable("embedding")).count() == 0
+
+
+def test_planted_pairs_among_many(spark):
+    """Pairs at 0.90 to 0.92 among vectors that have nothing to do with them, so that lists hold many collisions."""
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((20_000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rng.standard_normal((800, 32))
+    y -= (y * x[:800]).sum(axis=1, keepdims=True) * x[:800]
+    cosine = rng.uniform(0.9, 0.92, (800, 1))
+    vectors = np.concatenate([x, cosine * x[:800] + np.sqrt(1 - cosine**2) * y / np.linalg.norm(y, axis=1, keepdims=True)]).astype(np.float32)
+    unit = vectors.astype(float) / np.linalg.norm(vectors.astype(float), axis=1, keepdims=True)
+    expected = np.zeros(len(unit), int)
+    for at in range(0, len(unit), 2000):
+        expected[at : at + 2000] = (unit[at : at + 2000] @ unit.T >= 0.9).sum(axis=1) - 1
+    assert expected.sum() >= 1500
+    rows = [(k, v, "x", 1) for k, v in enumerate(vectors.tolist())]
+    got = {r.vec_id: r.n_links for r in near_duplicates(spark.createDataFrame(rows, VECTORS)).collect()}
+    assert all(got[k] <= expected[k] for k in got)
+    assert sum(got.values()) >= 0.95 * expected.sum()
+
+
+def test_plans_that_miss_the_recall_are_refused():
+    assert calibrate(10**5, 64).count >= 2
+    with pytest.raises(ValueError, match="no plan"):
+        calibrate(10**5, 64, threshold=0.2)
