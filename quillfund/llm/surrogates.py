@@ -3,19 +3,25 @@
 Detected entities are replaced by values of the same type and form that a key determines: letters stay letters of their
 script and case, digits stay digits, separators stay; addresses keep valid octets, card numbers keep a valid or invalid
 check digit, names keep gender, script and, where lists exist, are names again. Equal entities get equal surrogates
-everywhere (also in other case), so coreference holds; an e-mail's domain is replaced as one, so colleagues stay
-colleagues.
-
-Distinctness is checked on the distinct entities of the whole corpus: a surrogate that two entities share, or that is
-itself an entity of the corpus, is drawn again for all but the smallest of them until none is left. From draw ``WIDE_DRAW``
-on the form widens with each draw (more letters or digits, octets of any width), so a crowded form ends too. Only entities drawn
-more than once must be carried to the documents; all others are recomputed where they stand, so texts are not shuffled.
+everywhere (also in other case), so coreference holds. Parts that several entities share are entities of their own: an
+e-mail's domain, so that colleagues stay colleagues, and a surname, so that "Mr. Smith" stays the John Smith of the same
+text. In a text with a titled name, its later mentions without a title (whole, given name or surname) are replaced too.
+
+Distinctness is checked on the distinct entities of the whole corpus, first of the shared parts, then of what is built on
+them: a surrogate that two entities share, or that is itself an entity of the corpus, is drawn again for all but the
+smallest of them until none is left. From draw ``WIDE_DRAW`` on the form widens with each draw (more letters or digits,
+octets of any width), so a crowded form ends too. Only entities drawn more than once must be carried to the documents; all
+others are recomputed where they stand, so texts are not shuffled.
+
+The key comes from the caller or from ``spark.quillfund.surrogates.key``; there is no default that others could know. If
+neither is set, a random key is drawn, so that surrogates of one call agree with each other and with nothing else.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import secrets
 import unicodedata
 
 import pyarrow as pa
@@ -29,7 +35,7 @@ from quillfund.llm.common import attach, keyed, table, written
 MOST_DRAWS = 64
 #: The first draw that may leave the form: one symbol more than the entity has, and another one with each further draw.
 WIDE_DRAW = 8
-DEFAULT_KEY = b"surrogates"
+KEY_SETTING = "spark.quillfund.surrogates.key"
 
 # Given names by script and gender, honorifics by gender.
 NAMES = {
@@ -43,19 +49,24 @@ NAMES = {
 HONORIFICS = {
     "f": ["Mrs", "Ms", "Miss", "Frau", "Mme", "Madame", "Mlle", "Sra", "Señora", "Srta", "Signora", "Г-жа", "Κυρία"],
     "m": ["Mr", "Herr", "Monsieur", "Sr", "Señor", "Signor", "Г-н", "Κύριος"],
+    "n": ["Dr", "Prof", "Dra", "Doctor", "Professor"],
 }
 # End of fixed values.
 
 _GIVEN = {name: (script, gender) for (script, gender), names in NAMES.items() for name in names}
+_GENDER = {title: gender for gender, titles in HONORIFICS.items() for title in titles}
 _TITLES = "|".join(sorted((re.escape(h) for hs in HONORIFICS.values() for h in hs), key=len, reverse=True))
 _CAPITAL = r"[A-ZÀ-ÖØ-ÞΆ-ΏΑ-ΫЀ-Я][\w'’-]*[^\W\d_]"
 #: Type and pattern of what is detected; earlier ones win.
 PATTERNS = [
     ("email", r"[\w.%+-]*[^\W_]@[^\W_](?:[\w-]*[^\W_])?(?:\.[^\W_](?:[\w-]*[^\W_])?)*\.[^\W\d_]{2,}"),
     ("secret", r"(?i:\b(?:token|secret|api[_-]?key|password|passwd)\b[\"']?\s*[=:]\s*)[\"'](?P<secret>[^\s\"']{6,})[\"']"),
+    ("secret", r"(?i:\b(?:token|secret|api[_-]?key|password|passwd)\b\s*[=:]\s*)(?P<bare>(?=[\w.+/~-]*\d)[A-Za-z][\w.+/~-]{4,}[A-Za-z0-9])"),
+    ("secret", r"\b(?P<known>AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk_(?:live|test)_[A-Za-z0-9]{10,}|xox[abpr]-[A-Za-z0-9-]{9,}[A-Za-z0-9])\b"),
     ("phone", r"(?<![\w.+-])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?![\w-])|(?<![\w.+-])\(\d{3}\) ?\d{3}-\d{4}(?![\w-])|(?<![\w.+-])\d{3}-\d{3}-\d{4}(?![\w-])"),
     ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
     ("ip", r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\w)"),
+    ("ipv6", r"(?<![\w:])(?=[0-9A-Fa-f:]*\d)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\w:])"),
     ("iban", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"),
     ("card", r"(?<![\w.-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})(?![\w-])"),
     ("name", rf"\b(?P<title>{_TITLES})\b\.? (?P<name>{_CAPITAL}(?: {_CAPITAL})?)"),
@@ -63,26 +74,53 @@ PATTERNS = [
 _FIND = re.compile("|".join(f"(?P<t{k}>{pattern})" for k, (_, pattern) in enumerate(PATTERNS)))
 #: A text without any of these holds no entity.
 _MAY = re.compile(rf"[0-9@]|(?i:token|secret|key|passw)|\b(?:{_TITLES})\b")
+_SECRETS = ("secret", "bare", "known")
 
 
-def detect(text: str) -> list[tuple[int, int, str]]:
-    """(begin, end, type) of the entities of a text, left to right, none overlapping. Names have the gender of their
-    title: type ``name-f`` or ``name-m``."""
+def detect(text: str) -> list[tuple[int, int, str, str]]:
+    """(begin, end, type, entity) of the entities of a text, left to right, none overlapping. A whole name has the gender of
+    its title: type ``name-f``, ``name-m`` or ``name-n``; a lone one is a ``surname``. The entity is what stands there, but
+    for a given name that stands alone the whole name that it belongs to."""
     if not _MAY.search(text):
         return []
-    found = []
+    found, names = [], {}
     for m in _FIND.finditer(text):
         k = next(k for k in range(len(PATTERNS)) if m[f"t{k}"] is not None)
         kind = PATTERNS[k][0]
         if kind == "secret":
-            found.append((*m.span("secret"), kind))
+            span = m.span(next(g for g in _SECRETS if m[g]))
         elif kind == "name":
-            found.append((*m.span("name"), "name-f" if m["title"] in HONORIFICS["f"] else "name-m"))
+            span, name = m.span("name"), m["name"]
+            kind = f"name-{_GENDER[m['title']]}" if " " in name else "surname"
+            given, _, last = name.rpartition(" ")
+            names.setdefault(last, ("surname", last))
+            if given:
+                names.setdefault(given, (kind, name))
+                names[name] = (kind, name)
         else:
-            found.append((*m.span(), kind))
+            span = m.span()
+        found.append((*span, kind, text[span[0] : span[1]]))
+    names = {name: entity for name, entity in names.items() if name not in _GENDER}
+    if names:
+        taken = [*found, (len(text), len(text), "", "")]
+        again = re.compile(rf"(?<!\w)(?:{'|'.join(sorted(map(re.escape, names), key=len, reverse=True))})(?![\w@])")
+        k = 0
+        for m in again.finditer(text):
+            while taken[k][1] <= m.start():
+                k += 1
+            if m.end() <= taken[k][0]:
+                found.append((*m.span(), *names[m[0]]))
+        found.sort()
     return found
 
 
+def base(kind: str, value: str) -> tuple[str, str] | None:
+    """The shared part of an entity, an entity itself: the domain of an e-mail, the surname of a whole name."""
+    if kind == "email":
+        return "domain", value.rpartition("@")[2]
+    return ("surname", value.rpartition(" ")[2]) if kind.startswith("name-") else None
+
+
 def normal(kind: str, value: str) -> str:
     """What equal entities share: case is ignored, and separators of numbers."""
     value = value.casefold()
@@ -143,19 +181,23 @@ def _checked(digits: str) -> bool:
     return total % 10 == 0
 
 
-def surrogate(key: bytes, kind: str, value: str, draw: int = 0) -> str:
-    """The replacement of ``value``, an entity of type ``kind``, at draw number ``draw``. Case and separators follow the
-    value; everything else follows ``normal(kind, value)`` only."""
+def surrogate(key: bytes, kind: str, value: str, draw: int = 0, base_draw: int = 0) -> str:
+    """The replacement of ``value``, an entity of type ``kind``, at draw number ``draw``, with its ``base`` at draw number
+    ``base_draw``. Case and separators follow the value; everything else follows ``normal(kind, value)`` only."""
     same = normal(kind, value)
     wide = max(0, draw + 1 - WIDE_DRAW)
     stream = Draw(key, kind, same, draw)
+    if kind == "domain":
+        first, *labels, top = value.split(".")
+        first, *rest = _masked(".".join([first, *labels]).casefold(), stream).split(".")
+        host = ".".join([first + _more(wide, "a", "z", stream), *rest])
+        return f"{host.upper() if value.isupper() else host}.{top}"
     if kind == "email":
         local, _, domain = value.rpartition("@")
-        labels = domain.split(".")
-        host = _masked(".".join(labels[:-1]).casefold(), Draw(key, "domain", domain.casefold(), 0))
-        cased = host.upper() if domain.isupper() else host
         name = _masked(local.casefold(), stream) + _more(wide, "a", "z", stream)
-        return f"{name.upper() if local.isupper() else name}@{cased}.{labels[-1]}"
+        return f"{name.upper() if local.isupper() else name}@{surrogate(key, 'domain', domain, base_draw)}"
+    if kind == "ipv6":
+        return ":".join(_masked(part if not wide or not part else "0000", stream, True) for part in value.split(":"))
     if kind == "ip" and wide:
         return ".".join(str(stream.below(256)) for _ in range(4))
     if kind == "ip":
@@ -173,8 +215,14 @@ def surrogate(key: bytes, kind: str, value: str, draw: int = 0) -> str:
         fill = iter(fresh)
         out = [next(fill) if normal(kind, c) else c for c in value]
         return "".join(c.upper() if v.isupper() else c for c, v in zip(out, value, strict=True)) + "".join(fill)
-    if kind.startswith("name"):
-        return _name(value, kind[-1], stream, wide)
+    if kind == "surname":
+        spelled = _spelled(value, stream) + _more(wide * any(c.isalpha() for c in value), *_ends(value), stream)
+        return spelled.upper() if value.isupper() and len(value) > 1 else spelled
+    if kind.startswith("name-"):
+        given, _, last = value.rpartition(" ")
+        # By the given name alone, so that it is the same for all who bear it, unless whole names collide.
+        stream = Draw(key, kind, normal(kind, given) if not draw else same, draw)
+        return f"{_given(given, kind[-1], stream, wide)} {surrogate(key, 'surname', last, base_draw)}"
     shape = _masked(value.casefold(), stream, bool(re.fullmatch(r"[0-9a-fA-F]+", value)))
     more = _more(wide, *("09" if same.isdecimal() else "af" if re.fullmatch(r"[0-9a-f]+", same) else "az"), stream)
     return (shape + more).upper() if value.isupper() else shape + more if value.islower() else "".join(c.upper() if v.isupper() else c for c, v in zip(shape, value, strict=True)) + more
@@ -192,20 +240,26 @@ def _phone(value: str, same: str, draw: Draw) -> str:
     return same[1 : 1 + country] + _masked(same[1 + country :], draw)
 
 
-def _name(value: str, gender: str, draw: Draw, wide: int = 0) -> str:
-    given, *rest = value.split(" ")
-    letter = next((c for c in given if c.isalpha()), "A")
-    script = next((s for s in ("latin", "cyrillic", "greek") if unicodedata.name(letter, "").startswith(s.upper())), None)
-    ends = {"cyrillic": ("а", "я"), "greek": ("α", "ρ")}.get(script, ("a", "z"))
-    wide *= any(c.isalpha() for c in value)
+def _script(word: str) -> str | None:
+    letter = next((c for c in word if c.isalpha()), "A")
+    return next((s for s in ("latin", "cyrillic", "greek") if unicodedata.name(letter, "").startswith(s.upper())), None)
+
+
+def _ends(word: str) -> tuple[str, str]:
+    """The letters that a widened name of this script ends with."""
+    return {"cyrillic": ("а", "я"), "greek": ("α", "ρ")}.get(_script(word), ("a", "z"))
+
+
+def _given(given: str, gender: str, draw: Draw, wide: int = 0) -> str:
+    """A given name of the same script and gender; for a title of either, of the gender of the name if it is known."""
+    script = _script(given)
     if script is None:
-        return _masked(value, draw) + _more(wide, *ends, draw)
-    choices = NAMES[script, gender]
-    # The lists are short, so the rest of the name is drawn letter by letter; a lone name too gets a drawn part.
-    words = [choices[draw.below(len(choices))]] if rest else [_spelled(given, draw)]
-    words += [_spelled(word, draw) for word in rest]
-    words[-1] += _more(wide, *ends, draw)
-    return " ".join(w.upper() if value.isupper() else w for w in words)
+        return _masked(given, draw) + _more(wide, *_ends(given), draw)
+    if gender == "n":
+        gender = _GIVEN.get(given, (script, "n"))[1]
+    choices = NAMES[script, gender] if gender != "n" else NAMES[script, "f"] + NAMES[script, "m"]
+    name = choices[draw.below(len(choices))] + _more(wide, *_ends(given), draw)
+    return name.upper() if given.isupper() and len(given) > 1 else name
 
 
 def _spelled(word: str, draw: Draw) -> str:
@@ -221,8 +275,9 @@ def _entities(docs: DataFrame) -> DataFrame:
             rows: list[tuple[int, str, str, str]] = []
             for row, text in enumerate(batch.column(2).to_pylist()):
                 seen = {}
-                for begin, end, kind in detect(text):
-                    seen.setdefault((kind, normal(kind, text[begin:end])), text[begin:end])
+                for _, _, kind, entity in detect(text):
+                    for part in filter(None, ((kind, entity), base(kind, entity))):
+                        seen.setdefault((part[0], normal(*part)), part[1])
                 rows += [(row, kind, value, sample) for (kind, value), sample in seen.items()]
             take = pa.array([r[0] for r in rows], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *(pa.array([r[k] for r in rows], pa.string()) for k in (1, 2, 3))], ["doc_id", "t", "kind", "value", "sample"])
@@ -232,16 +287,29 @@ def _entities(docs: DataFrame) -> DataFrame:
 
 def redraws(entities: DataFrame, key: bytes) -> DataFrame:
     """Entities whose surrogates must be drawn again, with their draw number: kind, value, draw. Empty as a rule."""
-    originals = entities.groupBy("kind", "value").agg(F.min("sample").alias("sample"))
+    shared = F.col("kind").isin("domain", "surname")
+    first = written(_settled(entities.where(shared).withColumn("base_draw", F.lit(0)), key), "shared-redraws")
+    rest = entities.where(~shared)
+    if first.isEmpty():
+        return _settled(rest.withColumn("base_draw", F.lit(0)), key)
+    kind = F.when(F.col("kind") == "email", "domain").when(F.col("kind").startswith("name-"), "surname")
+    part = F.when(F.col("kind") == "email", F.substring_index("value", "@", -1)).otherwise(F.substring_index("value", " ", -1))
+    rest = rest.withColumn("_kind", kind).withColumn("_value", part).join(first.toDF("_kind", "_value", "base_draw"), ["_kind", "_value"], "left")
+    return first.unionByName(_settled(rest.withColumn("base_draw", F.coalesce("base_draw", F.lit(0))), key))
+
+
+def _settled(entities: DataFrame, key: bytes) -> DataFrame:
+    """``redraws`` of entities that don't build on each other, with the draw of what they build on (``base_draw``)."""
+    originals = entities.groupBy("kind", "value").agg(F.min("sample").alias("sample"), F.min("base_draw").alias("base_draw"))
     rows = written(originals.withColumn("draw", F.lit(0)), "entities")
 
     def draw_all(batches):
         for batch in batches:
-            fresh = [normal(kind, surrogate(key, kind, sample, draw)) for kind, sample, draw in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3)), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fresh, pa.string())], ["kind", "value", "sample", "draw", "fresh"])
+            fresh = [normal(kind, surrogate(key, kind, sample, draw, at)) for kind, sample, at, draw in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 4)), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fresh, pa.string())], ["kind", "value", "sample", "base_draw", "draw", "fresh"])
 
     for turn in range(MOST_DRAWS):
-        drawn = rows.mapInArrow(draw_all, "kind string, value string, sample string, draw int, fresh string")
+        drawn = rows.select("kind", "value", "sample", "base_draw", "draw").mapInArrow(draw_all, "kind string, value string, sample string, base_draw int, draw int, fresh string")
         drawn = written(drawn.select("*", F.regexp_replace("kind", "-.*", "").alias("family")), "drawn")
         stays = drawn.groupBy("family", "fresh").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("draw", "kind", "value")).alias("first"))
         taken = stays.join(drawn.select("family", F.col("value").alias("fresh")).distinct().withColumn("known", F.lit(True)), ["family", "fresh"], "left").where("c > 1 or known")
@@ -250,18 +318,25 @@ def redraws(entities: DataFrame, key: bytes) -> DataFrame:
             break
         mine = (F.col("kind") == F.col("first.kind")) & (F.col("value") == F.col("first.value")) & F.col("known").isNull()
         again = drawn.join(taken, ["family", "fresh"], "left")
-        rows = written(again.select("kind", "value", "sample", F.when(F.col("c").isNull() | mine, F.col("draw")).otherwise(turn + 1).alias("draw")), "entities")
+        rows = written(again.select("kind", "value", "sample", "base_draw", F.when(F.col("c").isNull() | mine, F.col("draw")).otherwise(turn + 1).alias("draw")), "entities")
     else:
         raise ValueError("entities have fewer possible surrogates than there are entities")
     return rows.where("draw > 0").select("kind", "value", "draw")
 
 
-def replace_pii(docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
-    """``docs`` with all their columns; entities in ``text`` are replaced by surrogates. An ``n_chars`` column of whole
+def session_key(spark: SparkSession) -> bytes:
+    """The session's key, or a fresh random one."""
+    return (spark.conf.get(KEY_SETTING, None) or secrets.token_hex(32)).encode()
+
+
+def replace_pii(docs: DataFrame, key: bytes | None = None) -> DataFrame:
+    """``docs`` with all their columns; entities in ``text`` are replaced by surrogates under ``key``, by default that of
+    the session (``session_key``). An ``n_chars`` column of whole
     numbers follows the new text.
 
     A null text stays null; texts without entities are unchanged; repeated rows change alike; an empty table stays empty.
     """
+    key = session_key(docs.sparkSession) if key is None else key
     stable = keyed(docs)
     entities = written(_entities(stable), "document-entities")
     again = written(redraws(entities, key), "redraws")
@@ -292,9 +367,12 @@ def _rewritten(text: str | None, items: str | None, key: bytes) -> str | None:
         return None
     draws = {(i["kind"], i["value"]): i["draw"] for i in json.loads(items)} if items else {}
     parts, done = [], 0
-    for begin, end, kind in detect(text):
-        value = text[begin:end]
-        parts += [text[done:begin], surrogate(key, kind, value, draws.get((kind, normal(kind, value)), 0))]
+    for begin, end, kind, entity in detect(text):
+        part = base(kind, entity)
+        fresh = surrogate(key, kind, entity, draws.get((kind, normal(kind, entity)), 0), draws.get((part[0], normal(*part)), 0) if part else 0)
+        if end - begin < len(entity):  # a given name that stands alone
+            fresh = fresh.partition(" ")[0]
+        parts += [text[done:begin], fresh]
         done = end
     return "".join([*parts, text[done:]]) if parts else text
 

@@ -10,18 +10,20 @@ import corpus_pipeline
 from quillfund.llm.common import scratch_path
 from quillfund.llm.pieces import default_model
 from quillfund.llm.simhash import fingerprint
-from quillfund.llm.surrogates import _rewritten
+from quillfund.llm.surrogates import KEY_SETTING, _rewritten
 
 DATA = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="module")
 def outputs(spark):
+    spark.conf.set(KEY_SETTING, "test")
     docs, found = spark.read.parquet(f"{DATA}/documents.parquet"), []
     for _, stage in corpus_pipeline.STAGES:
         path = scratch_path(spark, "test-stage")
         stage(spark, docs, DATA).write.parquet(path)
         found.append((docs, docs := spark.read.parquet(path)))
+    spark.conf.unset(KEY_SETTING)
     return found
 
 
@@ -52,7 +54,7 @@ def test_near_dedup_keeps_one_of_each_group(outputs):
 def test_surrogates_and_tokens(outputs):
     before, after = ({r.doc_id: r for r in d.collect()} for d in outputs[3])
     for k, row in before.items():
-        assert after[k].text == _rewritten(row.text, None, b"surrogates")
+        assert after[k].text == _rewritten(row.text, None, b"test")
     library = sentencepiece.SentencePieceProcessor(model_proto=default_model())
     for row in outputs[4][1].collect():
         ids = library.encode(after[row.doc_id].text)
