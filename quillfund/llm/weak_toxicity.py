@@ -1,10 +1,11 @@
 """Toxicity by weak supervision.
 
-Voters are words (lexicon) and word beginnings (patterns) that labelled training rows show far more often in toxic texts
-than chance would; each votes "toxic" where it occurs and abstains elsewhere. A generative label model then estimates,
+Voters are words (lexicon) and word beginnings (patterns): those of a fixed lexicon, and those that labelled training rows
+show far more often in toxic texts than chance would (a lexicon alone would miss whole languages). Each votes "toxic" where
+it occurs and abstains elsewhere; one more votes "clean" where all others abstain. A generative label model then estimates,
 without labels, how often each voter fires on toxic and on other texts: correlated voters (which fire together beyond what
-the class explains) are tied into blocks that vote once, and expectation-maximisation fits the rates of the blocks. Its
-posteriors train a linear classifier on the voters, which scores whole texts with one automaton pass.
+the class explains) are tied into blocks that vote once, and expectation-maximisation fits the rates of the blocks and the
+share of toxic texts. Its posteriors train a linear classifier on the voters, which scores whole texts with one automaton pass.
 """
 
 from __future__ import annotations
@@ -145,19 +146,28 @@ def votes(sample: DataFrame, model: Model) -> np.ndarray:
 
 
 def label_model(matrix: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[int]]]:
-    """Posterior of each row, rates of each block among toxic and other rows, and the blocks. No labels are used. A voter
-    that is silent says nothing (most are bound to a language), and rows without votes stay clean."""
+    """Posterior of each row, rates of each block among toxic and other rows, and the blocks. No labels are used.
+
+    A voter that is silent abstains (most are bound to a language). Rows on which all are silent have the vote of one more
+    voter, which says "clean" and whose rates are estimated like those of the others, as is the share of toxic rows."""
     y = matrix.any(axis=1).astype(float)
-    voted, prior = y > 0, float(np.clip(y.mean(), 1e-3, 0.5))
     blocks = _blocks(matrix, y)
-    joint = np.stack([matrix[:, b].any(axis=1) for b in blocks], axis=1).astype(float)
+    joint = np.stack([matrix[:, b].any(axis=1) for b in blocks] + [y == 0], axis=1).astype(float)
     for _ in range(rounds):
+        prior = float(np.clip(y.mean(), 1e-3, 0.5))
         toxic = (joint.T @ y + 1) / (y.sum() + 2)
         other = (joint.T @ (1 - y) + 0.05) / ((1 - y).sum() + 2)
-        other = np.minimum(other, toxic * 0.9)  # a voter votes "toxic"
-        logit = math.log(prior / (1 - prior)) + joint @ np.log(toxic / other)
-        y = np.where(voted, 1 / (1 + np.exp(-np.clip(logit, -30, 30))), 0.0)
-    return y, toxic, other, blocks
+        toxic[-1], other[-1] = (joint[:, -1] @ y + 0.05) / (y.sum() + 2), (joint[:, -1] @ (1 - y) + 1) / ((1 - y).sum() + 2)
+        other[:-1] = np.minimum(other[:-1], toxic[:-1] * 0.9)  # a voter votes "toxic"
+        toxic[-1] = min(toxic[-1], other[-1] * 0.9)
+        y = posterior(joint, toxic, other, prior)
+    return y, toxic[:-1], other[:-1], blocks
+
+
+def posterior(joint: np.ndarray, toxic: np.ndarray, other: np.ndarray, prior: float) -> np.ndarray:
+    """The chance that each row is toxic, given who voted; abstentions say nothing."""
+    logit = math.log(prior / (1 - prior)) + joint @ np.log(toxic / other)
+    return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
 
 def _blocks(matrix: np.ndarray, y: np.ndarray) -> list[list[int]]:

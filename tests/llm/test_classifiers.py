@@ -106,3 +106,32 @@ def test_quality(spark):
 def test_line_features_are_finite():
     rows = line_features([b"", b" ", b"|||", b"A A A", b"\xff\xfe", b"x" * 1000])
     assert np.isfinite(rows).all() and rows.shape == (6, len(line_crf.FEATURES))
+
+
+def test_posteriors_against_enumeration():
+    """Bayes' rule, voter by voter, over both classes."""
+    rng = np.random.default_rng(5)
+    joint = rng.random((50, 4)) < 0.4
+    toxic, other, prior = np.array([0.5, 0.3, 0.6, 0.1]), np.array([0.05, 0.1, 0.2, 0.9]), 0.2
+    for row, got in zip(joint, weak_toxicity.posterior(joint.astype(float), toxic, other, prior), strict=True):
+        chance = {True: prior, False: 1 - prior}
+        for k, fired in enumerate(row):
+            if fired:
+                chance = {True: chance[True] * toxic[k], False: chance[False] * other[k]}
+        assert abs(got - chance[True] / (chance[True] + chance[False])) < 1e-9
+
+
+def test_label_model_finds_accuracies_and_ties_without_labels():
+    rng = np.random.default_rng(6)
+    y = rng.random(4000) < 0.2
+    rates = [(0.7, 0.01), (0.6, 0.005), (0.5, 0.01), (0.4, 0.02)]
+    matrix = np.stack([rng.random(4000) < np.where(y, a, b) for a, b in rates], axis=1)
+    matrix = np.hstack([matrix, matrix[:, :1], matrix[:, :1]])  # two voters that only repeat the first
+    got, toxic, other, blocks = weak_toxicity.label_model(matrix)
+    assert sorted(map(tuple, blocks)) == [(0, 4, 5), (1,), (2,), (3,)]
+    assert ((got > 0.5) == y).mean() > 0.94
+    order = [b[0] for b in blocks]
+    accuracy = toxic * got.mean() / (toxic * got.mean() + other * (1 - got.mean()))
+    true = [y[matrix[:, k]].mean() for k in order]
+    assert np.argmin(accuracy) == np.argmin(true) == order.index(3)
+    assert got[~matrix.any(axis=1)].max() < 0.5
