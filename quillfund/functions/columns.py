@@ -234,6 +234,39 @@ def _text_docs_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     return lines.select("doc_id", "line_no", F.trim("line").alias("line")).where("line <> ''").select("doc_id", "line_no", F.md5("line").alias("line_md5"))
 
+# Units that large amounts are published in, with their power of ten.
+AMOUNT_UNITS = {"股": 0, "元": 0, "份": 0, "万股": 4, "万元": 4, "万份": 4, "亿元": 8, "亿份": 8}
+# End of fixed values.
+
+
+def rescale(amount: Column, unit: Column) -> Column:
+    """An amount in shares or yuan, in decimal arithmetic; null for an unknown unit."""
+    power = F.coalesce(*[F.when(unit == name, F.lit(10**k)) for name, k in AMOUNT_UNITS.items()]).cast("decimal(9,0)")
+    return (amount.cast("decimal(24,4)") * power).cast("decimal(33,4)")
+
+
+_FINAL = "struct<status:string,cache_hit:boolean,timings_ms:struct<total:double,first_token:double,llm:double,tools:double>,tool_rounds:bigint,tools:array<struct<name:string,duration_ms:double>>,usage:map<string,double>,response_models:array<string>>"
+
+
+def final_event(text: Column) -> Column:
+    """The final event of an answer's log (JSON) as a flat struct; what is missing, or no JSON, gives nulls."""
+    event = F.from_json(text, _FINAL)
+    times = [event["timings_ms"][part].alias(f"server_{part}_ms") for part in ("total", "first_token", "llm", "tools")]
+    return F.struct(event["status"].alias("status"), event["cache_hit"].alias("cache_hit"), *times, event["tool_rounds"].alias("tool_rounds"), event["tools"].alias("tools"), event["usage"].alias("usage"), event["response_models"].alias("response_models"))
+
+
+def markdown_table(rows: Column) -> Column:
+    """Rows of cells (array of arrays) as a Markdown table with the first row as header. White space in cells goes, bars are
+    escaped, rows and columns without content are left out and short rows filled up; no content gives an empty text."""
+    clean = lambda c: F.replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", ""), F.lit("|"), F.lit("\\|"))
+    grid = F.filter(F.transform(rows, lambda r: F.transform(r, clean)), lambda r: F.array_join(r, "") != "")
+    width = F.coalesce(F.array_max(F.transform(grid, F.size)), F.lit(0))
+    places = F.filter(F.sequence(F.lit(0), F.greatest(width - 1, F.lit(0))), lambda k: F.exists(grid, lambda r: F.coalesce(F.get(r, k), F.lit("")) != ""))
+    line = lambda r: F.concat(F.lit("| "), F.array_join(F.transform(places, lambda k: F.coalesce(F.get(r, k), F.lit(""))), " | "), F.lit(" |"))
+    lines = F.transform(grid, line)
+    rule = F.concat(F.lit("|"), F.repeat(F.lit("---|"), F.size(places)))
+    return F.when(F.size(grid) > 0, F.array_join(F.concat(F.slice(lines, 1, 1), F.array(rule), F.slice(lines, F.lit(2), F.size(lines))), "\n")).otherwise("")
+
 
 QUERIES = {"p_parsers": _parse_query, "p_text_norms": _text_query, "c6_text_blocks": _text_docs_query}
 ORACLE_SQL = {

@@ -94,6 +94,15 @@ def in_scope(chunks: DataFrame, scope: DataFrame) -> DataFrame:
     return chunks.join(scope.select("kb_id", "owner_id").distinct(), ["kb_id", "owner_id"], "left_semi")
 
 
+def union_hits(public: DataFrame, private: DataFrame, top: int | None = None) -> DataFrame:
+    """Hits of both sources (query_id, chunk_id, score) in one list, ranked by score; ties keep public hits first, then the
+    order of chunk ids. A chunk that both sources hold stays twice, as it has two origins."""
+    both = public.select("query_id", "chunk_id", "score", F.lit("public").alias("origin")).unionByName(private.select("query_id", "chunk_id", "score", F.lit("private").alias("origin")))
+    w = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("score"), F.desc("origin"), "chunk_id")
+    ranked = both.withColumn("rank", F.row_number().over(w))
+    return ranked if top is None else ranked.where(F.col("rank") <= top)
+
+
 def retrieve(queries: DataFrame, chunks: DataFrame, mode: str = "hybrid", top: int = 5, scores: DataFrame | None = None, pool: int = POOL) -> DataFrame:
     """Modes vector, bm25, hybrid, vector_rerank and hybrid_rerank over (query_id, text, embedding) and (chunk_id, text, embedding)."""
     wide = pool if mode != "vector" and mode != "bm25" else top

@@ -91,6 +91,25 @@ def proportional_sample(items: DataFrame, stratum: str, key: str, n: int) -> Dat
     return items.withColumn("_k", F.row_number().over(w)).join(sizes, stratum).where("_k <= _take").drop("_k", "_take")
 
 
+def compare_gold(items: DataFrame, results: DataFrame) -> DataFrame:
+    """Results of queries (query_id, first: the first cell of each row, as text) against gold answers (query_id,
+    answer_type, gold: texts, tolerance): query_id, rows, correct.
+
+    ``numeric``: one row within the tolerance; ``entity``: one row, equal; ``list``: the same set of cells; ``text``: any row.
+    Counts and the sets of distinct cells are gathered; only lists keep more than one cell."""
+    kinds = items.select("query_id", "answer_type")
+    cell = F.when(F.col("answer_type") == "list", F.col("first"))
+    found = results.join(kinds, "query_id").groupBy("query_id").agg(F.count(F.lit(1)).alias("rows"), F.max("first").alias("one"), F.collect_set(cell).alias("cells"))
+    rows = items.join(found, "query_id", "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
+    gold = F.get("gold", F.lit(0))
+    single = F.col("rows") == 1
+    near = F.abs(F.col("one").try_cast("double") - gold.try_cast("double")) <= F.coalesce("tolerance", F.lit(0.0))
+    same = F.sort_array(F.coalesce("cells", F.array().cast("array<string>"))) == F.sort_array(F.array_distinct("gold"))
+    kind = F.col("answer_type")
+    correct = F.when(kind == "numeric", single & near).when(kind == "entity", single & F.col("one").eqNullSafe(gold)).when(kind == "list", same).otherwise(F.col("rows") > 0)
+    return rows.select("query_id", "rows", F.coalesce(correct, F.lit(False)).alias("correct"))
+
+
 def paired_bootstrap(pairs: DataFrame, a: str, b: str, draws: int = 10_000, seed: int = 0) -> DataFrame:
     """mean(b - a) with the 95 % interval and the share of resampled means <= 0. Each draw weighs every pair by a hashed
     Poisson(1) count, so draws are one pass over the pairs without collecting them, and partial sums leave each task."""
