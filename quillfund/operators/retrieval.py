@@ -172,13 +172,29 @@ def embedding_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hashed_embedding(asked, "item_id").select("item_id", F.posexplode("embedding").alias("bucket", "value")).where("value > 0").select("item_id", "bucket", F.round("value", 6).alias("value"))
 
 
+def holding(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(query_id, doc_id): the documents (doc_id, text) that hold all words of an item (query_id, text) in a row. They meet
+    on a hash of the item's first words, four if it has so many, and the whole item is compared then."""
+    words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
+    joined = lambda c: F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" "))
+    asked = items.select("query_id", words(F.col("text")).alias("item")).where(F.size("item") > 0).withColumn("n", F.least(F.size("item"), F.lit(4)))
+    asked = asked.select(F.col("query_id"), joined(F.col("item")).alias("item"), "n", F.xxhash64(F.slice("item", F.lit(1), F.col("n"))).alias("gram"))
+    sizes = sorted(r.n for r in asked.select("n").distinct().collect())  # four at most
+    rows = docs.select("doc_id", words(F.col("text")).alias("words")).withColumn("body", joined(F.col("words")))
+    gram = lambda n: lambda k: F.xxhash64(F.slice(F.col("words"), k, F.lit(n)))
+    none = F.array().cast("array<bigint>")
+    grams = [F.when(F.size("words") >= n, F.transform(F.sequence(F.lit(1), F.size("words") - n + 1), gram(n))).otherwise(none) for n in sizes or [1]]
+    rows = rows.select("doc_id", "body", F.explode(F.array_distinct(F.concat(*grams))).alias("gram"))
+    return rows.join(asked, "gram").where(F.col("body").contains(F.col("item"))).select("query_id", "doc_id").distinct()
+
+
 def metrics_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark items as questions; evidence: the documents that hold the item's first 60 characters."""
+    """Benchmark items as questions; evidence: the first document that holds the whole item."""
     asked, chunks = _questions(spark, sf_dir), _lines(spark, sf_dir)
     ranked = bm25(asked, chunks, 10)
-    quotes = asked.select("query_id", F.col("text").alias("quote"), F.substring("text", 1, 60).alias("head"))
-    held = chunks.join(F.broadcast(quotes), F.col("text").contains(F.col("head"))).groupBy("query_id", "quote").agg(F.min("doc_id").alias("doc_id"))
-    evidence = held.withColumn("ev_no", F.lit(0))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    held = holding(docs, asked).groupBy("query_id").agg(F.min("doc_id").alias("doc_id"))
+    evidence = held.join(asked.select("query_id", F.col("text").alias("quote")), "query_id").withColumn("ev_no", F.lit(0))
     hits = evidence_hits(ranked, chunks, evidence)
     return query_metrics(asked, hits, evidence.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))).select("query_id", "hit_1", "hit_10", F.round("mrr_10", 6).alias("mrr_10"), F.round("ndcg_10", 6).alias("ndcg_10"), "first_rank")
 
@@ -205,7 +221,7 @@ ORACLE_SQL = {
           n AS (SELECT item_id, CAST(('0x' || substring(h, 7, 2) || substring(h, 5, 2) || substring(h, 3, 2) || substring(h, 1, 2)) AS BIGINT) % 64 AS bucket, count(*) AS n FROM b GROUP BY ALL)
         SELECT item_id, CAST(bucket AS INT) AS bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY item_id)), 6) AS value FROM n""",
     "x14_retrieval_metrics": f"""
-        WITH {_BM25}, e AS (SELECT item_id AS query_id, b.text AS quote, min(c.doc_id) AS doc_id FROM benchmark b JOIN c ON contains(c.text, substring(b.text, 1, 60)) GROUP BY ALL),
+        WITH {_BM25}, e AS (SELECT item_id AS query_id, b.text AS quote, min(d.doc_id) AS doc_id FROM benchmark b JOIN documents d ON contains(concat(' ', trim(regexp_replace(d.text, '\\s+', ' ', 'g')), ' '), concat(' ', trim(regexp_replace(b.text, '\\s+', ' ', 'g')), ' ')) GROUP BY ALL),
           h AS (SELECT query_id, min(rank) AS r FROM ranked JOIN c USING (chunk_id) JOIN e USING (query_id, doc_id) WHERE rank <= 10 AND
             len(list_filter(range(1, len(quote) + 1), lambda k: k + ceil(len(regexp_replace(quote, '[\\s|]', '', 'g')) * 0.5) - 1 <= len(regexp_replace(quote, '[\\s|]', '', 'g'))
               AND contains(regexp_replace(c.text, '[\\s|]', '', 'g'), substring(regexp_replace(quote, '[\\s|]', '', 'g'), k, CAST(ceil(len(regexp_replace(quote, '[\\s|]', '', 'g')) * 0.5) AS BIGINT))))) > 0 GROUP BY query_id)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -111,16 +113,26 @@ def compare_gold(items: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def paired_bootstrap(pairs: DataFrame, a: str, b: str, draws: int = 10_000, seed: int = 0) -> DataFrame:
-    """mean(b - a) with the 95 % interval and the share of resampled means <= 0. Each draw weighs every pair by a hashed
-    Poisson(1) count, so draws are one pass over the pairs without collecting them, and partial sums leave each task."""
-    rows = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select((F.col(b) - F.col(a)).alias("d"))
-    rows = rows.withColumn("id", F.monotonically_increasing_id())
+    """mean(b - a) with the 95 % interval and the share of resampled means <= 0.
+
+    Equal differences are counted first. A draw weighs each of n equal pairs by a Poisson(1) count, and so all of them by
+    one Poisson(n) count, which the seed and the difference determine. Each task adds up its draws and emits one row."""
+    rows = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select((F.col(b) - F.col(a)).cast("double").alias("d"))
+    counts = rows.groupBy("d").agg(F.count(F.lit(1)).alias("n"))
+
+    def resample(batches):
+        total, weight = np.zeros(draws), np.zeros(draws)
+        for batch in batches:
+            for d, n in zip(*(batch.column(k).to_numpy() for k in (0, 1)), strict=True):
+                drawn = np.random.default_rng([seed, int(np.float64(d).view(np.uint64))]).poisson(n, draws)
+                total += d * drawn
+                weight += drawn
+        yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([weight])], ["total", "weight"])
+
+    parts = counts.mapInArrow(resample, "total array<double>, weight array<double>").select(F.posexplode(F.arrays_zip("total", "weight")).alias("draw", "s"))
+    means = parts.groupBy("draw").agg((F.sum("s.total") / F.nullif(F.sum("s.weight"), F.lit(0.0))).alias("m")).where("m is not null")
+    means = means.agg(F.sort_array(F.collect_list("m")).alias("ms"), F.avg(F.when(F.col("m") <= 0, 1.0).otherwise(0.0)).alias("share_not_better"))  # ``draws`` values
     mean = rows.agg(F.avg("d").alias("mean"), F.count(F.lit(1)).alias("n"))
-    unit = (F.xxhash64(F.lit(seed), "draw", "id") % 1_000_000_007 + 1_000_000_007) % 1_000_000_007 / 1_000_000_007.0
-    steps = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]  # Poisson(1)
-    count = sum((F.when(unit >= s, 1).otherwise(0) for s in steps), F.lit(0))
-    drawn = rows.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("c", count).where("c > 0").groupBy("draw").agg((F.sum(F.col("d") * F.col("c")) / F.sum("c")).alias("m"))
-    means = drawn.agg(F.sort_array(F.collect_list("m")).alias("ms"), F.avg(F.when(F.col("m") <= 0, 1.0).otherwise(0.0)).alias("share_not_better"))
     return mean.crossJoin(means).select("n", "mean", floor_index(F.col("ms"), 0.025).alias("low"), floor_index(F.col("ms"), 0.975).alias("high"), "share_not_better")
 
 
