@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillfund.functions.columns import sql_tables
-from quillfund.operators.statistics import nearest_rank
+from quillfund.operators.statistics import nearest_place, order_values
 from quillfund.plans.views import VIEWS, oracle, run
 
 
@@ -41,9 +41,13 @@ def costs(usage: DataFrame, prices: DataFrame) -> DataFrame:
 
 
 def latency_summary(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Planned and good runs with median, p90, least and greatest latency of the good ones, and failure reasons."""
-    good = F.sort_array(F.collect_list(F.when(F.col("ok"), F.col("ms"))))
-    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("planned"), F.count_if("ok").alias("n_ok"), nearest_rank(good, 50).alias("median_ms"), nearest_rank(good, 90).alias("p90_ms"), F.array_min(good).alias("min_ms"), F.array_max(good).alias("max_ms"), F.sort_array(F.collect_set(F.when(~F.col("ok"), F.col("reason")))).alias("reasons"))
+    """Planned and good runs with median, p90, least and greatest latency of the good ones, and the distinct failure reasons."""
+    good = F.when(F.col("ok"), F.col("ms"))
+    base = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("planned"), F.count_if("ok").alias("n_ok"), F.min(good).alias("min_ms"), F.max(good).alias("max_ms"), F.sort_array(F.collect_set(F.when(~F.col("ok"), F.col("reason")))).alias("reasons"))
+    ranks = {"median_ms": lambda n: nearest_place(n, 50), "p90_ms": lambda n: nearest_place(n, 90)}
+    found = order_values(rows.where("ok"), keys, "ms", ranks).drop("n").withColumnsRenamed({k: f"_{k}" for k in keys})
+    joined = base.join(found, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left")
+    return joined.select(*keys, "planned", "n_ok", *ranks, "min_ms", "max_ms", "reasons")
 
 
 def tool_scores(expected: Column, called: Column, ignored: str = "get_schema") -> Column:
@@ -77,7 +81,8 @@ def bounded_sql(spark: SparkSession, sf_dir: str, query: str, most: int = 200, l
     rows = run(spark, sf_dir, body)
     if limit is not None and limit <= most:
         return rows.limit(limit), False
-    return rows.limit(most), rows.limit(most + 1).count() > most
+    taken = rows.take(most + 1)  # one run of the query; ``most`` bounds what comes to the driver
+    return spark.createDataFrame(taken[:most], rows.schema), len(taken) > most
 
 
 def _braced(sql: str, name: str) -> str:

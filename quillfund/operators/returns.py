@@ -6,7 +6,7 @@ range as a condition, so no pair of a request and a foreign tier is ever made. E
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -45,12 +45,38 @@ def adjusted(nav: DataFrame, dividends: DataFrame) -> DataFrame:
     return rows.withColumn("adj", F.product("step").over(w.rowsBetween(Window.unboundedPreceding, 0))).select("share_code", "nav_date", "unit_nav", "adj", "place")
 
 
+#: Places that a block covers of the level below, and levels of blocks above single days.
+SPAN, LEVELS = 16, 2
+
+
+def fold(nodes: DataFrame, keys: list[str]) -> DataFrame:
+    """One node of each key from its nodes in order of ``at``: highest and lowest value, and the deepest fall within it."""
+    before = Window.partitionBy(*keys).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    down = F.least("down", F.col("bottom") / F.max("top").over(before) - 1)
+    return nodes.withColumn("down", down).groupBy(*keys).agg(F.max("top").alias("top"), F.min("bottom").alias("bottom"), F.min("down").alias("down"))
+
+
 def drawdowns(requests: DataFrame, series: DataFrame) -> DataFrame:
-    """``request_id, max_drawdown`` within [start_used, end_used]: the least adj / highest adj so far - 1, at most 0."""
-    span = requests.select("request_id", "share_code", "start_used", "end_used")
-    rows = span.join(series.select("share_code", "nav_date", "adj"), "share_code").where("nav_date BETWEEN start_used AND end_used")
-    w = Window.partitionBy("request_id").orderBy("nav_date").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("down", F.col("adj") / F.max("adj").over(w) - 1).groupBy("request_id").agg(F.least(F.lit(0.0), F.min("down")).alias("max_drawdown"))
+    """``request_id, max_drawdown`` within places [start_place, end_place]: the least adj / highest adj so far - 1, at most 0.
+
+    Days are folded into blocks of ``SPAN`` and ``SPAN`` squared places once. A request reads the blocks that make up its
+    range, by an equi-join: about 60 rows and one for each 256 days, not one for each day."""
+    places = F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.floor(F.col("place") / SPAN**k).alias("block")) for k in range(LEVELS + 1)])).alias("b")
+    days = series.select("share_code", places, F.col("place").alias("at"), F.col("adj").alias("top"), F.col("adj").alias("bottom"), F.lit(0.0).alias("down"))
+    blocks = fold(days.select("share_code", "b.*", "at", "top", "bottom", "down"), ["share_code", "level", "block"])
+
+    def span(level: int, begin: Column, end: Column) -> Column:
+        found = F.transform(F.sequence(begin, end - 1), lambda b: F.struct(F.lit(level).alias("level"), b.alias("block"), (b * SPAN**level).alias("at")))
+        return F.when(begin < end, found).otherwise(F.slice(found, 1, 0))
+
+    begin, end, parts = F.col("start_place").cast("long"), F.col("end_place").cast("long") + 1, []
+    for level in range(LEVELS):
+        first, last = F.ceil(begin / SPAN), F.floor(end / SPAN)
+        whole = first < last
+        parts += [span(level, begin, F.when(whole, first * SPAN).otherwise(end)), span(level, F.when(whole, last * SPAN).otherwise(end), end)]
+        begin, end = first, last
+    asked = requests.select("request_id", "share_code", F.explode(F.concat(*parts, span(LEVELS, begin, end))).alias("b")).select("request_id", "share_code", "b.*")
+    return fold(asked.join(blocks, ["share_code", "level", "block"]), ["request_id"]).select("request_id", F.least(F.lit(0.0), "down").alias("max_drawdown"))
 
 
 def tier(requests: DataFrame, tiers: DataFrame, value: str, low: str, high: str, fields: list[str], prefix: str) -> DataFrame:

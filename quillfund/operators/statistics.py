@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,19 +24,64 @@ def wilson(k: Column, n: Column, z: float = Z) -> Column:
     return F.when(n > 0, F.struct(F.greatest(F.lit(0.0), centre - half).alias("low"), F.least(F.lit(1.0), centre + half).alias("high")))
 
 
+def nearest_place(n: Column, p: float) -> Column:
+    """The rank ceil(p% of n) of n sorted values, from 1."""
+    return F.greatest(F.lit(1), F.ceil(n * p / 100).cast("long"))
+
+
+def floor_place(n: Column, f: float) -> Column:
+    """The rank of index floor(f * n), at most the last."""
+    return F.least(n, F.floor(n * f).cast("long") + 1)
+
+
+def rounded_place(n: Column, q: float) -> Column:
+    """The rank of index round(q * (n - 1)), half to even."""
+    return F.bround(q * (n - 1)).cast("long") + 1
+
+
 def nearest_rank(values: Column, p: float) -> Column:
-    """Of a sorted array: the value at rank ceil(p% of n)."""
-    return F.get(values, F.greatest(F.lit(1), F.ceil(F.size(values) * p / 100).cast("int")) - 1)
+    """Of a sorted array: the value at ``nearest_place``."""
+    return F.get(values, (nearest_place(F.size(values), p) - 1).cast("int"))
 
 
 def floor_index(values: Column, f: float) -> Column:
-    """Of a sorted array: the value at index floor(f * n), at most the last."""
-    return F.get(values, F.least(F.size(values) - 1, F.floor(F.size(values) * f).cast("int")))
+    """Of a sorted array: the value at ``floor_place``."""
+    return F.get(values, (floor_place(F.size(values), f) - 1).cast("int"))
+
+
+#: Cells of equal width that a range of values is cut into, twice.
+CELLS = 1000
+
+
+def _cut(counts: DataFrame, by: list[str], name: str) -> DataFrame:
+    """Adds the cell of each value between the least and greatest finite value of its group; later cells hold greater values."""
+    v = F.col("v").cast("double")
+    finite = F.when(F.abs(v) < float("inf"), v)
+    edges = counts.groupBy(*by).agg(F.min(finite).alias("low"), F.max(finite).alias("high"))
+    low, high = F.col("low"), F.col("high")
+    inside = F.when(high > low, F.least(F.lit(CELLS - 1), F.floor((v - low) / (high - low) * CELLS))).otherwise(0)
+    cell = F.when(v < low, -1).when(v > high, CELLS).otherwise(inside)
+    return counts.join(edges, by).withColumn(name, cell.cast("int")).drop("low", "high")
+
 
+def order_values(rows: DataFrame, keys: list[str], value: str, ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """``keys``, ``n`` and, by name, exact order statistics of each group: the value at a rank (from 1) that is a function of
+    n, the number of values that are not null. Groups without values are left out; NaN is the greatest value.
 
-def rounded_index(values: Column, q: float) -> Column:
-    """Of a sorted array: the value at index round(q * (n - 1)), half to even."""
-    return F.get(values, F.bround(q * (F.size(values) - 1)).cast("int"))
+    No task holds a group: equal values are counted first, their counts fall into cells of the range of values, and only
+    cells that hold an asked rank are sorted (on disk if need be). Spans of finite values must be finite."""
+    counts = rows.where(F.col(value).isNotNull()).select(F.struct(*keys).alias("_key"), F.col(value).alias("v")).groupBy("_key", "v").agg(F.count(F.lit(1)).alias("c"))
+    cell = ["_key", "outer", "inner"]
+    counts = _cut(_cut(counts, ["_key"], "outer"), cell[:2], "inner")
+    key = Window.partitionBy("_key")
+    cells = counts.groupBy(*cell).agg(F.sum("c").alias("m")).withColumn("n", F.sum("m").over(key)).withColumn("below", F.sum("m").over(key.orderBy("outer", "inner")) - F.col("m"))
+    asked = F.array(*[F.struct(F.lit(name).alias("name"), (rank(F.col("n")) - F.col("below")).alias("rank")) for name, rank in ranks.items()])
+    asked = cells.select(*cell, "n", F.filter(asked, lambda a: (a["rank"] >= 1) & (a["rank"] <= F.col("m"))).alias("asked")).where(F.size("asked") > 0)
+    held = counts.join(asked, cell).withColumn("upto", F.sum("c").over(Window.partitionBy(*cell).orderBy("v")))
+    hits = F.filter("asked", lambda a: (a["rank"] <= F.col("upto")) & (a["rank"] > F.col("upto") - F.col("c")))
+    found = held.select("_key", "n", "v", F.explode(hits).alias("hit"))
+    at = lambda name: F.max(F.when(F.col("hit.name") == name, F.col("v"))).alias(name)
+    return found.groupBy("_key").agg(F.first("n").alias("n"), *[at(name) for name in ranks]).select("_key.*", "n", *ranks)
 
 
 def kappa(pairs: DataFrame, x: str, y: str, linear: bool = False, categories: tuple[int, ...] = (0, 1, 2)) -> DataFrame:
@@ -139,9 +186,9 @@ def paired_bootstrap(pairs: DataFrame, a: str, b: str, draws: int = 10_000, seed
 def similarity_distribution(scored: DataFrame) -> DataFrame:
     """Per category, and per first part of the subtype of hard negatives: n, least, quartiles at index floor(f n), greatest."""
     labels = F.array_compact(F.array(F.col("category"), F.when(F.col("category") == "hard_negative", F.concat(F.lit("hard:"), F.split("subtype", "_")[0]))))
-    rows = scored.select(F.explode(labels).alias("kind"), "sim").groupBy("kind").agg(F.sort_array(F.collect_list("sim")).alias("v"))
-    v = F.col("v")
-    return rows.select("kind", F.size(v).alias("n"), F.array_min(v).alias("least"), *[floor_index(v, f).alias(name) for f, name in ((0.25, "p25"), (0.5, "median"), (0.75, "p75"))], F.array_max(v).alias("greatest"))
+    rows = scored.select(F.explode(labels).alias("kind"), "sim")
+    found = order_values(rows, ["kind"], "sim", {"least": lambda n: F.lit(1), "p25": lambda n: floor_place(n, 0.25), "median": lambda n: floor_place(n, 0.5), "p75": lambda n: floor_place(n, 0.75), "greatest": lambda n: n})
+    return found.withColumn("n", F.col("n").cast("int"))
 
 
 def compare_configurations(a: DataFrame, b: DataFrame, group: str, draws: int = 2000) -> DataFrame:
@@ -180,9 +227,11 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def percentile_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _events(spark, sf_dir).groupBy("event_type").agg(F.sort_array(F.collect_list("value")).alias("v"), F.expr("percentile(value, 0.95)").alias("linear"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY value)").alias("disc"))
-    v = F.col("v")
-    return rows.select("event_type", nearest_rank(v, 95).alias("nearest"), F.round("linear", 6).alias("linear"), floor_index(v, 0.95).alias("floored"), rounded_index(v, 0.9).alias("rounded"), "disc")
+    at = lambda n: 0.95 * (n - 1)
+    ranks = {"nearest": lambda n: nearest_place(n, 95), "floored": lambda n: floor_place(n, 0.95), "rounded": lambda n: rounded_place(n, 0.9), "disc": lambda n: nearest_place(n, 50), "before": lambda n: F.floor(at(n)) + 1, "after": lambda n: F.ceil(at(n)) + 1}
+    part = at(F.col("n")) - F.floor(at(F.col("n")))
+    linear = F.col("before") + (F.col("after") - F.col("before")) * part
+    return order_values(_events(spark, sf_dir), ["event_type"], "value", ranks).select("event_type", "nearest", F.round(linear, 6).alias("linear"), "floored", "rounded", "disc")
 
 
 def kappa_query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -138,3 +138,20 @@ def test_more_statistics(spark, tmp_path):
     assert sorted((r.ev_no, r.reached, r.whole) for r in got.collect()) == [(0, True, False), (1, False, False)]
     got = Q.quality_report({"gaps": scored, "none": scored.limit(0)}, str(tmp_path)).collect()
     assert sorted(map(tuple, got)) == [("gaps", 3), ("none", 0)]
+
+
+def test_order_values(spark):
+    import random
+
+    random.seed(3)
+    groups = {"flat": [7.0] * 40, "tail": [random.random() for _ in range(500)] + [1e9], "odd": [float("-inf"), 2.0, float("nan"), float("inf"), None], None: [3.0, 1.0, 2.0]}
+    rows = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs] + [("none", None)], "k string, v double")
+    ranks = {"first": lambda n: F.lit(1), "p30": lambda n: S.nearest_place(n, 30), "mid": lambda n: S.floor_place(n, 0.5), "last": lambda n: n}
+    found = {r["k"]: r for r in S.order_values(rows, ["k"], "v", ranks).collect()}
+    assert set(found) == set(groups)
+    for k, values in groups.items():
+        v = sorted((x for x in values if x is not None), key=lambda x: (x != x, x))
+        n = len(v)
+        told = [n, v[0], v[-(-n * 30 // 100) - 1], v[min(n - 1, n // 2)], v[-1]]
+        assert str(list(found[k])[1:]) == str(told)
+    assert S.order_values(rows.where("k = 'none'"), ["k"], "v", ranks).count() == 0

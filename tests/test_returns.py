@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quillfund.operators.returns import fund_returns, three_bases
+from quillfund.operators.returns import drawdowns, fund_returns, three_bases
 
 D = dt.date
 NAV = [(D(2024, 1, 2), 1.0), (D(2024, 1, 3), 1.1), (D(2024, 1, 4), 0.99), (D(2024, 1, 5), 1.0), (D(2024, 1, 6), 1.2345), (D(2024, 1, 8), 0.9), (D(2024, 1, 9), 0.99), (D(2024, 1, 10), 1.05)]
@@ -86,3 +86,21 @@ def test_three_bases(spark):
     paid = spark.createDataFrame([("a", D(2026, 9, 10), 0.1)], "share_code string, ex_date date, cash_per_unit double")
     (row,) = three_bases(nav, paid, "2026-09-28").where(F.col("period") == "1m").collect()
     assert row.base_date == D(2026, 8, 28) and row.unit == pytest.approx(0.045) and row.chain == pytest.approx(1.05 * 1.1 - 1) and row.reinvest == pytest.approx(1.045 * (1 + 0.1 / 0.95) - 1)
+
+
+def test_drawdowns_by_blocks(spark):
+    random.seed(5)
+    adj = [1.0]
+    for _ in range(1500):
+        adj.append(adj[-1] * random.uniform(0.97, 1.031))
+    series = spark.createDataFrame([("000001", k + 1, a) for k, a in enumerate(adj)], "share_code string, place int, adj double")
+    spans = [(1, 1), (1, 1501), (15, 16), (16, 31), (256, 512), (255, 513)] + [tuple(sorted(random.sample(range(1, 1502), 2))) for _ in range(150)]
+    asked = spark.createDataFrame([(k, "000001", a, b) for k, (a, b) in enumerate(spans)], "request_id long, share_code string, start_place int, end_place int")
+    found = {r[0]: r[1] for r in drawdowns(asked, series).collect()}
+    assert len(found) == len(spans)
+    for k, (a, b) in enumerate(spans):
+        top, least = 0.0, 0.0
+        for x in adj[a - 1 : b]:
+            top = max(top, x)
+            least = min(least, x / top - 1)
+        assert found[k] == least
