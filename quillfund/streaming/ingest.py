@@ -208,13 +208,13 @@ ORACLE_SQL = {
     "r1_parse_requests": "SELECT event_id AS task_id, CASE WHEN event_id % 13 = 0 THEN 'unknown schema' WHEN event_id % 7 = 0 THEN 'missing: doc_id' WHEN event_id % 11 = 0 THEN 'bad sha256' END AS problem FROM events",
     "r4_result_reducer": "SELECT user_id AS task_id, coalesce(min_by(CASE event_type WHEN 'purchase' THEN 'SUCCEEDED' ELSE 'FAILED' END, event_id) FILTER (event_type IN ('purchase', 'error') AND (event_id % 5 <> 0 OR user_id = 0)), 'SENT') AS status FROM events GROUP BY user_id",
     "r6_daily_usage": "SELECT user_id, CAST(ts AS DATE) AS usage_date, count(*) AS calls, CAST(sum(CAST(round(value) AS BIGINT)) AS BIGINT) AS tokens FROM events GROUP BY ALL",
-    # The rate and 1,000 are columns, so that no engine folds the divisions into factors, which round otherwise.
+    # epoch_ms rounds; the query's milliseconds are floored.
     "r7_token_bucket": """
-        WITH RECURSIVE c AS (SELECT user_id, event_id, epoch_ms(ts) AS ms, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) AS k FROM events),
+        WITH RECURSIVE c AS (SELECT user_id, event_id, ms, row_number() OVER (PARTITION BY user_id ORDER BY ms, event_id) AS k FROM (SELECT *, epoch_us(ts) // 1000 AS ms FROM events) e),
           r AS (
-            SELECT user_id, event_id, k, CAST(2 AS DOUBLE) AS have, CAST(1 AS DOUBLE) AS level, ms AS since, CAST(1 AS DOUBLE) / CAST(36000 AS DOUBLE) AS pace, CAST(1000 AS DOUBLE) AS thousand FROM c WHERE k = 1
+            SELECT user_id, event_id, k, CAST(2 AS DOUBLE) AS have, CAST(1 AS DOUBLE) AS level, ms AS since FROM c WHERE k = 1
             UNION ALL
-            SELECT user_id, event_id, k, have, CASE WHEN have >= 1 THEN have - 1 ELSE level END, CASE WHEN have >= 1 THEN ms ELSE since END, pace, thousand
-            FROM (SELECT c.user_id, c.event_id, c.k, c.ms, r.level, r.since, r.pace, r.thousand, least(2, r.level + greatest(0, c.ms - r.since) * r.pace / r.thousand) AS have FROM r JOIN c ON c.user_id = r.user_id AND c.k = r.k + 1) x)
-        SELECT user_id, event_id, have >= 1 AS allowed, CASE WHEN have >= 1 THEN 0 ELSE CAST(ceil((1 - have) / pace * thousand) AS BIGINT) END AS wait_ms FROM r""",
+            SELECT user_id, event_id, k, have, CASE WHEN have >= 1 THEN have - 1 ELSE level END, CASE WHEN have >= 1 THEN ms ELSE since END
+            FROM (SELECT c.user_id, c.event_id, c.k, c.ms, r.level, r.since, least(2, r.level + greatest(0, c.ms - r.since) * (CAST(1 AS DOUBLE) / 36000) / 1000) AS have FROM r JOIN c ON c.user_id = r.user_id AND c.k = r.k + 1) x)
+        SELECT user_id, event_id, have >= 1 AS allowed, CASE WHEN have >= 1 THEN 0 ELSE CAST(ceil((1 - have) / (CAST(1 AS DOUBLE) / 36000) * 1000) AS BIGINT) END AS wait_ms FROM r""",
 }
