@@ -15,6 +15,8 @@ from quillfund.functions.columns import norm_quote
 K1, B = 1.2, 0.75
 RRF_K = 60
 POOL = 20
+#: Most (query, term) rows that are broadcast: about 50 MB.
+BROADCAST_TERMS = 500_000
 
 
 def terms(text: Column) -> Column:
@@ -34,18 +36,30 @@ def top_k(scored: DataFrame, k: int, route: str) -> DataFrame:
 
 
 def bm25(queries: DataFrame, chunks: DataFrame, k: int = POOL) -> DataFrame:
-    """BM25 of (query_id, text) against (chunk_id, text): sum over a query's distinct terms of idf * tf."""
+    """BM25 of (query_id, text) against (chunk_id, text): sum over a query's distinct terms of idf * tf.
+
+    Postings are dealt by chunk, so a term that most chunks hold is spread over all tasks. Up to ``BROADCAST_TERMS`` counted
+    (query, term) rows, the questions come to the postings: the pairs of questions and chunks are then added up and cut to
+    each task's best k where they arise, and only those are shuffled. Beyond that, questions and postings meet by term.
+    """
     wanted = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
     rows = chunks.select("chunk_id", terms(F.col("text")).alias("terms")).withColumn("size", F.size("terms"))
     total = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("mean_size"))  # one row
-    postings = rows.select("chunk_id", "size", F.explode("terms").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
-    postings = postings.groupBy("term", "chunk_id", "size").agg(F.count(F.lit(1)).alias("tf"))
+    few = wanted.count() <= BROADCAST_TERMS
+    near = F.broadcast if few else lambda df: df
+    postings = rows.select("chunk_id", "size", F.explode("terms").alias("term")).join(near(wanted.select("term").distinct()), "term", "left_semi")
+    postings = postings.repartition("chunk_id").groupBy("chunk_id", "size", "term").agg(F.count(F.lit(1)).alias("tf"))
     # Counting by ``tf`` keeps both uses of the postings alike, so that Spark builds and shuffles them once.
     found = postings.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean_size")))
-    weighted = postings.join(found, "term").crossJoin(F.broadcast(total)).select("term", "chunk_id", weight.alias("weight"))
-    return top_k(wanted.join(weighted, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum("weight"), 9).alias("score")), k, "bm25")
+    if few:
+        asked = wanted.join(found, "term").crossJoin(F.broadcast(total))
+        pairs = postings.join(F.broadcast(asked), "term").select("query_id", "chunk_id", weight.alias("weight"))
+    else:
+        weighted = postings.join(found, "term").crossJoin(F.broadcast(total)).select("term", "chunk_id", weight.alias("weight"))
+        pairs = wanted.join(weighted, "term")
+    return top_k(pairs.groupBy("query_id", "chunk_id").agg(F.round(F.sum("weight"), 9).alias("score")), k, "bm25")
 
 
 def hashed_embedding(texts: DataFrame, key: str, dim: int = 64) -> DataFrame:
