@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillfund.functions.columns import final_event, markdown_table, rescale
-from quillfund.operators import documents, quality, retrieval, statistics
-from quillfund.plans.views import oracle, run
+from quillfund.functions.columns import base_name, final_event, markdown_table, rescale
+from quillfund.operators import answers, documents, operations, quality, retrieval, statistics
+from quillfund.plans.views import oracle, run, view
+from quillfund.sources import snapshots
 from quillfund.streaming import ingest
 
 
@@ -144,12 +145,89 @@ def boilerplate_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.boilerplate(rows).select("doc_id", F.md5("shape").alias("shape_md5"))
 
 
+def gap_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.nav_gaps(view(spark, sf_dir, "nav_daily"), view(spark, sf_dir, "trading_days"), "2024-01-30")
+
+
+def share_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares named after one of twenty funds of their theme; the A shares of every third fund have no letter."""
+    shares = run(spark, sf_dir, "SELECT f.theme, s.share_code, CONCAT('fund ', CAST(CAST(f.fund_code AS INT) % 20 AS STRING), CASE WHEN s.share_class = 'A' AND CAST(f.fund_code AS INT) % 3 = 0 THEN '' ELSE s.share_class END) AS share_name FROM {share_classes} s JOIN {funds} f ON f.fund_code = s.fund_code")
+    codes = F.array_join(F.transform(F.map_entries("codes"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+    return quality.share_groups(shares.withColumn("base", base_name(F.col("share_name")))).select("theme", "base", codes.alias("codes"), F.col("primary").alias("primary_share"))
+
+
+def ranking_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return operations.run_differences(_ranked(spark, sf_dir, "score", 0, 10), _ranked(spark, sf_dir, "ts", 1, 10))
+
+
+def flag_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flags of an order's large lines as expected ones, those of its discounted lines as actual ones."""
+    rows = run(spark, sf_dir, "SELECT l_orderkey, collect_set(CASE WHEN l_quantity > 25 THEN flag END) AS expected, collect_set(CASE WHEN l_discount > 0.05 THEN flag END) AS actual FROM (SELECT *, CONCAT(l_returnflag, l_linestatus) AS flag FROM {lineitem}) x GROUP BY l_orderkey")
+    both = operations.extra_and_missing(F.col("expected"), F.col("actual"))
+    return rows.select("l_orderkey", F.array_join(both["extra"], ",").alias("extra"), F.array_join(both["missing"], ",").alias("missing"))
+
+
+def medians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two metrics of each event type; the second is null for every fifth user."""
+    rows = run(spark, sf_dir, "SELECT event_type, user_id % 7 AS level, value AS total_ms, CASE WHEN user_id % 5 > 0 THEN value * 2 END AS first_ms FROM {events}")
+    return operations.repetition_median(rows, ["event_type", "level"], ["total_ms", "first_ms"])
+
+
+def merged_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored usage knows the even events only, fresh usage all events of two thirds of the users."""
+    calls = run(spark, sf_dir, "SELECT event_id, user_id, ts, CAST(round(value) AS BIGINT) AS tokens FROM {events}")
+    return ingest.merge_usage(ingest.daily_usage(calls.where("event_id % 2 = 0")), ingest.daily_usage(calls.where("user_id % 3 <> 0")))
+
+
+def upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order's lines are its chunks; every third order is delivered again as one chunk."""
+    stored = run(spark, sf_dir, "SELECT l_orderkey AS doc_id, l_linenumber AS chunk_no, l_returnflag AS text FROM {lineitem}")
+    fresh = run(spark, sf_dir, "SELECT o_orderkey AS doc_id, CAST(0 AS BIGINT) AS chunk_no, o_orderpriority AS text FROM {orders} WHERE o_orderkey % 3 = 0")
+    return documents.upsert(stored, fresh)
+
+
+def key_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = run(spark, sf_dir, "SELECT CASE WHEN o_orderkey % 500 > 0 THEN o_custkey END AS custkey, CAST(o_orderdate AS DATE) AS day FROM {orders}")
+    return snapshots.key_violations(rows, ["custkey", "day"])
+
+
+def promoted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels as reviews of documents, of which every fourth is no item; reviews without an item have no mark."""
+    drafts = run(spark, sf_dir, "SELECT doc_id AS id FROM {documents} WHERE doc_id % 4 <> 1")
+    items, orphans = answers.promote_reviewed(drafts, run(spark, sf_dir, "SELECT doc_id AS id FROM {labels}"))
+    return items.select("id", "verified").unionByName(orphans.select("id", F.lit(None).cast("boolean").alias("verified")))
+
+
 QUERIES = {
+    "j3_gap_days": gap_days, "a2_share_groups": share_groups, "j16_ranking_differences": ranking_differences, "u3_flag_sets": flag_sets, "a20_medians": medians, "a28_merged_usage": merged_usage,
+    "c7_upsert": upserted, "d1_keys": key_violations, "j19_promoted": promoted,
     "p11_rescale": rescaled, "p33_final_events": final_events, "x8_markdown_tables": markdown_tables, "w6_tenures": tenures, "w8_continuations": continuations,
     "j6_managers": managers, "j7_period_returns": returns, "j12_fees": fees, "d6_missing_documents": missing, "r5_batch_states": batches, "r2_ingest_decisions": decisions,
     "x15_rrf": fused, "x17_rerank": reranked, "f6_scope": scoped, "u1_union_hits": united, "a10_intervals": intervals, "a12_threshold": threshold, "x32_gold_results": gold, "a6_boilerplate": boilerplate_lines,
 }
 ORACLE_SQL = {
+    "j3_gap_days": oracle("""
+        SELECT b.share_code, d.day, d.day > b.first + INTERVAL 3 MONTH AS late FROM (SELECT share_code, min(nav_date) AS first FROM {nav_daily} GROUP BY share_code) b JOIN {trading_days} d ON d.day >= b.first AND d.day <= DATE '2024-01-30'
+        WHERE NOT EXISTS (SELECT 1 FROM {nav_daily} n WHERE n.share_code = b.share_code AND n.nav_date = d.day)"""),
+    "a2_share_groups": """
+        WITH s AS (SELECT r_name AS theme, concat('fund ', s_suppkey % 20) AS base, CASE WHEN c = 'C' THEN c WHEN s_suppkey % 3 = 0 THEN '' ELSE c END AS class, concat(CASE c WHEN 'A' THEN '1' ELSE '2' END, lpad(CAST(s_suppkey AS VARCHAR), 5, '0')) AS code
+            FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey CROSS JOIN (SELECT 'A' AS c UNION ALL SELECT 'C') x),
+          m AS (SELECT theme, base, class, min(code) AS code FROM s GROUP BY ALL)
+        SELECT theme, base, string_agg(concat(class, '=', code), ';' ORDER BY class) AS codes, coalesce(min(code) FILTER (class = 'A'), min(code) FILTER (class = ''), min(code)) AS primary_share FROM m GROUP BY theme, base""",
+    "j16_ranking_differences": """
+        WITH a AS (SELECT user_id AS q, event_id AS c, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS k FROM events), b AS (SELECT user_id AS q, event_id AS c, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS k FROM events)
+        SELECT a.q AS query_id, a.k AS rank, a.c AS chunk_id, b.c AS other FROM a JOIN b ON b.q = a.q AND b.k = a.k WHERE a.k <= 10 AND a.c <> b.c""",
+    "u3_flag_sets": """
+        SELECT l_orderkey, coalesce(string_agg(flag, ',' ORDER BY flag) FILTER (cheap AND NOT large), '') AS extra, coalesce(string_agg(flag, ',' ORDER BY flag) FILTER (large AND NOT cheap), '') AS missing
+        FROM (SELECT l_orderkey, concat(l_returnflag, l_linestatus) AS flag, bool_or(l_quantity > 25) AS large, bool_or(l_discount > 0.05) AS cheap FROM lineitem GROUP BY 1, 2) x GROUP BY l_orderkey""",
+    "a20_medians": "SELECT event_type, user_id % 7 AS level, round(quantile_cont(value, 0.5), 3) AS total_ms, round(quantile_cont(value * 2, 0.5) FILTER (user_id % 5 > 0), 3) AS first_ms FROM events GROUP BY 1, 2",
+    "a28_merged_usage": """
+        SELECT user_id, usage_date, CASE WHEN user_id % 3 > 0 THEN n ELSE n_even END AS calls, CAST(CASE WHEN user_id % 3 = 0 THEN t_even ELSE greatest(t, coalesce(t_even, t)) END AS BIGINT) AS tokens
+        FROM (SELECT user_id, CAST(ts AS DATE) AS usage_date, count(*) AS n, count(*) FILTER (event_id % 2 = 0) AS n_even, sum(CAST(round(value) AS BIGINT)) AS t, sum(CAST(round(value) AS BIGINT)) FILTER (event_id % 2 = 0) AS t_even FROM events GROUP BY 1, 2) x
+        WHERE user_id % 3 > 0 OR n_even > 0""",
+    "c7_upsert": "SELECT o_orderkey AS doc_id, 0 AS chunk_no, o_orderpriority AS text FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT l_orderkey, l_linenumber, l_returnflag FROM lineitem WHERE l_orderkey % 3 > 0 OR l_orderkey NOT IN (SELECT o_orderkey FROM orders)",
+    "d1_keys": "SELECT CASE WHEN o_orderkey % 500 > 0 THEN o_custkey END AS custkey, CAST(o_orderdate AS DATE) AS day, count(*) AS n FROM orders GROUP BY 1, 2 HAVING count(*) > 1 OR min(o_orderkey % 500) = 0",
+    "j19_promoted": "SELECT doc_id AS id, doc_id IN (SELECT doc_id FROM labels) AS verified FROM documents WHERE doc_id % 4 <> 1 UNION ALL SELECT doc_id, NULL FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 4 <> 1)",
     "p11_rescale": "SELECT l_orderkey, l_linenumber, l_quantity * CASE l_linenumber % 4 WHEN 2 THEN 1e8 WHEN 3 THEN 1 ELSE 1e4 END AS amount FROM lineitem",
     "p33_final_events": "SELECT event_id, CASE WHEN ok THEN event_type END AS status, CASE WHEN ok THEN user_id % 2 = 0 END AS cache_hit, CASE WHEN ok THEN CAST(user_id AS DOUBLE) END AS server_total_ms, CAST(NULL AS DOUBLE) AS server_first_token_ms, CASE WHEN ok THEN user_id * 2.0 END AS server_llm_ms, CASE WHEN ok THEN user_id + 1.0 END AS first_tool_ms, CASE WHEN ok THEN user_id * 3.0 END AS tokens FROM (SELECT *, event_type <> 'error' AS ok FROM events) e",
     "x8_markdown_tables": r"""
