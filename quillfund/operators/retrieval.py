@@ -36,14 +36,15 @@ def top_k(scored: DataFrame, k: int, route: str) -> DataFrame:
 
 
 def bm25(queries: DataFrame, chunks: DataFrame, k: int = POOL) -> DataFrame:
-    """BM25 of (query_id, text) against (chunk_id, text): sum over a query's distinct terms of idf * tf.
+    """BM25 of (query_id, text) against (chunk_id, text): sum over a query's distinct terms of idf * tf;
+    a null text counts as an empty one.
 
     Postings are dealt by chunk, so a term that most chunks hold is spread over all tasks. Up to ``BROADCAST_TERMS`` counted
     (query, term) rows, the questions come to the postings: the pairs of questions and chunks are then added up and cut to
     each task's best k where they arise, and only those are shuffled. Beyond that, questions and postings meet by term.
     """
     wanted = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    rows = chunks.select("chunk_id", terms(F.col("text")).alias("terms")).withColumn("size", F.size("terms"))
+    rows = chunks.select("chunk_id", terms(F.coalesce("text", F.lit(""))).alias("terms")).withColumn("size", F.size("terms"))
     total = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("mean_size"))  # one row
     few = wanted.count() <= BROADCAST_TERMS
     near = F.broadcast if few else lambda df: df

@@ -21,8 +21,8 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines as chunks; those that begin a list count as tables."""
-    return documents.length_stats(_lines(spark, sf_dir).withColumn("is_table", F.startswith("text", F.lit("- "))))
+    """Lines as chunks; those with a digit count as tables."""
+    return documents.length_stats(_lines(spark, sf_dir).withColumn("is_table", F.col("text").rlike("[0-9]")))
 
 
 def full_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,7 +128,7 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "a23_line_lengths": f"""
-        WITH l AS (SELECT length(text) AS n, starts_with(text, '- ') AS listed FROM ({_LINES}) x)
+        WITH l AS (SELECT length(text) AS n, regexp_matches(text, '[0-9]') AS listed FROM ({_LINES}) x)
         SELECT kind, count(*) AS n, count(*) FILTER (l.n < 50) AS under_50, count(*) FILTER (l.n < 100) AS under_100, count(*) FILTER (l.n < 150) AS under_150,
           quantile_cont(l.n, 0.1) AS p10, quantile_cont(l.n, 0.5) AS median, quantile_cont(l.n, 0.9) AS p90, max(l.n) AS max
         FROM l JOIN (SELECT 'all' AS kind UNION ALL SELECT 'table' UNION ALL SELECT 'body') g ON kind = 'all' OR (kind = 'table') = listed GROUP BY kind""",

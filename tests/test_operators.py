@@ -93,6 +93,22 @@ def test_modes(spark):
         R.retrieve(asked, chunks, "other")
 
 
+def test_bm25_with_and_without_a_broadcast(spark, monkeypatch):
+    words = ["fund", "bond", "fee", "rate", "net"]
+    chunks = spark.createDataFrame([(k, " ".join(words[j] for j in range(5) if k >> j & 1) + " common" * (k % 3 + 1)) for k in range(32)] + [(40, None), (41, "")], "chunk_id int, text string")
+    asked = spark.createDataFrame([(1, "common fund fee"), (2, "common"), (3, "absent"), (4, None), (5, "rate rate net")], "query_id int, text string")
+    found = lambda: sorted(tuple(r) for r in R.bm25(asked, chunks, 4).collect())
+    near = found()
+    monkeypatch.setattr(R, "BROADCAST_TERMS", 0)
+    assert found() == near
+    assert {r[0] for r in near} == {1, 2, 5} and len(near) == 12
+    df, n, mean = 16, 34, sum(k.bit_count() + k % 3 + 1 for k in range(32)) / 34  # null is an empty text
+    idf = math.log(1 + (n - df + 0.5) / (df + 0.5))
+    best = next(r for r in near if r[0] == 5 and r[3] == 1)
+    size = best[1].bit_count() + best[1] % 3 + 1
+    assert best[1] == 24 and best[2] == pytest.approx(2 * idf * 2.2 / (1 + 1.2 * (0.25 + 0.75 * size / mean)), abs=1e-8)
+
+
 def test_statistics(spark):
     row = spark.range(1).select(F.array(*[F.lit(k) for k in range(1, 21)]).alias("v")).select(S.nearest_rank(F.col("v"), 50).alias("a"), S.nearest_rank(F.col("v"), 95).alias("b"), S.floor_index(F.col("v"), 0.99).alias("c"), S.wilson(F.lit(0), F.lit(0)).alias("w"), S.wilson(F.lit(8), F.lit(10)).alias("x")).first()
     assert (row.a, row.b, row.c, row.w) == (10, 19, 20, None) and row.x.low == pytest.approx(0.4902, abs=1e-3)
