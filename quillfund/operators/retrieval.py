@@ -15,7 +15,7 @@ from quillfund.functions.columns import norm_quote
 K1, B = 1.2, 0.75
 RRF_K = 60
 POOL = 20
-#: Most (query, term) rows that are broadcast: about 50 MB.
+#: Most (query, term) rows that are broadcast: an estimated 50 MB with words of ordinary length.
 BROADCAST_TERMS = 500_000
 
 
