@@ -2,6 +2,7 @@
 
 import corpus_pipeline
 from quillfund.llm.collision_counting import OP2_SQL, op2_collision_counting
+from quillfund.llm.filter_audit import OP12_SQL, op12_filter_audit
 from quillfund.llm.line_crf import op8_line_crf
 from quillfund.llm.pieces import op9_prefix_table
 from quillfund.llm.simhash import op3_simhash
@@ -23,6 +24,7 @@ QUERIES = {
     "op8_line_crf": op8_line_crf,
     "op9_prefix_table": op9_prefix_table,
     "op10_spaced_seeds": op10_spaced_seeds,
+    "op12_filter_audit": op12_filter_audit,
     "pipeline": corpus_pipeline.run,
 }
-ORACLE_SQL = {"op2_collision_counting": OP2_SQL, "op4_suffix_trees": OP4_SQL, "op6_suffix_buckets": OP6_SQL, "op7_warc_revisits": OP7_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+ORACLE_SQL = {"op2_collision_counting": OP2_SQL, "op4_suffix_trees": OP4_SQL, "op6_suffix_buckets": OP6_SQL, "op7_warc_revisits": OP7_SQL, "op12_filter_audit": OP12_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
