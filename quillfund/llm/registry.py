@@ -4,6 +4,7 @@ import corpus_pipeline
 from quillfund.llm.collision_counting import OP2_SQL, op2_collision_counting
 from quillfund.llm.filter_audit import OP12_SQL, op12_filter_audit
 from quillfund.llm.line_crf import op8_line_crf
+from quillfund.llm.mixture import op11_mixture
 from quillfund.llm.pieces import op9_prefix_table
 from quillfund.llm.simhash import op3_simhash
 from quillfund.llm.spaced_seeds import op10_spaced_seeds
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_line_crf": op8_line_crf,
     "op9_prefix_table": op9_prefix_table,
     "op10_spaced_seeds": op10_spaced_seeds,
+    "op11_mixture": op11_mixture,
     "op12_filter_audit": op12_filter_audit,
     "pipeline": corpus_pipeline.run,
 }
