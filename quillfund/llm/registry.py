@@ -2,6 +2,7 @@
 
 import corpus_pipeline
 from quillfund.llm.collision_counting import OP2_SQL, op2_collision_counting
+from quillfund.llm.collocations import OP13_SQL, op13_collocations
 from quillfund.llm.filter_audit import OP12_SQL, op12_filter_audit
 from quillfund.llm.line_crf import op8_line_crf
 from quillfund.llm.mixture import op11_mixture
@@ -27,6 +28,7 @@ QUERIES = {
     "op10_spaced_seeds": op10_spaced_seeds,
     "op11_mixture": op11_mixture,
     "op12_filter_audit": op12_filter_audit,
+    "op13_collocations": op13_collocations,
     "pipeline": corpus_pipeline.run,
 }
-ORACLE_SQL = {"op2_collision_counting": OP2_SQL, "op4_suffix_trees": OP4_SQL, "op6_suffix_buckets": OP6_SQL, "op7_warc_revisits": OP7_SQL, "op12_filter_audit": OP12_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+ORACLE_SQL = {"op2_collision_counting": OP2_SQL, "op4_suffix_trees": OP4_SQL, "op6_suffix_buckets": OP6_SQL, "op7_warc_revisits": OP7_SQL, "op12_filter_audit": OP12_SQL, "op13_collocations": OP13_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
