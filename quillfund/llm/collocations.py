@@ -30,7 +30,7 @@ THRESHOLD, TOP = 10, 2000
 COVERED = 50
 LONGEST = 3
 #: Bytes of text tokenised at once (a longer piece is taken whole), and n-grams that a task sums up before handing on.
-CHUNK_BYTES, HELD = 8 << 20, 1 << 20
+CHUNK_BYTES, HELD = 2 << 20, 1 << 20
 #: Words of the corpus for each hash partition, and the least number of those.
 PARTITION_WORDS, LEAST_PARTITIONS = 1 << 20, 4096
 #: Bits of a level's bitmap (16 MB), which travels to the driver in blocks and back as a broadcast.
@@ -79,17 +79,25 @@ class Words:
 def tokenised(batches, chunk: int = CHUNK_BYTES) -> Iterator[tuple[str, Words]]:
     """(lang, ``Words``) of parts of the texts, which are cut only where a piece ends."""
     for batch in batches:
-        langs, held = batch.column(0).to_pylist(), {}
+        langs, held, sizes = batch.column(0).to_pylist(), {}, {}
         for lang, text in zip(langs, texts(batch, "text"), strict=True):
-            held.setdefault(lang, []).append(text.tobytes())
+            held.setdefault(lang, []).append(text)
+            sizes[lang] = sizes.get(lang, 0) + len(text)
+            if sizes[lang] >= chunk:
+                yield from _parts(lang, held.pop(lang), chunk)
+                sizes[lang] = 0
         for lang, own in held.items():
-            data = np.frombuffer(b"\n".join(own).lower(), np.uint8)  # of bytes: A-Z only
-            ends, begin = np.flatnonzero(_ENDS[data]), 0
-            while begin < len(data):
-                k = np.searchsorted(ends, begin + chunk)
-                end = int(ends[k]) + 1 if k < len(ends) else len(data)
-                yield lang, Words(data[begin:end])
-                begin = end
+            yield from _parts(lang, own, chunk)
+
+
+def _parts(lang: str, own: list[np.ndarray], chunk: int) -> Iterator[tuple[str, Words]]:
+    data = np.frombuffer(b"\n".join(x.tobytes() for x in own).lower(), np.uint8)  # of bytes: A-Z only
+    ends, begin = (np.flatnonzero(_ENDS[data]), 0) if len(data) > 2 * chunk else ([], 0)
+    while begin < len(data):
+        k = np.searchsorted(ends, begin + chunk)
+        end = int(ends[k]) + 1 if k < len(ends) else len(data)
+        yield lang, Words(data[begin:end])
+        begin = end
 
 
 def found_in(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
