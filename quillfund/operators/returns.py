@@ -6,32 +6,49 @@ range as a condition, so no pair of a request and a foreign tier is ever made. E
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillfund.plans.views import oracle, run, view
+from quillfund.scratch import written
 
 
 def weekdays(df: DataFrame, day: str) -> DataFrame:
     return df.where(F.weekday(day) < 5)
 
 
-def asof(requests: DataFrame, series: DataFrame, key: str, at: str, day: str, values: list[str], prefix: str) -> DataFrame:
-    """As-of join: the last ``series`` row of the key on or before ``at``. One shuffle on the key, no pairs: both sides are
-    stacked and a running last value is read at the request's place."""
-    fields = F.struct(F.col(day).alias("day"), *values)
-    kind = fields_type(series.select(fields.alias("f")))
-    stacked = series.select(F.col(key), F.col(day).alias("_at"), F.lit(0).alias("_turn"), fields.alias("_hit"), F.lit(None).alias("_row")).unionByName(
-        requests.select(F.col(key), F.col(at).alias("_at"), F.lit(1).alias("_turn"), F.lit(None).cast(kind).alias("_hit"), F.struct(*requests.columns).alias("_row")), allowMissingColumns=True
-    )
-    w = Window.partitionBy(key).orderBy("_at", "_turn").rowsBetween(Window.unboundedPreceding, 0)
-    found = stacked.withColumn("_hit", F.last("_hit", ignorenulls=True).over(w)).where("_turn = 1")
-    return found.select("_row.*", F.col("_hit.day").alias(f"{prefix}_used"), *[F.col(f"_hit.{v}").alias(f"{prefix}_{v}") for v in values])
-
-
-def fields_type(df: DataFrame) -> str:
-    return df.schema[0].dataType.simpleString()
+def months(series: DataFrame, key: str, day: str, values: list[str]) -> DataFrame:
+    """What an as-of lookup needs of each month: its rows in order (at most one a day) and the last row before it. From a
+    key's first month to the month after the last one of all keys, without gaps; that last one stands for all later ones."""
+    hit = F.struct(F.col(day).alias("day"), *values)
+    held = series.where(F.col(day).isNotNull()).groupBy(key, F.trunc(day, "month").alias("_month")).agg(F.array_sort(F.collect_list(hit)).alias("_days"))
+    held = held.crossJoin(F.broadcast(series.agg(F.add_months(F.trunc(F.max(day), "month"), 1).alias("_after"))))  # one row
+    w = Window.partitionBy(key).orderBy("_month")
+    held = held.withColumn("_before", F.lag(F.element_at("_days", -1)).over(w)).withColumn("_until", F.coalesce(F.lead("_month").over(w), F.add_months("_after", 1)))
+    every = held.withColumn("_at", F.explode(F.sequence("_month", F.add_months("_until", -1), F.expr("interval 1 month"))))
+    own = F.col("_at") == F.col("_month")
+    return every.select(key, "_at", "_after", F.when(own, F.col("_days")).alias("_days"), F.when(own, F.col("_before")).otherwise(F.element_at("_days", -1)).alias("_before"))
+
+
+def asof(requests: DataFrame, series: DataFrame, key: str, ends: dict[str, str], day: str, values: list[str]) -> DataFrame:
+    """As-of join: for each date column of ``requests`` in ``ends`` the last ``series`` row of the key on or before it, as
+    columns with the prefix that ``ends`` gives. Requests meet one row of ``months`` by an equi-join on key and month, so
+    neither the days nor the requests of a key are sorted, and a key with very many requests can be split."""
+    held = months(series, key, day, values)
+    after = held.agg(F.max("_after")).first()[0]
+    found = requests
+    for at, prefix in ends.items():
+        side = held.select(F.col(key).alias("_key"), "_at", "_days", "_before")
+        month = F.least(F.trunc(at, "month"), F.lit(after).cast("date"))
+        found = found.join(side, (found[key] == side["_key"]) & (month == side["_at"]), "left")
+        own = F.filter("_days", lambda d: d["day"] <= F.col(at))
+        found = found.withColumn("_hit", F.when(F.size(own) > 0, F.element_at(own, -1)).otherwise(F.col("_before")))
+        fresh = [F.col("_hit.day").alias(f"{prefix}_used"), *[F.col(f"_hit.{v}").alias(f"{prefix}_{v}") for v in values]]
+        found = found.select("*", *fresh).drop("_key", "_at", "_days", "_before", "_hit")
+    return found
 
 
 def adjusted(nav: DataFrame, dividends: DataFrame) -> DataFrame:
@@ -59,11 +76,14 @@ def fold(nodes: DataFrame, keys: list[str]) -> DataFrame:
 def drawdowns(requests: DataFrame, series: DataFrame) -> DataFrame:
     """``request_id, max_drawdown`` within places [start_place, end_place]: the least adj / highest adj so far - 1, at most 0.
 
-    Days are folded into blocks of ``SPAN`` and ``SPAN`` squared places once. A request reads the blocks that make up its
-    range, by an equi-join: about 60 rows and one for each 256 days, not one for each day."""
-    places = F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.floor(F.col("place") / SPAN**k).alias("block")) for k in range(LEVELS + 1)])).alias("b")
-    days = series.select("share_code", places, F.col("place").alias("at"), F.col("adj").alias("top"), F.col("adj").alias("bottom"), F.lit(0.0).alias("down"))
-    blocks = fold(days.select("share_code", "b.*", "at", "top", "bottom", "down"), ["share_code", "level", "block"])
+    Days are folded into blocks of ``SPAN`` places and those again into blocks of ``SPAN``, once. A request reads the days
+    and blocks that make up its range, by an equi-join: about 60 rows and one for each 256 days, not one for each day."""
+    days = series.select("share_code", F.lit(0).alias("level"), F.col("place").cast("long").alias("block"), F.col("adj").alias("top"), F.col("adj").alias("bottom"), F.lit(0.0).alias("down"))
+    levels = [days]
+    for level in range(1, LEVELS + 1):
+        below = levels[-1].withColumn("at", F.col("block")).withColumn("block", F.floor(F.col("block") / SPAN)).withColumn("level", F.lit(level))
+        levels.append(fold(below, ["share_code", "level", "block"]))
+    blocks = reduce(DataFrame.unionByName, levels)
 
     def span(level: int, begin: Column, end: Column) -> Column:
         found = F.transform(F.sequence(begin, end - 1), lambda b: F.struct(F.lit(level).alias("level"), b.alias("block"), (b * SPAN**level).alias("at")))
@@ -92,11 +112,10 @@ def fund_returns(requests: DataFrame, nav: DataFrame, dividends: DataFrame, purc
 
     Result columns are null where ``error`` is set. Dividends on days without a NAV are counted and reported, not
     reinvested. Request ids are unique; null dates, bad codes and amounts give errors."""
-    series = adjusted(nav, dividends)
+    series = written(adjusted(nav, dividends), "adjusted")  # read by as-of lookups, drawdowns and dividends
     bounds = series.groupBy("share_code").agg(F.min("nav_date").alias("first_nav"), F.max("nav_date").alias("last_nav"))
     values = ["unit_nav", "adj", "place"]
-    rows = asof(requests, series, "share_code", "start_date", "nav_date", values, "start")
-    rows = asof(rows, series, "share_code", "end_date", "nav_date", values, "end").join(bounds, "share_code", "left")
+    rows = asof(requests, series, "share_code", {"start_date": "start", "end_date": "end"}, "nav_date", values).join(bounds, "share_code", "left")
     bad_amount = F.col("include_fees") & (F.col("amount").isNull() | F.isnan("amount") | (F.col("amount") <= 0))
     error = (
         F.when(F.col("share_code").isNull() | ~F.col("share_code").rlike(r"^\d{6}$"), "bad share code")
@@ -106,7 +125,7 @@ def fund_returns(requests: DataFrame, nav: DataFrame, dividends: DataFrame, purc
         .when(F.col("first_nav").isNull(), "unknown share")
         .when(F.col("start_used").isNull() | F.col("end_used").isNull(), "before the first NAV")
     )
-    rows = rows.withColumn("error", error)
+    rows = written(rows.withColumn("error", error), "requests")
     days = F.datediff("end_used", "start_used")
     good = rows.where("error IS NULL").withColumn("calendar_days", days).withColumn("trading_days", F.col("end_place") - F.col("start_place")).withColumn("ret", F.col("end_adj") / F.col("start_adj") - 1)
     good = good.withColumn("annualized", F.when(F.col("calendar_days") > 0, F.pow(1 + F.col("ret"), 365 / F.col("calendar_days")) - 1).otherwise(0.0))
@@ -149,7 +168,7 @@ def three_bases(nav: DataFrame, dividends: DataFrame, as_of: str) -> DataFrame:
     rows = rows.withColumn("gain", F.product(gain).over(so_far)).withColumn("chain", F.product(1 + F.coalesce("daily_return", F.lit(0.0))).over(so_far))
     last = rows.groupBy("share_code").agg(F.max_by(F.struct("nav_date", "unit_nav", "gain", "chain"), "nav_date").alias("last")).where(F.col("last.nav_date") == day)
     asked = last.crossJoin(F.broadcast(periods))  # seven periods
-    based = asof(asked, rows, "share_code", "start_date", "nav_date", ["unit_nav", "gain", "chain"], "base").where("base_used IS NOT NULL")
+    based = asof(asked, rows, "share_code", {"start_date": "base"}, "nav_date", ["unit_nav", "gain", "chain"]).where("base_used IS NOT NULL")
     unit = F.col("last.unit_nav") / F.col("base_unit_nav")
     return based.select("share_code", "period", F.col("base_used").alias("base_date"), (unit * F.col("last.gain") / F.col("base_gain") - 1).alias("reinvest"), (unit - 1).alias("unit"), (F.col("last.chain") / F.col("base_chain") - 1).alias("chain"))
 
@@ -209,7 +228,7 @@ def adjusted_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def asof_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = run(spark, sf_dir, REQUESTS).select("request_id", "share_code", "start_date")
-    found = asof(asked, view(spark, sf_dir, "nav_trading"), "share_code", "start_date", "nav_date", ["unit_nav"], "start")
+    found = asof(asked, view(spark, sf_dir, "nav_trading"), "share_code", {"start_date": "start"}, "nav_date", ["unit_nav"])
     return found.select("request_id", "start_used", "start_unit_nav")
 
 

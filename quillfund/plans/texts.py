@@ -3,15 +3,13 @@ hand for DuckDB. Lines of documents stand for pages and chunks; the SQL states t
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillfund.operators import answers, documents, operations, retrieval
 from quillfund.plans.views import oracle, run, view
+from quillfund.scratch import scratch_path
 from quillfund.sources import snapshots
 
 
@@ -91,17 +89,9 @@ def pools(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("l_orderkey", answers.scenario(F.col("tools")).alias("pool"))
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder in ``spark.checkpoint.dir``; where that is unset, a local one if driver and executors are one process."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return f"{(shared or tempfile.mkdtemp(prefix='spark-')).rstrip('/')}/snapshot-{uuid.uuid4().hex}"
-
-
 def _written(spark: SparkSession, sf_dir: str, columns: dict[str, dict[str, Column]]) -> str:
     """A snapshot of views, with further columns that their declaration asks for; its folder."""
-    folder = _folder(spark)
+    folder = scratch_path(spark, "snapshot")
     for name, more in columns.items():
         kept = view(spark, sf_dir, name).withColumns({"source": F.lit("views"), "as_of": F.to_date(F.lit("2024-01-31")), **more})
         snapshots.write_table(kept, folder, name)
