@@ -1,8 +1,7 @@
 """Phrase collocations: word sequences that occur far more often together than their parts suggest.
 
 Frequent words, pairs and triples are found level by level (a frequent phrase has only frequent parts). At each level every
-task summarises its n-grams as (hash, count); the hashes are dealt out to hash partitions, and each partition merges its
-summaries into one Misra-Gries summary. Its capacity exceeds the partition's mass divided by the threshold, so whatever is
+task summarises its n-grams as (hash, count); summaries are dealt out by hash partition, and each partition merges its own into one Misra-Gries summary. Its capacity exceeds the partition's mass divided by the threshold, so whatever is
 subtracted stays below the threshold and every frequent n-gram survives; survivors whose count plus what was subtracted
 stays below the threshold cannot be frequent and go too. A second pass counts the survivors' words exactly.
 
@@ -31,8 +30,8 @@ COVERED = 50
 LONGEST = 3
 #: Bytes of text tokenised at once (a longer piece is taken whole), and n-grams that a task sums up before handing on.
 CHUNK_BYTES, HELD = 2 << 20, 1 << 20
-#: Words of the corpus for each hash partition, and the least number of those.
-PARTITION_WORDS, LEAST_PARTITIONS = 1 << 20, 4096
+#: Bytes of the corpus for each hash partition, and the least number of those.
+PARTITION_BYTES, LEAST_PARTITIONS = 16 << 20, 1024
 #: Bits of a level's bitmap (16 MB), which travels to the driver in blocks and back as a broadcast.
 BITMAP_BITS, BITMAP_BLOCK = 1 << 27, 1 << 15
 
@@ -100,13 +99,20 @@ def _parts(lang: str, own: list[np.ndarray], chunk: int) -> Iterator[tuple[str,
         begin = end
 
 
+def span_of(partitions: int) -> np.uint64:
+    """Hashes are cut to so many values: 32 bits within each of the hash partitions."""
+    return np.uint64(partitions << 32)
+
+
 def found_in(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
     bit = h & np.uint64(BITMAP_BITS - 1)
     return (bitmap[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
-def local_counts(rows: DataFrame, n: int, below) -> DataFrame:
-    """h, c: summaries of the ``n``-grams in each task, of those whose parts are in the bitmap ``below`` (a broadcast)."""
+def local_counts(rows: DataFrame, n: int, below, partitions: int) -> DataFrame:
+    """p, h, c: summaries of the ``n``-grams in each task, of those whose parts are in the bitmap ``below`` (a broadcast). A row
+    has hashes (without their partition) and counts of one hash partition, or no hashes and the mass of such a row."""
+    span = span_of(partitions)
 
     def count(batches):
         held, size = [], 0
@@ -114,9 +120,9 @@ def local_counts(rows: DataFrame, n: int, below) -> DataFrame:
             *shorter, h = words.hashes(lang, n)
             good = words.inside(n)
             if n > 1:
-                part = found_in(below.value, shorter[-1])
+                part = found_in(below.value, shorter[-1] % span)
                 good &= part[: len(h)] & part[1 : len(h) + 1]
-            h, c = np.unique(h[good], return_counts=True)
+            h, c = np.unique(h[good] % span, return_counts=True)
             held.append((h, c))
             size += len(h)
             if size >= HELD:
@@ -129,9 +135,18 @@ def local_counts(rows: DataFrame, n: int, below) -> DataFrame:
             yield emit(*added(held))
 
     def emit(h, c):
-        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], ["h", "c"])
+        p = h % np.uint64(partitions)
+        order = np.argsort(p, kind="stable")
+        p, inner, c = p[order].astype(np.int32), (h[order] // np.uint64(partitions)).astype(np.uint32).view(np.int32), c[order]
+        first = np.flatnonzero(np.diff(p, prepend=-1))
+        mass, none = np.add.reduceat(c, first), np.full(len(first), len(c))
+        offsets = pa.array(np.concatenate([first, none, [len(c)]]).astype(np.int32))
+        # An empty list for each mass stands behind all others, which end where the next one begins.
+        hashes = pa.ListArray.from_arrays(offsets, pa.array(inner))
+        counts = pa.ListArray.from_arrays(pa.array(np.concatenate([first, [len(c)], len(c) + np.arange(1, len(first) + 1)]).astype(np.int32)), pa.array(np.concatenate([c, mass]).astype(np.int64)))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[first], p[first]])), hashes, counts], ["p", "h", "c"])
 
-    return rows.mapInArrow(count, "h long, c long")
+    return rows.mapInArrow(count, "p int, h array<int>, c array<long>")
 
 
 def added(parts) -> tuple[np.ndarray, np.ndarray]:
@@ -167,33 +182,31 @@ class Summary:
 
 
 def survivors(local: DataFrame, threshold: int, partitions: int) -> DataFrame:
-    """h: the hashes that can reach ``threshold``, by one summary for each of ``partitions`` hash partitions."""
-    local = local.select(F.pmod("h", F.lit(partitions)).alias("p"), "h", "c")
-    masses = local.groupBy("p").agg(F.sum("c").alias("c")).select("p", F.lit(None).cast("long").alias("h"), "c")
-    rows = masses.unionByName(local).repartition("p").sortWithinPartitions("p", F.col("h").isNotNull())
+    """h: the hashes (modulo ``span_of``) that can reach ``threshold``, by one summary for each hash partition."""
 
     def merge(batches):
-        summary, last = None, None
+        summary, mass, last = None, 0, None
         for batch in batches:
-            p, h, c = batch.column(0).to_numpy(), batch.column(1), batch.column(2).to_numpy()
-            is_mass, h = np.asarray(h.is_null()), h.fill_null(0).to_numpy()
-            edges = np.flatnonzero(np.diff(p, prepend=p[0] - 1 if len(p) else 0))
-            for a, b in zip(edges, [*edges[1:], len(p)], strict=True):
-                if p[a] != last:
+            columns = [batch.column(0).to_pylist(), *([c[a:b] for a, b in zip(o[:-1], o[1:], strict=True)] for o, c in ((x.offsets.to_numpy(), x.values.to_numpy(zero_copy_only=False)) for x in batch.columns[1:]))]
+            for p, h, c in zip(*columns, strict=True):
+                if p != last:
                     if summary:
-                        yield emit(summary)
-                    last, summary = p[a], Summary(int(c[a]) // threshold + 1)
-                    assert is_mass[a]
-                    a += 1
-                summary.merge(h[a:b], c[a:b])
+                        yield emit(last, summary)
+                    summary, mass, last = None, 0, p
+                if not len(h):  # these come first
+                    mass += int(c[0])
+                    continue
+                summary = summary or Summary(mass // threshold + 1)
+                summary.merge(h.view(np.uint32), c)
         if summary:
-            yield emit(summary)
+            yield emit(last, summary)
 
-    def emit(summary):
+    def emit(p, summary):
         h, c = summary.settle()
-        return pa.RecordBatch.from_arrays([pa.array(h[c + summary.lost >= threshold])], ["h"])
+        whole = h[c + summary.lost >= threshold].astype(np.uint64) * np.uint64(partitions) + np.uint64(p)
+        return pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64))], ["h"])
 
-    return rows.mapInArrow(merge, "h long")
+    return local.repartition("p").sortWithinPartitions("p", F.size("h") > 0).mapInArrow(merge, "h long")
 
 
 def bitmap_of(hashes: DataFrame) -> np.ndarray:
@@ -230,19 +243,19 @@ def phrase_counts(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     exact count; ``words`` 0 has a row for each language with the number of all its words."""
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(docs["lang"].cast("string"), F.lit("und")).alias("lang"), F.coalesce(docs["text"], F.lit("")).alias("text"))
-    bitmaps, partitions, below = [], LEAST_PARTITIONS, None
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    partitions = min(max(LEAST_PARTITIONS, size // PARTITION_BYTES), 1 << 30)
+    span, bitmaps, below = span_of(partitions), [], None
     for n in range(1, LONGEST + 1):
-        local = written(local_counts(rows, n, below), f"grams-{n}")
-        if n == 1:
-            partitions = max(partitions, (local.agg(F.sum("c")).first()[0] or 0) // PARTITION_WORDS)
-        below = spark.sparkContext.broadcast(bitmap_of(survivors(local, threshold, partitions)))
+        found = survivors(local_counts(rows, n, below, partitions), threshold, partitions)
+        below = spark.sparkContext.broadcast(bitmap_of(written(found, f"frequent-{n}")))
         bitmaps.append(below)
 
     def count(batches):
         for lang, words in tokenised(batches):
             yield emit(lang, 0, pa.array([""], pa.large_string()), np.array([len(words.code)]))
             for n, h in enumerate(words.hashes(lang, LONGEST), 1):
-                at = np.flatnonzero(words.inside(n) & found_in(bitmaps[n - 1].value, h))
+                at = np.flatnonzero(words.inside(n) & found_in(bitmaps[n - 1].value, h % span))
                 if len(at):
                     yield emit(lang, n, *words.phrases(at, n))
 

@@ -80,9 +80,15 @@ def test_summaries_lose_no_frequent_item():
 def test_merged_summaries_find_all(spark):
     items = np.concatenate([np.arange(40_000), np.repeat(np.arange(50_000, 50_200), 10), np.repeat([77], 9000)])
     np.random.default_rng(2).shuffle(items)
-    local = spark.createDataFrame([(int(x) * 1_000_003, 1) for x in items], "h long, c long").repartition(9)
     for partitions in (1, 7):
-        kept = {r["h"] // 1_000_003 for r in survivors(local, 10, partitions).collect()}
+        rows = []
+        for part in np.array_split(items, 9):
+            h, c = np.unique(part, return_counts=True)
+            for p in range(partitions):
+                own = h % partitions == p
+                rows += [(p, (h[own] // partitions).tolist(), c[own].tolist()), (p, [], [int(c[own].sum())])]
+        local = spark.createDataFrame(rows, "p int, h array<int>, c array<long>").repartition(9)
+        kept = {r["h"] for r in survivors(local, 10, partitions).collect()}
         assert kept >= {*range(50_000, 50_200), 77}
         assert len(kept) < 4800
 
