@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillfund.llm.common import attach, keyed, table, written
-from quillfund.llm.windows import classify, in_groups, kept_pieces, settle, spans, window_runs
+from quillfund.llm.windows import classify, in_groups, kept_pieces, secret_key, settle, spans, window_runs
 
 LENGTH = 400
 #: Bytes hashed together to choose a window's key.
@@ -71,8 +71,9 @@ def repeated(text: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group_texts: int = GROUP_TEXTS, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """The byte spans of ``keyed`` documents that repeated ``length``-byte strings cover: doc_id, t, items of (begin, end)."""
-    whole, asked = classify(window_runs(docs, "byte", length, gram))
-    settled = settle(docs, asked, "byte", length, gram, group_texts, in_groups(length, batch_bytes, 1, repeated))
+    key = secret_key()
+    whole, asked = classify(window_runs(docs, "byte", length, gram, key))
+    settled = settle(docs, asked, "byte", length, gram, key, group_texts, in_groups(length, batch_bytes, 1, repeated))
     return spans(whole.unionByName(settled), length)
 
 

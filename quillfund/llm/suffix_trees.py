@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillfund.llm.common import attach, keyed, table
-from quillfund.llm.windows import classify, in_groups, kept_pieces, settle, spans, window_runs
+from quillfund.llm.windows import classify, in_groups, kept_pieces, secret_key, settle, spans, window_runs
 
 LENGTH = 35
 #: Words of the prefix that chooses a group.
@@ -96,8 +96,9 @@ def repeated(words: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group_texts: int = GROUP_TEXTS, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """The word spans of ``keyed`` documents that repeated ``length``-word sequences cover: doc_id, t, items of (begin, end)."""
-    whole, asked = classify(window_runs(docs, "word", length, gram))
-    settled = settle(docs, asked, "word", length, gram, group_texts, in_groups(length, batch_bytes, 8, repeated))
+    key = secret_key()
+    whole, asked = classify(window_runs(docs, "word", length, gram, key))
+    settled = settle(docs, asked, "word", length, gram, key, group_texts, in_groups(length, batch_bytes, 8, repeated))
     return spans(whole.unionByName(settled), length)
 
 

@@ -6,8 +6,8 @@ mostly share a key, and a maximal run of them is one row: for 400-byte windows a
 (first byte of its first window to the last byte of its last) has a hash of its own, ``seg``.
 
 Any window that repeats has its key in two runs, or twice inside one run that is marked ``loop``. So keys seen once are
-dropped; copies of a run's text are one class with its number of members, told apart by 128 bits of hash besides the key;
-what is left is *open*: classes that share a key with a different text. The operators settle those by content, each by
+dropped; copies of a run's text are one class with its number of members, told apart by 128 bits of XXH3 over the text
+itself, under a random key that each call draws, so that no text can be made to clash; what is left is *open*: classes that share a key with a different text. The operators settle those by content, each by
 its own method, one copy of each text.
 
 A key that more texts share than one task takes (``settle``) is dealt out by longer shared content. Every window with that
@@ -18,6 +18,7 @@ windows of a range of one offset share everything, so they are one class.
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -34,7 +35,6 @@ CHUNK_BITS = 20
 _MASK = np.uint64((1 << CHUNK_BITS) - 1)
 _BASE = 0x9E3779B97F4A7C15
 _UNBASE = pow(_BASE, -1, 1 << 64)
-_TWIN = 0xC2B2AE3D27D4EB4F
 #: Where a run of windows stands.
 PLACE = ("doc_id", "t", "start", "n")
 #: Bytes of open texts that leave a task at once.
@@ -64,6 +64,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def secret_key() -> int:
+    """A fresh key of the hashes that tell texts apart, so that nobody can prepare texts that clash."""
+    return secrets.randbits(64)
+
+
 def prefix(units: np.ndarray) -> np.ndarray:
     """Running polynomial sums; ``span_hash`` reads the hash of any span from them."""
     sums = np.zeros(len(units) + 1, np.uint64)
@@ -102,36 +107,48 @@ def word_bounds(data: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndar
     return edges[::2], edges[1::2]
 
 
-def word_units(data: np.ndarray, between: np.ndarray = _SPACE) -> np.ndarray:
-    """A 64-bit hash of each word of UTF-8 text."""
+def words_of(data: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """The words of UTF-8 text one behind the other, and where each begins, with the end of the last."""
     begin, end = word_bounds(data, between)
-    if not len(begin):
+    return np.ascontiguousarray(data[~between[data]]), np.concatenate([[0], np.cumsum(end - begin)]).astype(np.int64)
+
+
+def word_units(data: np.ndarray, between: np.ndarray = _SPACE, key: int = 0) -> np.ndarray:
+    """A 64-bit XXH3 of each word of UTF-8 text under ``key``; each distinct word is hashed once, told apart by its bytes."""
+    letters, offsets = words_of(data, between)
+    if len(offsets) < 2:
         return np.zeros(0, np.uint64)
-    values = BYTE_VALUES[data]
-    values[between[data]] = 0
-    place = np.arange(begin[0], len(data)) - np.repeat(begin, np.diff(np.append(begin, len(data))))
-    up = powers(int(place.max()) + 1)[0]
-    sums = np.add.reduceat(values[begin[0] :] * up[place], begin - begin[0])
-    return mix(sums + (end - begin).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+    held = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(letters)]).dictionary_encode()
+    hashes = [xxhash.xxh3_64_intdigest(word, key) for word in held.dictionary.to_pylist()]
+    return np.array(hashes, np.uint64)[held.indices.to_numpy()]
+
 
+def runs(units: np.ndarray, length: int, gram: int, content: np.ndarray, offsets: np.ndarray | None = None, key: int = 0) -> tuple[np.ndarray, ...]:
+    """Runs of the windows of one document: first window, number of windows, key, text hash in two halves, loop mark.
 
-def runs(units: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Runs of the windows of one document: first window, number of windows, key, two text hashes, loop mark."""
+    ``content`` holds the bytes of all units and ``offsets`` where each begins and the last ends (none: a byte each). The text
+    hash is 128 bits of XXH3 over those bytes and the units' lengths under ``key``."""
     parts = []
     step = (1 << CHUNK_BITS) - length
     for at in range(0, len(units) - length + 1, step):
         windows = min(step, len(units) - length + 1 - at)
         part = units[at : at + windows + length - 1]
-        sums, twins = prefix(part), prefix(mix(part ^ np.uint64(_TWIN)))
-        grams = gram_hashes(sums, gram)
+        grams = gram_hashes(prefix(part), gram)
         least = sliding_min((grams & ~_MASK) | np.arange(len(grams), dtype=np.uint64), length - gram + 1)
-        key = least >> np.uint64(CHUNK_BITS)
-        first = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])
+        name = least >> np.uint64(CHUNK_BITS)
+        first = np.concatenate([[0], np.flatnonzero(name[1:] != name[:-1]) + 1])
         last = np.concatenate([first[1:], [windows]]) - 1
         moved = np.concatenate([[0], np.cumsum(least[1:] != least[:-1])])
-        size = (last - first).astype(np.uint64) * np.uint64(0xA24BAED4963EE407)
-        seg, twin = (mix(span_hash(x, first, last + length) + size).view(np.int64) for x in (sums, twins))
-        parts.append((first + at, last - first + 1, key[first].astype(np.int64), seg, twin, moved[last] != moved[first]))
+        digests = bytearray()
+        for a, b in zip((first + at).tolist(), (last + at + length).tolist(), strict=True):
+            if offsets is None:
+                digests += xxhash.xxh3_128_digest(content[a:b], key)
+            else:  # with the lengths, so that words are told apart from the same letters in other words
+                digest = xxhash.xxh3_128(content[offsets[a] : offsets[b]], key)
+                digest.update((offsets[a : b + 1] - offsets[a]).tobytes())
+                digests += digest.digest()
+        seg, twin = np.frombuffer(bytes(digests), np.int64).reshape(-1, 2).T
+        parts.append((first + at, last - first + 1, name[first].astype(np.int64), seg, twin, moved[last] != moved[first]))
     if not parts:
         return tuple(np.zeros(0, kind) for kind in (np.int64, np.int64, np.int64, np.int64, np.int64, bool))
     return tuple(np.concatenate(column) for column in zip(*parts, strict=True))
@@ -145,9 +162,8 @@ def texts(batch: pa.RecordBatch, column: str) -> list[np.ndarray]:
     return [data[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
 
 
-def window_runs(docs: DataFrame, unit: str, length: int, gram: int) -> DataFrame:
+def window_runs(docs: DataFrame, unit: str, length: int, gram: int, secret: int) -> DataFrame:
     """``runs`` of every document of ``keyed`` rows: doc_id, t, start, n, key, seg, twin, loop."""
-    units = {"byte": byte_units, "word": word_units}[unit]
 
     def find(batches):
         for batch in batches:
@@ -155,7 +171,7 @@ def window_runs(docs: DataFrame, unit: str, length: int, gram: int) -> DataFrame
             rows, found = [], []
             for row, data in enumerate(texts(batch, "text")):
                 if len(data) >= length:
-                    out = runs(units(data), length, gram)
+                    out = runs(byte_units(data), length, gram, data, None, secret) if unit == "byte" else runs(word_units(data, key=secret), length, gram, *words_of(data), secret)
                     if len(out[0]):
                         rows.append(np.full(len(out[0]), row))
                         found.append(out)
@@ -188,7 +204,7 @@ def classify(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     return whole, segs.select("at.*", "key", (F.col("c") == 1).alias("lone"))
 
 
-def open_texts(docs: DataFrame, asked: DataFrame, unit: str, length: int, gram: int, ranges: int = 1) -> DataFrame:
+def open_texts(docs: DataFrame, asked: DataFrame, unit: str, length: int, gram: int, secret: int, ranges: int = 1) -> DataFrame:
     """The content of ``asked`` runs: doc_id, t, start, n, lone, body (the bytes, or 8 bytes for each word), ``key`` and
     ``group``: the key itself, or with several ``ranges`` of offsets a hash of what all windows of the range share."""
     span = length - gram + 1
@@ -210,7 +226,7 @@ def open_texts(docs: DataFrame, asked: DataFrame, unit: str, length: int, gram:
             asks = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("start", "n", "key", "lone")]
             rows, size = [], 0
             for row, (data, *ask) in enumerate(zip(texts(batch, "text"), *asks, strict=True)):
-                hashes = word_units(data) if unit == "word" else byte_units(data) if ranges > 1 else data
+                hashes = word_units(data, key=secret) if unit == "word" else byte_units(data) if ranges > 1 else data
                 body = hashes if unit == "word" else data
                 for at, n, key, lone in zip(*ask, strict=True):
                     for first, windows, group in pieces(hashes, body, at, n, key) if ranges > 1 else [(at, n, key)]:
@@ -232,12 +248,12 @@ def open_texts(docs: DataFrame, asked: DataFrame, unit: str, length: int, gram:
     return with_items.mapInArrow(cut, "doc_id long, t long, start int, n int, lone boolean, body binary, key long, group long")
 
 
-def settle(docs: DataFrame, asked: DataFrame, unit: str, length: int, gram: int, group_texts: int, solve: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def settle(docs: DataFrame, asked: DataFrame, unit: str, length: int, gram: int, secret: int, group_texts: int, solve: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Which windows of the ``lone`` runs of ``asked`` repeat: doc_id, t, start, n. ``solve`` gets groups of at most
     ``group_texts`` different texts; larger ones come back as several, by ever narrower ranges of offsets."""
     span, ranges, settled = length - gram + 1, 1, []
     while True:
-        found = written(open_texts(docs, asked, unit, length, gram, ranges), "open-texts")
+        found = written(open_texts(docs, asked, unit, length, gram, secret, ranges), "open-texts")
         if ranges > 1:
             # Different texts can have equal parts. Those repeat throughout, and one of them stays as a witness.
             same = found.groupBy("group", "body").agg(F.count(F.lit(1)).alias("c"), F.max("lone").alias("lone"), F.min(F.struct(*PLACE, "key")).alias("at"))

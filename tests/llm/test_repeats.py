@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quillfund.llm import common, suffix_buckets, suffix_trees, windows
 from quillfund.llm.common import keyed
 from quillfund.llm.suffix_buckets import refine
+from quillfund.llm.suffix_trees import remove_repeated_words
 
 DOCS = "doc_id long, text string, start int, key string"
 
@@ -155,7 +156,7 @@ def test_runs_name_equal_windows_alike(monkeypatch):
     data = rng.integers(97, 123, 5000).astype(np.uint8)
     data[3000:3600] = data[100:700]
     data[4000:4500] = 97
-    start, n, key, _, _, loop = windows.runs(windows.byte_units(data), 400, 24)
+    start, n, key, _, _, loop = windows.runs(windows.byte_units(data), 400, 24, data)
     assert n.sum() == 5000 - 399 and (np.cumsum(n)[:-1] == start[1:]).all()
     keys, loops = np.repeat(key, n), np.repeat(loop, n)
     seen = {}
@@ -178,3 +179,18 @@ def test_very_long_texts(spark):
     words[50_000:50_040] = words[10:50]
     found = suffix_trees.repeated_spans(keyed(spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string"))).collect()
     assert [(s.begin, s.end) for r in found for s in r.items] == [(10, 50), (50_000, 50_040)]
+
+
+def test_words_that_beat_polynomial_hashes(spark):
+    """Thue-Morse words and their complements clash under every polynomial modulo 2**64; letters cut into other words don't."""
+    thue = "a"
+    while len(thue) < 1024:
+        thue += thue.translate(str.maketrans("ab", "ba"))
+    other = thue.translate(str.maketrans("ab", "ba"))
+    same = " ".join(f"w{k}" for k in range(34))
+    rows = [(1, f"{same} {thue}"), (2, f"{same} {other}"), (3, f"{' '.join(f'v{k}' for k in range(33))} ab c"), (4, f"{' '.join(f'v{k}' for k in range(33))} a bc")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: sum(s.end - s.begin for s in r.removed) for r in remove_repeated_words(docs).collect()} == {1: 0, 2: 0, 3: 0, 4: 0}
+    rows.append((5, rows[0][1]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: sum(s.end - s.begin for s in r.removed) for r in remove_repeated_words(docs).collect()} == {1: 35, 2: 0, 3: 0, 4: 0, 5: 35}
