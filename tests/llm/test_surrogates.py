@@ -2,7 +2,6 @@
 
 import re
 
-import pytest
 from pyspark.sql import functions as F
 
 from quillfund.llm import surrogates
@@ -47,8 +46,8 @@ def test_collisions_are_drawn_again(spark):
     fresh = [normal(kind, surrogate(KEY, kind, sample, again.get((kind, value), 0))) for _, _, kind, value, sample in rows]
     assert len(set(fresh)) == len(rows) and not set(fresh) & {r[3] for r in rows}
     crowded = spark.createDataFrame([(1, 1, "surname", f"{k}", f"{k}") for k in range(10)], entities.schema)
-    with pytest.raises(ValueError, match="fewer"):
-        redraws(crowded, KEY)
+    drawn = {(r.kind, r.value): r.draw for r in redraws(crowded, KEY).collect()}
+    assert len({surrogate(KEY, "surname", str(k), drawn.get(("surname", str(k)), 0)) for k in range(10)} - {str(k) for k in range(10)}) == 10
 
 
 def test_crowded_forms_widen(spark):
@@ -143,3 +142,59 @@ def test_keys(spark):
         assert replace_pii(docs).collect() == replace_pii(docs, KEY).collect()
     finally:
         spark.conf.unset(surrogates.KEY_SETTING)
+
+
+def test_case_folds_that_change_length():
+    """Letters whose lower case or fold is longer crash nothing, and no form changes its length."""
+    for value in ("Straße99x", "İstanbul7X", "ﬁnalŉǰ1A", "ẞẞẞẞẞ1", "ΐΰΑ1bcd", "ŒǅabC12"):
+        for text in (f'password = "{value}"', f"token: {value}", f"{value}@exämple.com", f"Mr {value} x", f"Mrs Anna {value} x", f"GB82{value}"):
+            out = _rewritten(text, None, KEY)
+            assert len(out) == len(text) or text.startswith("Mrs")
+    out = _rewritten('password = "Straße99x"', None, KEY)
+    assert out != 'password = "Straße99x"' and "ß" not in out
+    a, b = _rewritten("Frau Großmann traf Herrn X. Großmann kam.", None, KEY), "Großmann"
+    assert b not in a and len(set(re.findall(r"Frau (\w+)|(\w+) kam", a)[0]) - {""}) == 1
+
+
+def test_names_without_titles_and_initials():
+    text = "I am Alice Brown, born 12.03.1981, 12 Baker Street, London. Alice called 020 7946 0958 or 555-1234."
+    kinds = {d[2]: text[d[0] : d[1]] for d in detect(text)}
+    assert [d[2] for d in detect(text)] == ["name-f", "date", "street", "name-f", "phone", "phone"] and kinds["street"] == "Baker"
+    out = _rewritten(text, None, KEY)
+    assert not re.search("Alice|Brown|1981|Baker|7946|555", out) and re.search(r", born \d\d\.\d\d\.19\d\d, 12 [A-Z][a-z]+ Street, London\. [A-Z][a-z]+ called 0\d\d \d{4} \d{4} or \d{3}-\d{4}\.$", out)
+    assert out.split()[2] == re.search(r"London\. (\w+) called", out)[1] and out.split()[2] in surrogates.NAMES["latin", "f"]
+    for cue in ("my name is", "Ich heiße", "je m'appelle", "Me llamo"):
+        assert [d[2] for d in detect(f"{cue} John Smith.")] == ["name-n"]
+    assert detect("I am Going Home. born 1981. 12 of Baker Street. soy Leche Buena") == []
+    for text, kept in (("Mr. J. Smith met Mr. Smith", "Smith"), ("Mrs. Anna Q. Doe and Ms Doe", "Doe"), ("Prof. J.R. Tolk. Tolk", "Tolk")):
+        out = _rewritten(text, None, KEY)
+        assert kept not in out and len(set(re.findall(r"[A-Z][a-z]+$", out)) & set(out.split())) == 1
+    assert re.match(r"Mr\. [A-Z]\. [A-Z][a-z]+ met Mr\. ", _rewritten("Mr. J. Smith met Mr. Smith", None, KEY))
+
+
+def test_later_mentions_are_names_only():
+    assert _rewritten("Ask Professor Of Physics. Of course.", None, KEY) == "Ask Professor Of Physics. Of course."
+    out = _rewritten("Dr. May came. May I ask?", None, KEY)
+    assert out.endswith(" came. May I ask?") and "Dr. May" not in out
+    out = _rewritten("Dr. Alice met Alice Brown. Brown left; alicebrown", None, KEY)
+    assert not re.search(r"\b(Alice|Brown)\b", out) and re.match(r"Dr\. (\w+) met \1 (\w+)\. \2 left", out)
+    assert _rewritten("Mr Stoner has a stoner. Stoner", None, KEY).endswith("Stoner")
+
+
+def test_keys_and_accounts_keep_their_form():
+    pem = "-----BEGIN RSA PRIVATE KEY-----\nMIIEow/IBAA+KCAQ==\n-----END RSA PRIVATE KEY-----"
+    out = _rewritten(pem, None, KEY)
+    assert "MIIE" not in out and re.fullmatch(r"-----BEGIN RSA PRIVATE KEY-----\n[A-Z]{4}[a-z]{2}/[A-Z]{4}\+[A-Z]{4}==\n-----END RSA PRIVATE KEY-----", out)
+
+    def valid(number):
+        number = number.replace(" ", "")
+        return int("".join(str(int(c, 36)) for c in number[4:] + number[:4])) % 97 == 1
+
+    for k in range(50):
+        good = surrogate(KEY, "iban", "GB82 WEST 1234 5698 7654 32", k % 8)
+        assert valid(good) and re.fullmatch(r"GB\d\d [A-Z]{4}( \d{4}){3} \d\d", good)
+        assert not valid(surrogate(KEY, "iban", f"DE{k:02d} 1234 5678 9012 3456 78")) or valid(f"DE{k:02d} 1234 5678 9012 3456 78")
+    assert surrogate(KEY, "ip", "1.2.3.4", 70).startswith("2001:db8:")
+    for value in ("12.03.1981", "1/2/2003", "1981-03-12"):
+        day, month, year = sorted(map(int, re.split("[./-]", surrogate(KEY, "date", value))), key=lambda n: n > 1000) if value[4] != "-" else map(int, reversed(surrogate(KEY, "date", value).split("-")))
+        assert 1 <= day <= 28 and 1 <= month <= 12 and year // 100 == int(re.search(r"\d{4}", value)[0]) // 100
