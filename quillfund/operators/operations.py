@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillfund.functions.columns import sql_tables
-from quillfund.operators.statistics import nearest_place, order_values
+from quillfund.operators.statistics import nearest_place, order_values, percentiles, same_keys
 from quillfund.plans.views import VIEWS, oracle, run
 
 
@@ -18,8 +18,9 @@ def load_window(rows: DataFrame, start: float | None = None, end: float | None =
     span = F.lit(end - start) if start is not None and end is not None else F.max("t_end") - F.min("t_end")
     stats = rows.agg(
         F.count(F.lit(1)).alias("n"), F.count_if("ok").alias("n_ok"), F.avg((~F.col("ok")).cast("double")).alias("error_rate"), (F.count(F.lit(1)) / F.nullif(span, F.lit(0.0))).alias("qps"), F.avg("total_ms").alias("mean_ms"),
-        *[F.expr(f"percentile(total_ms, {p / 100})").alias(f"p{p}_ms") for p in (50, 95, 99)],
     )
+    found = percentiles(rows.withColumn("total_ms", F.col("total_ms").cast("double")), [], "total_ms", {f"p{p}_ms": p / 100 for p in (50, 95, 99)}).drop("n")
+    stats = stats.join(F.broadcast(found), F.lit(True), "left")  # one row, or none without values
     errors = rows.where("NOT ok").groupBy(F.substring("error", 1, 80).alias("message")).agg(F.count(F.lit(1)).alias("n"))
     return stats.crossJoin(errors.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("message", "n")))).alias("errors")))
 
@@ -31,7 +32,12 @@ def resources(samples: DataFrame) -> DataFrame:
 
 def repetition_median(rows: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
     """Median of each metric over repetitions, nulls left out, three digits."""
-    return rows.groupBy(*keys).agg(*[F.round(F.median(m), 3).alias(m) for m in metrics])
+    held = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in metrics])).alias("m")
+    found = percentiles(rows.select(*keys, held).select(*keys, "m.*"), [*keys, "metric"], "v", {"median": 0.5})
+    # Groups whose values are all null stay, with nulls.
+    every = rows.select(*keys).distinct()
+    wide = found.groupBy(*keys).agg(*[F.round(F.max(F.when(F.col("metric") == m, F.col("median"))), 3).alias(m) for m in metrics]).withColumnsRenamed({k: f"_{k}" for k in keys})
+    return every.join(wide, same_keys(keys), "left").select(*keys, *metrics)
 
 
 def costs(usage: DataFrame, prices: DataFrame) -> DataFrame:
@@ -46,7 +52,7 @@ def latency_summary(rows: DataFrame, keys: list[str]) -> DataFrame:
     base = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("planned"), F.count_if("ok").alias("n_ok"), F.min(good).alias("min_ms"), F.max(good).alias("max_ms"), F.sort_array(F.collect_set(F.when(~F.col("ok"), F.col("reason")))).alias("reasons"))
     ranks = {"median_ms": lambda n: nearest_place(n, 50), "p90_ms": lambda n: nearest_place(n, 90)}
     found = order_values(rows.where("ok"), keys, "ms", ranks).drop("n").withColumnsRenamed({k: f"_{k}" for k in keys})
-    joined = base.join(found, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left")
+    joined = base.join(found, same_keys(keys), "left")
     return joined.select(*keys, "planned", "n_ok", *ranks, "min_ms", "max_ms", "reasons")
 
 

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -84,6 +83,26 @@ def order_values(rows: DataFrame, keys: list[str], value: str, ranks: dict[str,
     return found.groupBy("_key").agg(F.first("n").alias("n"), *[at(name) for name in ranks]).select("_key.*", "n", *ranks)
 
 
+def percentiles(rows: DataFrame, keys: list[str], value: str, asked: dict[str, float]) -> DataFrame:
+    """``keys``, ``n`` and percentiles of each group by linear interpolation between the two ranks around them (``order_values``),
+    by name. Without keys all rows are one group; groups without values are left out."""
+    by = keys or ["_all"]
+    rows = rows if keys else rows.withColumn("_all", F.lit(0))
+    places = {}
+    for name, q in asked.items():
+        places[f"{name}_low"] = lambda n, q=q: F.floor(q * (n - 1)) + 1
+        places[f"{name}_high"] = lambda n, q=q: F.ceil(q * (n - 1)) + 1
+    found = order_values(rows, by, value, places)
+    part = lambda q: q * (F.col("n") - 1) - F.floor(q * (F.col("n") - 1))
+    low, high = (lambda name: F.col(f"{name}_low")), (lambda name: F.col(f"{name}_high"))
+    return found.select(*keys, "n", *[(low(name) + (high(name) - low(name)) * part(q)).alias(name) for name, q in asked.items()])
+
+
+def same_keys(keys: list[str], prefix: str = "_") -> Column:
+    """Whether ``keys`` equal the columns with the ``prefix``, nulls too."""
+    return reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"{prefix}{k}")) for k in keys])
+
+
 def kappa(pairs: DataFrame, x: str, y: str, linear: bool = False, categories: tuple[int, ...] = (0, 1, 2)) -> DataFrame:
     """Cohen's kappa of two raters over the given categories and all that occur; 1 if chance disagreement is 0. One row
     from at most (categories squared) counts."""
@@ -159,28 +178,30 @@ def compare_gold(items: DataFrame, results: DataFrame) -> DataFrame:
     return rows.select("query_id", "rows", F.coalesce(correct, F.lit(False)).alias("correct"))
 
 
-def paired_bootstrap(pairs: DataFrame, a: str, b: str, draws: int = 10_000, seed: int = 0) -> DataFrame:
-    """mean(b - a) with the 95 % interval and the share of resampled means <= 0.
+#: Draws that one md5 decides, four hexadecimal digits for each.
+HASH_DRAWS = 8
+#: 65536 times the probabilities of at most 0, 1, ... events of a Poisson distribution with mean 1.
+POISSON = (24109, 48218, 60273, 64291, 65296, 65497, 65531, 65536)
 
-    Equal differences are counted first. A draw weighs each of n equal pairs by a Poisson(1) count, and so all of them by
-    one Poisson(n) count, which the seed and the difference determine. Each task adds up its draws and emits one row."""
-    rows = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select((F.col(b) - F.col(a)).cast("double").alias("d"))
-    counts = rows.groupBy("d").agg(F.count(F.lit(1)).alias("n"))
 
-    def resample(batches):
-        total, weight = np.zeros(draws), np.zeros(draws)
-        for batch in batches:
-            for d, n in zip(*(batch.column(k).to_numpy() for k in (0, 1)), strict=True):
-                drawn = np.random.default_rng([seed, int(np.float64(d).view(np.uint64))]).poisson(n, draws)
-                total += d * drawn
-                weight += drawn
-        yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([weight])], ["total", "weight"])
+def paired_bootstrap(pairs: DataFrame, key: str, a: str, b: str, draws: int = 10_000, seed: int = 0, parts: Column | None = None) -> DataFrame:
+    """part, n, mean(b - a), its 95 % interval and the share of resampled means <= 0, for each of the ``parts`` (an array of
+    names; by default all are ``all``) of a pair. Pairs need both values; draws that weigh nothing are left out.
 
-    parts = counts.mapInArrow(resample, "total array<double>, weight array<double>").select(F.posexplode(F.arrays_zip("total", "weight")).alias("draw", "s"))
-    means = parts.groupBy("draw").agg((F.sum("s.total") / F.nullif(F.sum("s.weight"), F.lit(0.0))).alias("m")).where("m is not null")
-    means = means.agg(F.sort_array(F.collect_list("m")).alias("ms"), F.avg(F.when(F.col("m") <= 0, 1.0).otherwise(0.0)).alias("share_not_better"))  # ``draws`` values
-    mean = rows.agg(F.avg("d").alias("mean"), F.count(F.lit(1)).alias("n"))
-    return mean.crossJoin(means).select("n", "mean", floor_index(F.col("ms"), 0.025).alias("low"), floor_index(F.col("ms"), 0.975).alias("high"), "share_not_better")
+    A draw weighs each pair by a Poisson(1) count that the md5 of seed, key and draw determines, so any engine gets the same
+    draws. Weights and weighted differences of a block of draws are summed in each task before anything is shuffled."""
+    rows = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    rows = rows.select(F.col(key).cast("string").alias("_key"), (F.col(b) - F.col(a)).cast("double").alias("d"), (F.array(F.lit("all")) if parts is None else parts).alias("parts"))
+    mean = rows.select("d", F.explode("parts").alias("part")).groupBy("part").agg(F.avg("d").alias("mean"), F.count(F.lit(1)).alias("n"))
+    hashed = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // HASH_DRAWS)))).withColumn("h", F.md5(F.concat(F.lit(f"{seed}:"), "_key", F.lit(":"), F.col("block").cast("string")).cast("binary")))
+    digits = [F.conv(F.substring("h", 4 * k + 1, 4), 16, 10).cast("int") for k in range(HASH_DRAWS)]
+    weight = lambda u: reduce(Column.__add__, [(u >= edge).cast("int") for edge in POISSON[:-1]])
+    weighed = hashed.select("parts", "d", "block", *[weight(u).alias(f"w{k}") for k, u in enumerate(digits)]).withColumn("part", F.explode("parts"))
+    sums = weighed.groupBy("part", "block").agg(*[F.sum(f"w{k}").alias(f"w{k}") for k in range(HASH_DRAWS)], *[F.sum(F.col(f"w{k}") * F.col("d")).alias(f"t{k}") for k in range(HASH_DRAWS)])
+    each = sums.select("part", "block", F.posexplode(F.array(*[(F.col(f"t{k}") / F.nullif(F.col(f"w{k}"), F.lit(0))).alias("m") for k in range(HASH_DRAWS)])).alias("k", "m"))
+    each = each.where((F.col("block") * HASH_DRAWS + F.col("k") < draws) & F.col("m").isNotNull())
+    means = each.groupBy("part").agg(F.sort_array(F.collect_list("m")).alias("ms"), F.avg(F.when(F.col("m") <= 0, 1.0).otherwise(0.0)).alias("share_not_better"))  # ``draws`` values
+    return mean.join(means, "part").select("part", "n", "mean", floor_index(F.col("ms"), 0.025).alias("low"), floor_index(F.col("ms"), 0.975).alias("high"), "share_not_better")
 
 
 def similarity_distribution(scored: DataFrame) -> DataFrame:
@@ -192,20 +213,20 @@ def similarity_distribution(scored: DataFrame) -> DataFrame:
 
 
 def compare_configurations(a: DataFrame, b: DataFrame, group: str, draws: int = 2000) -> DataFrame:
-    """Paired bootstrap of two runs (id, value) overall and in each group (of a, few values); pairs need both values."""
-    pairs = a.select("id", group, F.col("value").alias("a")).join(b.select("id", F.col("value").alias("b")), "id").where("a IS NOT NULL AND b IS NOT NULL")
-    out = paired_bootstrap(pairs, "a", "b", draws).withColumn("part", F.lit("all"))
-    for (name,) in pairs.select(group).distinct().orderBy(group).collect():  # topics
-        out = out.unionByName(paired_bootstrap(pairs.where(F.col(group).eqNullSafe(F.lit(name))), "a", "b", draws).withColumn("part", F.lit(str(name))))
-    return out
+    """Paired bootstrap of two runs (id, value) over all and in each group (of a), in one plan; pairs need both values, and a
+    null group is ``null``."""
+    pairs = a.select("id", group, F.col("value").alias("a")).join(b.select("id", F.col("value").alias("b")), "id")
+    return paired_bootstrap(pairs, "id", "a", "b", draws, parts=F.array(F.lit("all"), F.coalesce(F.col(group).cast("string"), F.lit("null"))))
 
 
 def overlap_quantiles(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """n, mean, inclusive quartiles and range of a score for each key value, four digits."""
     kinds = F.explode(F.array(*[F.concat_ws("=", F.lit(k), F.col(k).cast("string")) for k in keys])).alias("kind")
-    out = rows.select(kinds, F.col(value).alias("v")).groupBy("kind")
+    out = rows.select(kinds, F.col(value).cast("double").alias("v"))
     four = lambda c, name: F.round(c, 4).alias(name)
-    return out.agg(F.count("v").alias("n"), four(F.avg("v"), "mean"), *[four(F.percentile("v", q), name) for q, name in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))], four(F.min("v"), "least"), four(F.max("v"), "greatest"))
+    quartiles = percentiles(out, ["kind"], "v", {"p25": 0.25, "p50": 0.5, "p75": 0.75}).drop("n").withColumnRenamed("kind", "_kind")
+    base = out.groupBy("kind").agg(F.count("v").alias("n"), four(F.avg("v"), "mean"), four(F.min("v"), "least"), four(F.max("v"), "greatest"))
+    return base.join(quartiles, same_keys(["kind"]), "left").select("kind", "n", "mean", *[four(F.col(c), c) for c in ("p25", "p50", "p75")], "least", "greatest")
 
 
 def without_malformed(scored: DataFrame, codes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -258,7 +279,7 @@ def spot_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bootstrap_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _events(spark, sf_dir).groupBy("user_id").pivot("event_type", ["view", "click"]).avg("value")
-    return paired_bootstrap(rows, "view", "click", draws=2000).select("n", F.round("mean", 6).alias("mean"), "low", "high", "share_not_better")
+    return paired_bootstrap(rows, "user_id", "view", "click", draws=2000).select("n", *[F.round(c, 6).alias(c) for c in ("mean", "low", "high", "share_not_better")])
 
 
 def distribution_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -273,7 +294,19 @@ def overlap_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def configurations_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("id"), "o_orderpriority", F.col("o_totalprice").alias("value"))
     found = compare_configurations(rows, rows.withColumn("value", F.col("value") + F.col("id") % 3), "o_orderpriority", 200)
-    return found.select("part", "n", F.round("mean", 6).alias("mean"), "low", "high", "share_not_better")
+    return found.select("part", "n", *[F.round(c, 6).alias(c) for c in ("mean", "low", "high", "share_not_better")])
+
+
+def _bootstrap_sql(draws: int) -> str:
+    """The draws of ``paired_bootstrap`` over d (part, id, d)."""
+    return f"""
+          h AS (SELECT part, d, j, b * {HASH_DRAWS} + j AS draw, md5('0:' || id || ':' || b) AS h FROM d CROSS JOIN range({(draws - 1) // HASH_DRAWS + 1}) x(b) CROSS JOIN range({HASH_DRAWS}) y(j)),
+          w AS (SELECT part, draw, d, CAST('0x' || substr(h, CAST(4 * j + 1 AS BIGINT), 4) AS INT) AS u FROM h WHERE draw < {draws}),
+          c AS (SELECT part, draw, d, {' + '.join(f'CAST(u >= {edge} AS INT)' for edge in POISSON[:-1])} AS c FROM w),
+          m AS (SELECT part, sum(c * d) / nullif(sum(c), 0) AS m FROM c GROUP BY part, draw),
+          l AS (SELECT part, list_sort(list(m)) AS ms, avg(CASE WHEN m <= 0 THEN 1.0 ELSE 0.0 END) AS share FROM m WHERE m IS NOT NULL GROUP BY part),
+          n AS (SELECT part, count(*) AS n, avg(d) AS mean FROM d GROUP BY part)
+        SELECT part, n, round(mean, 6) AS mean, round(ms[least(len(ms), CAST(floor(len(ms) * 0.025) AS INT) + 1)], 6) AS low, round(ms[least(len(ms), CAST(floor(len(ms) * 0.975) AS INT) + 1)], 6) AS high, round(share, 6) AS share_not_better FROM n JOIN l USING (part)"""
 
 
 QUERIES = {"a22_percentiles": percentile_query, "a15_kappa": kappa_query, "a11_threshold_sweep": sweep_query, "w9_stratified_split": split_query, "w10_spot_sample": spot_query, "a16_paired_bootstrap": bootstrap_query, "a13_similarity_distribution": distribution_query, "a24_overlap_quantiles": overlap_query, "a17_compare_configurations": configurations_query}
@@ -302,6 +335,12 @@ ORACLE_SQL = {
         WITH s AS ({_SCORED.replace("AS guard_ok", "AS guard_ok, concat('s', user_id % 3) AS sub")}), k AS (SELECT category AS kind, sim FROM s UNION ALL SELECT concat('hard:', sub), sim FROM s WHERE category = 'hard_negative'),
           l AS (SELECT kind, list_sort(list(sim)) AS v FROM k GROUP BY kind)
         SELECT kind, CAST(len(v) AS INT) AS n, v[1] AS least, v[least(len(v), CAST(floor(len(v) * 0.25) AS INT) + 1)] AS p25, v[least(len(v), CAST(floor(len(v) * 0.5) AS INT) + 1)] AS median, v[least(len(v), CAST(floor(len(v) * 0.75) AS INT) + 1)] AS p75, v[len(v)] AS greatest FROM l""",
+    "a16_paired_bootstrap": f"""
+        SELECT n, mean, low, high, share_not_better FROM (WITH e AS (SELECT user_id AS id, avg(CASE WHEN event_type = 'click' THEN value END) - avg(CASE WHEN event_type = 'view' THEN value END) AS d FROM events GROUP BY user_id),
+          d AS (SELECT 'all' AS part, id, d FROM e WHERE d IS NOT NULL), {_bootstrap_sql(2000)}) r""",
+    "a17_compare_configurations": f"""
+        WITH e AS (SELECT o_orderkey AS id, o_orderpriority AS part, CAST((o_totalprice + o_orderkey % 3) - o_totalprice AS DOUBLE) AS d FROM orders WHERE o_totalprice IS NOT NULL),
+          d AS (SELECT id, part, d FROM e UNION ALL SELECT id, 'all', d FROM e), {_bootstrap_sql(200)}""",
     "a24_overlap_quantiles": """
         SELECT kind, count(*) AS n, round(avg(v), 4) AS mean, round(quantile_cont(v, 0.25), 4) AS p25, round(quantile_cont(v, 0.5), 4) AS p50, round(quantile_cont(v, 0.75), 4) AS p75, round(min(v), 4) AS least, round(max(v), 4) AS greatest
         FROM (SELECT concat('o_orderpriority=', o_orderpriority) AS kind, o_totalprice AS v FROM orders UNION ALL SELECT concat('year=', year(o_orderdate)), o_totalprice FROM orders) x GROUP BY kind""",

@@ -114,8 +114,8 @@ def test_statistics(spark):
     assert (row.a, row.b, row.c, row.w) == (10, 19, 20, None) and row.x.low == pytest.approx(0.4902, abs=1e-3)
     same = spark.createDataFrame([(1, 1), (1, 1)], "x int, y int")
     assert S.kappa(same, "x", "y").first().kappa == 1.0
-    pairs = spark.createDataFrame([(float(k), float(k) + 1 + (k % 3) / 10) for k in range(50)], "a double, b double")
-    row = S.paired_bootstrap(pairs, "a", "b", draws=500).first()
+    pairs = spark.createDataFrame([(k, float(k), float(k) + 1 + (k % 3) / 10) for k in range(50)] + [(50, None, 1.0)], "id int, a double, b double")
+    row = S.paired_bootstrap(pairs, "id", "a", "b", draws=500).first()
     assert row.low <= row.mean <= row.high and row.share_not_better == 0 and row.mean == pytest.approx(1.098)
 
 
