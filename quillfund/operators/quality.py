@@ -84,6 +84,25 @@ def latest_announcement(matches: DataFrame) -> DataFrame:
     w = Window.partitionBy("fund_code", "spec").orderBy(F.desc("publish_date"), F.desc("report_id"))
     return matches.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
 
+#: Days of a range that tenures and requests meet in.
+RANGE_DAYS = 366
+
+
+def active_managers(requests: DataFrame, tenures: DataFrame, days: int = RANGE_DAYS) -> DataFrame:
+    """Interval join: the managers of each request (fund_code, on) whose tenure (fund_code, manager_name, start_date, end_date)
+    holds the date: start null or not after it, end null or after it.
+
+    Both sides meet by fund and range of days, and bounds are tested then, so no pair of a fund's request and tenure is made
+    outside a shared range. Open ends reach to the first and last date that is asked for. A null date has no managers."""
+    span = requests.agg(F.min("on").alias("_least"), F.max("on").alias("_most"))  # one row
+    place = lambda day: F.floor(F.unix_date(day) / days)
+    held = tenures.crossJoin(F.broadcast(span))
+    begin, end = F.greatest(F.coalesce("start_date", "_least"), "_least"), F.least(F.coalesce("end_date", "_most"), "_most")
+    held = held.where(begin <= end).select(F.col("fund_code").alias("_fund"), "manager_name", "start_date", "end_date", F.explode(F.sequence(place(begin), place(end))).alias("_range"))
+    pairs = requests.join(held, (F.col("fund_code") == F.col("_fund")) & (place(F.col("on")) == F.col("_range")))
+    active = (F.col("start_date").isNull() | (F.col("start_date") <= F.col("on"))) & (F.col("end_date").isNull() | (F.col("end_date") > F.col("on")))
+    return pairs.where(active).select(*requests.columns, "manager_name", "start_date", "end_date")
+
 
 def match_announcements(announcements: DataFrame, specs: DataFrame, as_of: str) -> DataFrame:
     """Announcements whose title matches a spec's pattern and not its exclusion; specs are a handful of rules."""

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillfund.functions.columns import norm_quote
+from quillfund.scratch import BROADCAST_BYTES
 
 K1, B = 1.2, 0.75
 RRF_K = 60
@@ -77,9 +78,24 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
 
 
-def vector_top_k(queries: DataFrame, chunks: DataFrame, k: int = POOL) -> DataFrame:
-    """Exact inner-product search of a stated query set (query_id, embedding) against all rows (chunk_id, embedding)."""
-    pairs = chunks.join(queries.select("query_id", F.col("embedding").alias("asked")), F.size("embedding") == F.size("asked"))
+def meet(rows: DataFrame, asked: DataFrame, same: Column, bound: int = BROADCAST_BYTES) -> DataFrame:
+    """The pairs of ``rows`` (chunk_id, ...) and a stated set of questions ``asked`` (with ``asked``, a vector) for which ``same``
+    holds, a condition that few values decide. Questions of at most ``bound`` measured bytes come to the rows, which stay
+    where they are. Beyond that rows are dealt out by chunk, and every part gets a copy of the questions."""
+    size = asked.agg(F.sum(F.size("asked") * 8 + 200)).first()[0] or 0
+    if size <= bound:
+        return rows.join(F.broadcast(asked), same)
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.withColumn("_part", F.pmod(F.xxhash64("chunk_id"), F.lit(parts)))
+    copies = asked.withColumn("_to", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return dealt.join(copies, (F.col("_part") == F.col("_to")) & same).drop("_part", "_to")
+
+
+def vector_top_k(queries: DataFrame, chunks: DataFrame, k: int = POOL, bound: int = BROADCAST_BYTES) -> DataFrame:
+    """Exact inner-product search of a stated query set (query_id, embedding) against all rows (chunk_id, embedding). Each
+    task cuts its pairs to the best ``k`` of a query before anything is shuffled."""
+    asked = queries.select("query_id", F.col("embedding").alias("asked"))
+    pairs = meet(chunks.select("chunk_id", "embedding"), asked, F.size("embedding") == F.size("asked"), bound)
     return top_k(pairs.select("query_id", "chunk_id", dot(F.col("asked"), F.col("embedding")).alias("score")), k, "vector")
 
 

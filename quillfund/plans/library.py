@@ -198,7 +198,15 @@ def promoted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.select("id", "verified").unionByName(orphans.select("id", F.lit(None).cast("boolean").alias("verified")))
 
 
+def active(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The managers of each fund on the first day of every month with orders."""
+    asked = run(spark, sf_dir, "SELECT DISTINCT lpad(CAST(o_custkey % 10 AS STRING), 6, '0') AS fund_code, trunc(CAST(o_orderdate AS DATE), 'month') AS on FROM {orders}")
+    held = view(spark, sf_dir, "tenures").withColumn("start_date", F.when(F.substring("manager_name", -1, 1) != "3", F.col("start_date")))
+    return quality.active_managers(asked, held).select("fund_code", "on", "manager_name")
+
+
 QUERIES = {
+    "j11_active_managers": active,
     "j3_gap_days": gap_days, "a2_share_groups": share_groups, "j16_ranking_differences": ranking_differences, "u3_flag_sets": flag_sets, "a20_medians": medians, "a28_merged_usage": merged_usage,
     "c7_upsert": upserted, "d1_keys": key_violations, "j19_promoted": promoted,
     "p11_rescale": rescaled, "p33_final_events": final_events, "x8_markdown_tables": markdown_tables, "w6_tenures": tenures, "w8_continuations": continuations,
@@ -206,6 +214,9 @@ QUERIES = {
     "x15_rrf": fused, "x17_rerank": reranked, "f6_scope": scoped, "u1_union_hits": united, "a10_intervals": intervals, "a12_threshold": threshold, "x32_gold_results": gold, "a6_boilerplate": boilerplate_lines,
 }
 ORACLE_SQL = {
+    "j11_active_managers": oracle("""
+        SELECT r.fund_code, r."on", t.manager_name FROM (SELECT DISTINCT lpad(CAST(o_custkey % 10 AS STRING), 6, '0') AS fund_code, CAST(date_trunc('month', CAST(o_orderdate AS DATE)) AS DATE) AS "on" FROM {orders}) r
+          JOIN {tenures} t ON t.fund_code = r.fund_code AND (right(t.manager_name, 1) = '3' OR t.start_date <= r."on") AND (t.end_date IS NULL OR t.end_date > r."on")"""),
     "j3_gap_days": oracle("""
         SELECT b.share_code, d.day, d.day > b.first + INTERVAL 3 MONTH AS late FROM (SELECT share_code, min(nav_date) AS first FROM {nav_daily} GROUP BY share_code) b JOIN {trading_days} d ON d.day >= b.first AND d.day <= DATE '2024-01-30'
         WHERE NOT EXISTS (SELECT 1 FROM {nav_daily} n WHERE n.share_code = b.share_code AND n.nav_date = d.day)"""),

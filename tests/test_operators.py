@@ -2,11 +2,13 @@
 
 import datetime as dt
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from quillfund.functions import columns as C
+from quillfund.operators import answers as A
 from quillfund.operators import documents as D
 from quillfund.operators import operations as O
 from quillfund.operators import quality as Q
@@ -171,3 +173,27 @@ def test_order_values(spark):
         told = [n, v[0], v[-(-n * 30 // 100) - 1], v[min(n - 1, n // 2)], v[-1]]
         assert str(list(found[k])[1:]) == str(told)
     assert S.order_values(rows.where("k = 'none'"), ["k"], "v", ranks).count() == 0
+
+
+def test_searches_by_broadcast_and_by_parts(spark):
+    rng = random.Random(4)
+    vector = lambda: [rng.uniform(-1, 1) for _ in range(5)]
+    chunks = spark.createDataFrame([(k, vector(), "n", k % 2) for k in range(300)] + [(301, [1.0], "n", 0), (302, None, "n", 0)], "chunk_id int, embedding array<double>, namespace string, signature int")
+    asked = spark.createDataFrame([(k, vector(), "n", k % 2) for k in range(40)], "query_id int, embedding array<double>, namespace string, signature int")
+    near, far = (R.vector_top_k(asked, chunks, 4, bound) for bound in (1 << 20, 0))
+    assert sorted(map(tuple, near.collect())) == sorted(map(tuple, far.collect())) and near.count() == 160
+    assert "hashpartitioning(size" not in near._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    near, far = (A.semantic_match(asked, chunks.where("chunk_id < 300"), 0.3, 3, bound) for bound in (1 << 20, 0))
+    assert sorted(map(tuple, near.collect())) == sorted(map(tuple, far.collect())) and near.count() > 20
+
+
+def test_active_managers(spark):
+    rng = random.Random(9)
+    day = lambda n: dt.date(2020, 1, 1) + dt.timedelta(n)
+    tenures = [("f", f"m{k}", rng.choice([None, day(rng.randrange(900))]), rng.choice([None, day(rng.randrange(900))])) for k in range(60)]
+    asked = [(rng.choice("fg"), day(rng.randrange(-50, 1000))) for _ in range(80)] + [("f", None)]
+    frames = spark.createDataFrame(asked, "fund_code string, on date"), spark.createDataFrame(tenures, "fund_code string, manager_name string, start_date date, end_date date")
+    expected = sorted((f, d, m) for f, d in asked if d for g, m, a, b in tenures if f == g and (a is None or a <= d) and (b is None or b > d))
+    for days in (30, 366, 5000):
+        assert sorted((r.fund_code, r.on, r.manager_name) for r in Q.active_managers(*frames, days).collect()) == expected
+    assert Q.active_managers(frames[0].limit(0), frames[1]).count() == 0 and "NestedLoopJoin Inner" not in Q.active_managers(*frames)._jdf.queryExecution().toString()
