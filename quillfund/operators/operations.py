@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillfund.functions.columns import sql_tables
 from quillfund.operators.statistics import nearest_place, order_values, percentiles, same_keys
-from quillfund.plans.views import VIEWS, oracle, run
+from quillfund.plans.views import VIEWS, oracle, run, view
 
 
 def load_window(rows: DataFrame, start: float | None = None, end: float | None = None) -> DataFrame:
@@ -72,31 +73,39 @@ def run_differences(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.join(other, ["query_id", "rank"], "full").where(~F.col("chunk_id").eqNullSafe(F.col("other"))).select("query_id", "rank", "chunk_id", "other")
 
 
+def read_tables(spark: SparkSession, query: str) -> set[str]:
+    """The tables that one SELECT statement reads, lower-case, without the names it defines itself (WITH). Spark parses the
+    statement, so comments, quoted names and texts that look like SQL are what they are; nothing runs."""
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(query)
+    except Exception as error:  # ParseException of the JVM, by py4j's own type
+        raise ValueError("one SELECT statement is allowed") from error
+    kind = lambda name: spark._jvm.java.lang.Class.forName(f"org.apache.spark.sql.catalyst.plans.logical.{name}")
+    if any(kind(name).isInstance(plan) for name in ("Command", "ParsedStatement")):
+        raise ValueError("one SELECT statement is allowed")
+    shown = plan.treeString()
+    own = {name.strip().strip("`").lower() for names in re.findall(r"CTE \[([^\]]*)\]", shown) for name in names.split(",")}
+    return {name.replace(", ", ".").lower() for name in re.findall(r"UnresolvedRelation \[([^\]]*)\]", shown)} - own
+
+
 def bounded_sql(spark: SparkSession, sf_dir: str, query: str, most: int = 200, limit: int | None = None) -> tuple[DataFrame, bool]:
     """One read-only SELECT over the catalogue of views: at most ``most`` rows, and whether more were cut off. A smaller
-    ``limit`` of the user is no cut. Only views of the catalogue can be read."""
-    body = query.strip().rstrip(";")
-    if ";" in body or not body.lower().startswith(("select", "with")):
-        raise ValueError("one SELECT statement is allowed")
-    named = spark.range(1).select(sql_tables(F.lit(body))).first()[0]
+    ``limit`` of the user is no cut. Only views of the catalogue can be read: they are the temporary views of a session of
+    its own, in which files cannot be named as tables."""
+    named = read_tables(spark, query.strip().rstrip(";"))
+    if unknown := named - set(VIEWS):
+        raise ValueError(f"{', '.join(sorted(unknown))} is not in the catalogue")
+    alone = spark.newSession()
+    alone.conf.set("spark.sql.runSQLOnFiles", "false")
     for name in named:
-        if name in VIEWS:
-            body = _braced(body, name)
-        elif f"{name} as (" not in body.lower():
-            raise ValueError(f"{name} is not in the catalogue")
-    rows = run(spark, sf_dir, body)
+        view(alone, sf_dir, name).createOrReplaceTempView(name)
+    rows = alone.sql(query.strip().rstrip(";"))
     if limit is not None and limit <= most:
         return rows.limit(limit), False
     taken = rows.take(most + 1)  # one run of the query; ``most`` bounds what comes to the driver
     return spark.createDataFrame(taken[:most], rows.schema), len(taken) > most
 
 
-def _braced(sql: str, name: str) -> str:
-    import re
-
-    return re.sub(rf"(?i)(\b(?:FROM|JOIN)\s+`?){name}\b`?", lambda m: m[1].rstrip("`") + "{" + name + "}", sql)
-
-
 def describe(spark: SparkSession, sf_dir: str, names: list[str] | None = None) -> DataFrame:
     """The catalogue: view, number of rows, and columns with their types."""
     out = None

@@ -134,22 +134,38 @@ def union_hits(public: DataFrame, private: DataFrame, top: int | None = None) ->
     return ranked if top is None else ranked.where(F.col("rank") <= top)
 
 
+MODES = ("vector", "bm25", "hybrid", "vector_rerank", "hybrid_rerank")
+
+
 def retrieve(queries: DataFrame, chunks: DataFrame, mode: str = "hybrid", top: int = 5, scores: DataFrame | None = None, pool: int = POOL) -> DataFrame:
     """Modes vector, bm25, hybrid, vector_rerank and hybrid_rerank over (query_id, text, embedding) and (chunk_id, text, embedding)."""
-    wide = pool if mode != "vector" and mode != "bm25" else top
-    vector = lambda: vector_top_k(queries, chunks, wide).withColumn("route_no", F.lit(0))
-    words = lambda: bm25(queries, chunks, wide).withColumn("route_no", F.lit(1))
-    if mode in ("vector", "vector_rerank"):
-        found = vector()
-    elif mode == "bm25":
-        found = words()
-    elif mode in ("hybrid", "hybrid_rerank"):
-        found = rrf(vector().unionByName(words()), top=pool if mode == "hybrid_rerank" else top)
-    else:
-        raise ValueError(f"unknown mode {mode!r}")
+    found = _pooled(queries, chunks, mode, top, pool)
     return rerank(found, scores, top) if mode.endswith("rerank") else found
 
 
+def _pooled(queries: DataFrame, chunks: DataFrame, mode: str, top: int, pool: int) -> DataFrame:
+    """What a mode finds before reranking: a single route's ``top``, or the fused routes' ``pool`` (``top`` if nothing follows)."""
+    if mode not in MODES:
+        raise ValueError(f"unknown mode {mode!r}")
+    last = pool if mode.endswith("rerank") else top
+    route, wide = mode.removesuffix("_rerank"), pool if mode.startswith("hybrid") else last
+    routes = []
+    if route in ("vector", "hybrid"):
+        routes.append(vector_top_k(queries, chunks, wide).withColumn("route_no", F.lit(0)))
+    if route in ("bm25", "hybrid"):
+        routes.append(bm25(queries, chunks, wide).withColumn("route_no", F.lit(1)))
+    return rrf(routes[0].unionByName(routes[1]), top=last) if len(routes) == 2 else routes[0]
+
+
+def retrieve_scoped(queries: DataFrame, public: DataFrame, private: DataFrame, scope: DataFrame, mode: str = "hybrid", top: int = 5, scores: DataFrame | None = None, pool: int = POOL) -> DataFrame:
+    """``retrieve`` over public chunks and those private ones that ``scope`` (kb_id, owner_id) permits: the private hits join
+    the public pool before reranking (or before the cut to ``top``), with their origin; the chunks of an empty scope are
+    none. Chunk ids of the two sources differ."""
+    found = [_pooled(queries, chunks, mode, top, pool) for chunks in (public, in_scope(private, scope))]
+    both = union_hits(*found, None if mode.endswith("rerank") else top)
+    return rerank(both, scores, top) if mode.endswith("rerank") else both
+
+
 def evidence_hits(ranked: DataFrame, chunks: DataFrame, evidence: DataFrame, share: float = 0.5) -> DataFrame:
     """(query_id, rank, ev_no): ranked chunks of the evidence's document that share a run of at least ``share`` of the
     quote. An equal run of that length exists exactly if one of the quote's grams of that length is in the chunk."""

@@ -142,7 +142,10 @@ def test_bounded_sql(spark):
     assert rows.count() == 4 and cut
     rows, cut = O.bounded_sql(spark, data, "SELECT f.fund_code FROM funds f JOIN share_classes s ON s.fund_code = f.fund_code", limit=3)
     assert rows.count() == 3 and not cut
-    for bad in ("DROP TABLE funds", "SELECT 1; SELECT 2", "SELECT * FROM secrets"):
+    nested = "WITH a AS (SELECT 'from secrets; drop' AS t, fund_code FROM `funds` -- FROM nowhere\n), b AS (WITH c AS (SELECT * FROM a) SELECT * FROM c) SELECT t, count(*) AS n FROM b /* JOIN x */ GROUP BY t"
+    assert O.read_tables(spark, nested) == {"funds"} and O.read_tables(spark, "SELECT 1 WHERE EXISTS (SELECT * FROM Fees, x.y)") == {"fees", "x.y"}
+    assert [r.t for r in O.bounded_sql(spark, data, nested)[0].collect()] == ["from secrets; drop"]
+    for bad in ("DROP TABLE funds", "SELECT 1; SELECT 2", "SELECT * FROM secrets", "INSERT INTO funds SELECT 1", f"SELECT * FROM parquet.`{data}/part.parquet`", "SET a = 1", "SELECT * FROM (SELECT * FROM secrets)", ""):
         with pytest.raises(ValueError):
             O.bounded_sql(spark, data, bad)
 
