@@ -43,7 +43,7 @@ def repetition_median(rows: DataFrame, keys: list[str], metrics: list[str]) -> D
 
 def costs(usage: DataFrame, prices: DataFrame) -> DataFrame:
     """Cost of token usage (model, peak, tokens_in, tokens_out) by a price list, a row a model and mode."""
-    rows = usage.join(F.broadcast(prices), ["model", "peak"])
+    rows = usage.join(prices, ["model", "peak"])  # broadcast by Spark if it is as small as it looks
     return rows.groupBy("model", "peak").agg(F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"), (F.sum(F.col("tokens_in") * F.col("price_in") + F.col("tokens_out") * F.col("price_out")) / 1e6).alias("cost"))
 
 

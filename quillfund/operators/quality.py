@@ -22,7 +22,7 @@ def nav_gaps(nav: DataFrame, calendar: DataFrame, as_of: str) -> DataFrame:
 def continuity(nav: DataFrame, calendar: DataFrame, as_of: str) -> DataFrame:
     """Per share: first, last, rows, gap days, late gaps, the first ten gaps, rows on days that are no trading days."""
     gaps = nav_gaps(nav, calendar, as_of).groupBy("share_code").agg(F.count(F.lit(1)).alias("gap_days"), F.count_if("late").alias("late_gaps"), F.array_join(F.slice(F.sort_array(F.collect_list("day")), 1, 10), ";").alias("first_gaps"))
-    off = nav.join(F.broadcast(calendar.select(F.col("day").alias("nav_date")).distinct()), "nav_date", "left_anti").groupBy("share_code").agg(F.count(F.lit(1)).alias("off_days"))
+    off = nav.join(calendar.select(F.col("day").alias("nav_date")).distinct(), "nav_date", "left_anti").groupBy("share_code").agg(F.count(F.lit(1)).alias("off_days"))
     rows = nav.groupBy("share_code").agg(F.min("nav_date").alias("first"), F.max("nav_date").alias("last"), F.count(F.lit(1)).alias("n"))
     return rows.join(gaps, "share_code", "left").join(off, "share_code", "left").fillna({"gap_days": 0, "late_gaps": 0, "first_gaps": "", "off_days": 0})
 

@@ -58,14 +58,15 @@ CONCEPTS = [
 # End of fixed values.
 
 
+#: Below a hundred: how many tens (one, if nothing stands before the sign) and how many ones.
+_TENS = re.compile(f"([{''.join(DIGITS)}]?)十([{''.join(DIGITS)}]?)")
+
+
 def _whole(word: str) -> str:
-    """A Chinese number as digits, or the word itself."""
-    if "十" not in word:
-        return "".join(str(DIGITS[c]) for c in word)
-    tens, ones = word.split("十", 1)
-    if len(tens) > 1 or len(ones) > 1:
-        return word
-    return str(10 * DIGITS.get(tens, 1) + DIGITS.get(ones, 0))
+    """A Chinese number as digits: signs without tens are read one by one; what is no number below a hundred stays."""
+    if m := _TENS.fullmatch(word):
+        return str((DIGITS[m[1]] if m[1] else 1) * 10 + (DIGITS[m[2]] if m[2] else 0))
+    return word if "十" in word else "".join(str(DIGITS[sign]) for sign in word)
 
 
 def _span(n: str, unit: str) -> str:
