@@ -84,10 +84,19 @@ def write_archives(pages: DataFrame, path: str, least_payload: int = LEAST_PAYLO
     found.select(records(found).alias("value")).write.option("lineSep", RECORD_END).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
+def whole_files(spark: SparkSession) -> SparkSession:
+    """A session that reads each file in one task, as a record can't be told from the middle of an archive. The text is still
+    streamed, so a task holds a batch of lines and not the file."""
+    session = spark.newSession()
+    for name in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
+        session.conf.set(name, str(1 << 60))
+    return session
+
+
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Records of the archives below ``path``: their headers (lower-case names) and block, from any writer that ends
-    records as the standard says. Broken records end the file's reading with an error."""
-    pieces = spark.read.option("lineSep", RECORD_END).text(path).select(F.col("value").cast("binary").alias("piece"), F.col("_metadata.file_path").alias("file"))
+    """Records of the archives below ``path``, compressed or not: their headers (lower-case names) and block, from any writer
+    that ends records as the standard says. A file is one task's work. Broken records end the file's reading with an error."""
+    pieces = whole_files(spark).read.option("lineSep", RECORD_END).text(path).select(F.col("value").cast("binary").alias("piece"), F.col("_metadata.file_path").alias("file"))
 
     def assemble(batches):
         end = RECORD_END.encode()

@@ -73,6 +73,20 @@ def test_reads_other_writers_and_refuses_cut_files(spark, tmp_path):
         read_archives(spark, str(tmp_path / "cut")).collect()
 
 
+def test_reads_plain_archives_of_many_splits(spark, tmp_path):
+    record = lambda k: b"WARC/1.0\r\nWARC-Type: resource\r\nX-Page-Id: %d\r\nContent-Length: 3000\r\n\r\n" % k + bytes([65 + k % 26]) * 2996 + b"\r\n\r\n\r\n\r\n"
+    for name in "ab":
+        (tmp_path / f"{name}.warc").write_bytes(b"".join(record(k) for k in range(300)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        rows = read_archives(spark, str(tmp_path))
+        got = Counter((int(r.headers["x-page-id"]), bytes(r.block[:1]), len(r.block)) for r in rows.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == Counter({(k, bytes([65 + k % 26]), 3000): 2 for k in range(300)})
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], PAGES)
     assert resolve(empty).count() == 0
