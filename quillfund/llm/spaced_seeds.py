@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillfund.llm.common import drop_rows, keyed, table, written
-from quillfund.llm.windows import mix, word_units
+from quillfund.llm.windows import mix, word_units, words_of_texts
 
 #: Places of a span that a seed reads.
 MASKS = ((0, 1, 2, 4, 5, 6), (0, 1, 5, 7, 8, 10), (0, 2, 3, 5, 9, 10))
@@ -38,6 +38,12 @@ def words_of(text: str) -> np.ndarray:
     return word_units(np.frombuffer(text.lower().encode("utf-8", "replace"), np.uint8), _BETWEEN)
 
 
+def words_of_batch(texts: list[str]) -> list[np.ndarray]:
+    """``words_of`` of each text."""
+    lowered = [np.frombuffer(text.lower().encode("utf-8", "replace"), np.uint8) for text in texts]
+    return [units for units, _, _ in words_of_texts(lowered, 0, _BETWEEN)]
+
+
 def seeds_of(words: np.ndarray, masks) -> list[tuple[np.ndarray, np.ndarray]]:
     """(hash, position) arrays for each mask."""
     found = []
@@ -126,8 +132,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, exact_seeds: int = EXACT_SEEDS)
         bitmap, exact = shared.value
         for batch in batches:
             rows, begins, regions, hits = [], [], [], []
-            for row, text in enumerate(batch.column(2).to_pylist()):
-                words = words_of(text)
+            for row, words in enumerate(words_of_batch(batch.column(2).to_pylist())):
                 if whole and 0 < len(words) < LEAST_WORDS:
                     rows.append(row)
                     begins.append(0)

@@ -113,9 +113,10 @@ def words_of(data: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray
     return np.ascontiguousarray(data[~between[data]]), np.concatenate([[0], np.cumsum(end - begin)]).astype(np.int64)
 
 
-def word_units(data: np.ndarray, between: np.ndarray = _SPACE, key: int = 0) -> np.ndarray:
-    """A 64-bit XXH3 of each word of UTF-8 text under ``key``; each distinct word is hashed once, told apart by its bytes."""
-    letters, offsets = words_of(data, between)
+def word_units(data: np.ndarray, between: np.ndarray = _SPACE, key: int = 0, words: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """A 64-bit XXH3 of each word of UTF-8 text under ``key``; each distinct word is hashed once, told apart by its bytes.
+    ``words``: what ``words_of`` gives, if it is known."""
+    letters, offsets = words or words_of(data, between)
     if len(offsets) < 2:
         return np.zeros(0, np.uint64)
     held = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(letters)]).dictionary_encode()
@@ -123,6 +124,21 @@ def word_units(data: np.ndarray, between: np.ndarray = _SPACE, key: int = 0) ->
     return np.array(hashes, np.uint64)[held.indices.to_numpy()]
 
 
+def words_of_texts(datas: list[np.ndarray], key: int, between: np.ndarray = _SPACE, most: int = 4 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``word_units`` and ``words_of`` of each text; texts of about ``most`` bytes share one table of distinct words."""
+    sizes = np.cumsum([len(d) for d in datas])
+    for group in np.split(np.arange(len(datas)), np.flatnonzero(np.diff(sizes // most)) + 1) if len(datas) else ():
+        own = [datas[k] for k in group]
+        gap = np.array([32], np.uint8)
+        data = np.concatenate([part for d in own for part in (d, gap)])
+        words = words_of(data, between)
+        units = word_units(data, key=key, words=words)
+        starts = np.concatenate([[0], np.cumsum([len(d) + 1 for d in own])])
+        cuts = np.searchsorted(word_bounds(data, between)[0], starts)
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            yield units[a:b], words[0], words[1][a : b + 1]
+
+
 def runs(units: np.ndarray, length: int, gram: int, content: np.ndarray, offsets: np.ndarray | None = None, key: int = 0) -> tuple[np.ndarray, ...]:
     """Runs of the windows of one document: first window, number of windows, key, text hash in two halves, loop mark.
 
@@ -169,12 +185,12 @@ def window_runs(docs: DataFrame, unit: str, length: int, gram: int, secret: int)
         for batch in batches:
             ids, ts = (batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "t"))
             rows, found = [], []
-            for row, data in enumerate(texts(batch, "text")):
-                if len(data) >= length:
-                    out = runs(byte_units(data), length, gram, data, None, secret) if unit == "byte" else runs(word_units(data, key=secret), length, gram, *words_of(data), secret)
-                    if len(out[0]):
-                        rows.append(np.full(len(out[0]), row))
-                        found.append(out)
+            held = texts(batch, "text")
+            parts = words_of_texts(held, secret) if unit == "word" else ((byte_units(data) if len(data) >= length else data, data, None) for data in held)
+            for row, (units, content, offsets) in enumerate(parts):
+                if len(units) >= length:
+                    found.append(runs(units, length, gram, content, offsets, secret))
+                    rows.append(np.full(len(found[-1][0]), row))
             if rows:
                 start, n, key, seg, twin, loop = (np.concatenate(column) for column in zip(*found, strict=True))
                 take = pa.array(np.concatenate(rows))
