@@ -6,55 +6,12 @@ Rows are told apart by ``(doc_id, text)``: ``keyed`` adds ``t``, the XXH64 of th
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Folders that this process has made in the shared folder, by application.
-_made: dict[str, list[str]] = {}
-
-#: A side table is broadcast only if its measured size is at most this; beyond it the join shuffles.
-BROADCAST_BYTES = 64 << 20
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a fresh local one if driver
-    and executors are one process, and an error on a cluster."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        path = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return path
-
-
-def clear_scratch(spark: SparkSession) -> int:
-    """Deletes the intermediate tables that this application has written so far; the number of folders. Call it when all
-    results that read them have been written: DataFrames are lazy, so nothing here can know."""
-    paths = _made.pop(spark.sparkContext.applicationId, [])
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    for path in paths:
-        where = hadoop.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    return len(paths)
-
+from quillfund.scratch import BROADCAST_BYTES, clear_scratch, scratch_path, shared_dir, written
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = scratch_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["BROADCAST_BYTES", "attach", "clear_scratch", "drop_rows", "fold", "keyed", "labelled", "scratch_path", "shared_dir", "table", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

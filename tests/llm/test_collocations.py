@@ -2,10 +2,10 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quillfund.llm import collocations as module
 from quillfund.llm.collocations import Summary, Words, collocations, cut_scores, survivors, tokenised
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -42,16 +42,34 @@ def rows():
     return out + [(1, None, "en", "s", 1), (2, "", "en", "s", 1), (3, "lone", "nothing", "s", 1), (4, "", "empty", "s", 1), (5, " ".join(["ha"] * 5000), "en", "s", 1)] + [(6, "red herring: RED  herring!", "fr", "s", 1)] * 7
 
 
-@pytest.mark.parametrize(("threshold", "top", "bound", "chunk"), [(3, 2000, 64 << 20, 8 << 20), (10, 5, 0, 50), (14, 2000, 0, 1)])
-def test_against_every_phrase(spark, monkeypatch, threshold, top, bound, chunk):
-    monkeypatch.setattr(module, "HELD", 64)
-    monkeypatch.setattr(tokenised, "__defaults__", (chunk,))
+@pytest.mark.parametrize(("threshold", "top", "bound"), [(3, 2000, 64 << 20), (10, 5, 0), (14, 2000, 0)])
+def test_against_every_phrase(spark, threshold, top, bound):
     docs = spark.createDataFrame(rows(), DOCS).withColumns({"phrase": F.lit("p"), "words": F.lit(1), "f": F.lit("x")})
     found = collocations(docs.repartition(5), threshold, top, bound=bound).collect()
     assert sorted(map(tuple, found)) == expected(rows(), threshold, top)
     assert found
 
 
+@pytest.mark.parametrize("chunk", [1, 7, 50, 1 << 20])
+def test_pieces_are_cut_nowhere_else(chunk):
+    """However texts are cut for tokenising, the same phrases are counted."""
+    own = [r for r in rows() if r[2] is not None]
+    batch = pa.RecordBatch.from_arrays([pa.array([r[2] for r in own]), pa.array([r[1] or "" for r in own])], ["lang", "text"])
+    found = Counter()
+    for lang, words in tokenised([batch], chunk):
+        for n in (1, 2, 3):
+            at = np.flatnonzero(words.inside(n))
+            if len(at):
+                phrases, counts = words.phrases(at, n)
+                found.update({(lang, p): c for p, c in zip(phrases.to_pylist(), counts.tolist(), strict=True)})
+    expected_counts = Counter()
+    for _, text, lang, _, _ in own:
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", (text or "").translate(LOWER)):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            expected_counts.update((lang, " ".join(w[i : i + k])) for k in (1, 2, 3) for i in range(len(w) - k + 1))
+    assert found == expected_counts
+
+
 def test_empty(spark):
     assert collocations(spark.createDataFrame([], DOCS)).collect() == []
     assert collocations(spark.createDataFrame([(1, None, None, None, None), (2, "a b", "en", "s", 1)], DOCS)).collect() == []
