@@ -38,6 +38,8 @@ PAIRS = 20_000
 #: Vectors of a list that a task compares; longer lists are split into pairs of blocks.
 BLOCK = 2048
 SEED = 20240229
+#: By how much more than a window's reach a query looks, relative and absolute; places have 24 bits.
+EDGE = 1e-4
 
 
 @dataclass(frozen=True)
@@ -109,8 +111,10 @@ def _compare(rows: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray, same: bo
     """Links between the rows ``a`` and ``b`` (the same rows: each pair once) that list ``name`` reports. Both are sorted
     by ``place``."""
     found = [(a[:0], a[:0])]
-    low = np.searchsorted(rows["place"][b], rows["place"][a] - plan.window)
-    high = np.searchsorted(rows["place"][b], rows["place"][a] + plan.window, side="right")
+    # A little wider than the window: ``collisions`` alone decides what lies inside, with the same rounding in every list.
+    reach = plan.window * (1 + EDGE) + EDGE
+    low = np.searchsorted(rows["place"][b], rows["place"][a].astype(np.float64) - reach)
+    high = np.searchsorted(rows["place"][b], rows["place"][a].astype(np.float64) + reach, side="right")
     if same:
         low = np.arange(1, len(a) + 1)
     size = np.maximum(0, high - low)
