@@ -20,6 +20,8 @@ from quillfund.streaming.ingest import DONE, MOVES
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Instances of the store, fixed for the life of a checkpoint; a cluster takes as many as it has cores for the stream.
+STATE_PARTITIONS = 8
 #: Failures of a batch that its row names.
 NAMED_FAILURES = 50
 STATUS = "doc_id string, status string, stale boolean"
@@ -108,17 +110,20 @@ def batch_progress(results: DataFrame) -> DataFrame:
 
 
 @contextmanager
-def rocksdb(spark: SparkSession) -> Iterator[None]:
-    """State variables and timers need this store."""
-    before = spark.conf.get(PROVIDER)
-    spark.conf.set(PROVIDER, ROCKSDB)
+def rocksdb(spark: SparkSession, partitions: int = STATE_PARTITIONS) -> Iterator[None]:
+    """State variables and timers need this store; keys are dealt to so many of its instances."""
+    wanted = {PROVIDER: ROCKSDB, "spark.sql.shuffle.partitions": str(partitions)}
+    before = {name: spark.conf.get(name) for name in wanted}
     try:
+        for name, value in wanted.items():
+            spark.conf.set(name, value)
         yield
     finally:
-        spark.conf.set(PROVIDER, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
-def replay(slices: list[DataFrame], build: Callable[[DataFrame], DataFrame], label: str) -> DataFrame:
+def replay(slices: list[DataFrame], build: Callable[[DataFrame], DataFrame], label: str, partitions: int = STATE_PARTITIONS) -> DataFrame:
     """What a stream gives out with its ``epoch``, if the slices arrive one after the other: each is added to the source's
     folder and the query is started again from its checkpoint, so state passes from run to run."""
     spark = slices[0].sparkSession
@@ -127,7 +132,7 @@ def replay(slices: list[DataFrame], build: Callable[[DataFrame], DataFrame], lab
     def keep(rows: DataFrame, epoch: int) -> None:
         rows.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")  # again with the same rows after a failure
 
-    with rocksdb(spark):
+    with rocksdb(spark, partitions):
         for part in slices:
             part.write.mode("append").parquet(source)
             stream = build(spark.readStream.schema(slices[0].schema).parquet(source))
