@@ -9,6 +9,8 @@ what is found there is joined with the items and verified word by word around th
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -38,10 +40,16 @@ def words_of(text: str) -> np.ndarray:
     return word_units(np.frombuffer(text.lower().encode("utf-8", "replace"), np.uint8), _BETWEEN)
 
 
-def words_of_batch(texts: list[str]) -> list[np.ndarray]:
-    """``words_of`` of each text."""
-    lowered = [np.frombuffer(text.lower().encode("utf-8", "replace"), np.uint8) for text in texts]
-    return [units for units, _, _ in words_of_texts(lowered, 0, _BETWEEN)]
+def words_of_batch(texts: list[str], most: int = 1 << 20) -> Iterator[np.ndarray]:
+    """``words_of`` of each text, with about ``most`` bytes in hand at once."""
+    held, size = [], 0
+    for text in texts:
+        held.append(np.frombuffer(text.lower().encode("utf-8", "replace"), np.uint8))
+        size += len(held[-1])
+        if size >= most:
+            yield from (units for units, _, _ in words_of_texts(held, 0, _BETWEEN, most))
+            held, size = [], 0
+    yield from (units for units, _, _ in words_of_texts(held, 0, _BETWEEN, most))
 
 
 def seeds_of(words: np.ndarray, masks) -> list[tuple[np.ndarray, np.ndarray]]:

@@ -124,7 +124,7 @@ def word_units(data: np.ndarray, between: np.ndarray = _SPACE, key: int = 0, wor
     return np.array(hashes, np.uint64)[held.indices.to_numpy()]
 
 
-def words_of_texts(datas: list[np.ndarray], key: int, between: np.ndarray = _SPACE, most: int = 4 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def words_of_texts(datas: list[np.ndarray], key: int, between: np.ndarray = _SPACE, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """``word_units`` and ``words_of`` of each text; texts of about ``most`` bytes share one table of distinct words."""
     sizes = np.cumsum([len(d) for d in datas])
     for group in np.split(np.arange(len(datas)), np.flatnonzero(np.diff(sizes // most)) + 1) if len(datas) else ():
