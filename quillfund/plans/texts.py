@@ -55,8 +55,7 @@ def scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers are knowledge bases, every tenth public; orders ask for their customer's and a public one, or for all."""
     bases = run(spark, sf_dir, "SELECT c_custkey AS kb_id, c_custkey % 100 AS owner_id, c_custkey % 10 = 0 AS public, c_custkey * 2 AS version FROM {customer}")
     asked = run(spark, sf_dir, "SELECT o_orderkey AS request_id, (o_custkey + CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END) % 100 AS owner_id, CASE WHEN o_orderkey % 4 = 0 THEN CAST(array() AS ARRAY<BIGINT>) ELSE array(o_custkey, 10 * (1 + o_orderkey % 9)) END AS requested FROM {orders}")
-    found = answers.resolve_scope(asked, bases)
-    return found.select("request_id", "denied", "include_public", F.array_join(F.transform("private", lambda b: F.concat_ws(":", b["kb_id"], b["version"])), ",").alias("private"))
+    return answers.resolve_scope(asked, bases, lambda private: F.array_join(F.transform(private, lambda b: F.concat_ws(":", b["kb_id"], b["version"])), ","))
 
 
 def keyword_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
