@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillfund.functions.columns import norm_code, share_class_of
 from quillfund.plans.views import oracle, run, view
+from quillfund.scratch import written
 
 
 def nav_gaps(nav: DataFrame, calendar: DataFrame, as_of: str) -> DataFrame:
@@ -36,12 +39,25 @@ def share_groups(shares: DataFrame) -> DataFrame:
 
 
 def compare_holdings(disclosed: DataFrame, stored: DataFrame, tolerance: float = 50.0) -> DataFrame:
-    """Disclosed rows against stored ones on the normalised code: the list of issues, and whether there are none."""
-    held = stored.select("fund_code", "report_period", norm_code(F.col("stock_code")).alias("code"), F.col("weight").alias("w"), F.col("shares").alias("s"), F.col("market_value").alias("v"), F.lit(True).alias("held"))
-    rows = disclosed.withColumn("code", norm_code(F.col("stock_code"))).join(held, ["fund_code", "report_period", "code"], "left")
-    far = lambda a, b: F.abs(F.col(a) - F.col(b)) > tolerance
-    issues = F.array_compact(F.array(F.when(F.col("held").isNull(), "missing"), F.when(F.col("weight") != F.col("w"), "weight"), F.when(far("shares", "s"), "shares"), F.when(far("market_value", "v"), "value")))
-    return rows.select("fund_code", "report_period", "stock_code", issues.alias("issues"), (F.size(issues) == 0).alias("consistent"))
+    """Disclosed rows against stored ones on the normalised code: the list of issues, and whether there are none. Rows of one
+    code (a code that is cut off or missing may stand for several) meet one to one: first those of equal weight, then the
+    others in order of weight."""
+    key = ["fund_code", "report_period", "code"]
+    numbered = lambda df, *by: df.withColumn("nth", F.row_number().over(Window.partitionBy(*key, *by).orderBy("weight", "shares", "market_value")))
+
+    def pair(left: DataFrame, right: DataFrame, *by: str) -> DataFrame:
+        on = [*key, *by, "nth"]
+        side = numbered(right, *by).select(F.lit(True).alias("held"), *[F.col(c).alias(f"_{c}") for c in [*dict.fromkeys([*on, "weight"]), "shares", "market_value"]])
+        return numbered(left, *by).join(side, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in on]), "full" if by else "left")
+
+    columns = ["fund_code", "report_period", "code", "weight", "shares", "market_value"]
+    first = pair(disclosed.withColumn("told", F.lit(True)).withColumn("code", norm_code(F.col("stock_code"))), stored.withColumn("code", norm_code(F.col("stock_code"))).select(*columns), "weight")
+    met = first.where("told AND held")
+    rest = pair(first.where("told AND held IS NULL").select(*columns, "stock_code"), first.where("told IS NULL").select(*[F.col(f"_{c}").alias(c) for c in columns]))
+    far = lambda c: F.abs(F.col(c) - F.col(f"_{c}")) > tolerance
+    issues = F.array_compact(F.array(F.when(F.col("held").isNull(), "missing"), F.when(F.col("weight") != F.col("_weight"), "weight"), F.when(far("shares"), "shares"), F.when(far("market_value"), "value")))
+    needed = [*columns, *(f"_{c}" for c in columns[3:]), "stock_code", "held"]
+    return met.select(*needed).unionByName(rest.select(*needed)).select("fund_code", "report_period", "stock_code", issues.alias("issues"), (F.size(issues) == 0).alias("consistent"))
 
 
 def compare_managers(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -132,8 +148,10 @@ def continuity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def holdings_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Top holdings against the same with every fifth value moved and every seventh row taken away."""
+    """Top holdings against the same with every fifth value moved and every seventh row taken away. Both sides read one table:
+    weights hold a sum of doubles, whose last bits change with the order of the rows when it is formed again."""
     stored = run(spark, sf_dir, "SELECT fund_code, report_period, stock_code, weight, 100.0E0 * rank_no AS shares, 1000.0E0 * rank_no AS market_value, rank_no FROM {holdings_top10}")
+    stored = written(stored, "holdings")
     told = stored.withColumn("shares", F.when(F.col("rank_no") % 5 == 0, F.col("shares") + 60).otherwise(F.col("shares") + 40))
     return compare_holdings(told, stored.where("rank_no <> 7")).select("fund_code", "report_period", "stock_code", F.array_join("issues", ",").alias("issues"), "consistent")
 

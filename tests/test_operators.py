@@ -200,3 +200,12 @@ def test_active_managers(spark):
     for days in (30, 366, 5000):
         assert sorted((r.fund_code, r.on, r.manager_name) for r in Q.active_managers(*frames, days).collect()) == expected
     assert Q.active_managers(frames[0].limit(0), frames[1]).count() == 0 and "NestedLoopJoin Inner" not in Q.active_managers(*frames)._jdf.queryExecution().toString()
+
+
+def test_holdings_of_one_code_meet_one_to_one(spark):
+    """Two rows with one code, and rows without a code: before, each met all of its code, or none."""
+    schema = "fund_code string, report_period string, stock_code string, weight double, shares double, market_value double"
+    rows = [("f", "q", "1", 0.3, 300.0, 1.0), ("f", "q", "1", 0.2, 700.0, 1.0), ("f", "q", None, 0.1, 5.0, 1.0), ("f", "q", "2", 0.1, 1.0, 1.0)]
+    held = [("f", "q", "1", 0.2, 700.0, 1.0), ("f", "q", None, 0.1, 100.0, 1.0), ("f", "q", "2", 0.4, 1.0, 90.0), ("f", "q", "3", 0.4, 1.0, 90.0)]
+    found = Q.compare_holdings(spark.createDataFrame(rows, schema), spark.createDataFrame(held, schema)).collect()
+    assert sorted((str(r.stock_code), r.issues, r.consistent) for r in found) == [("1", [], True), ("1", ["missing"], False), ("2", ["weight", "value"], False), ("None", ["shares"], False)]
