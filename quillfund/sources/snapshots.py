@@ -81,8 +81,9 @@ def read_jsonl(spark: SparkSession, path: str, ddl: str) -> DataFrame:
 MANIFEST = "documents array<struct<doc_id:string,fund_code:string,doc_type:string,period:string,path:string,sha256:string,extract:struct<ok:boolean>>>"
 
 
-def read_manifest(spark: SparkSession, path: str, doc_ids: list[str] | None = None) -> DataFrame:
-    rows = spark.read.schema(MANIFEST).option("multiLine", True).json(path).select(F.explode("documents").alias("d")).select("d.*").where("extract.ok")
+def read_manifest(spark: SparkSession, path: str, doc_ids: list[str] | None = None, lines: bool = False) -> DataFrame:
+    """The usable documents of manifests: a file each, or with ``lines`` a line each, so that files can hold many."""
+    rows = spark.read.schema(MANIFEST).option("multiLine", not lines).json(path).select(F.explode("documents").alias("d")).select("d.*").where("extract.ok")
     return rows.where(F.col("doc_id").isin(doc_ids)) if doc_ids else rows
 
 

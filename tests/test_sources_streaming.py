@@ -107,6 +107,8 @@ def test_manifest_and_dumps(spark, tmp_path):
     (tmp_path / "m.json").write_text(json.dumps(manifest, indent=1))
     assert [r.doc_id for r in S.read_manifest(spark, str(tmp_path / "m.json")).collect()] == ["a", "c"]
     assert [r.doc_id for r in S.read_manifest(spark, str(tmp_path / "m.json"), ["c"]).collect()] == ["c"]
+    (tmp_path / "lines.json").write_text(f"{json.dumps(manifest)}\n" * 2)
+    assert [r.doc_id for r in S.read_manifest(spark, str(tmp_path / "lines.json"), lines=True).collect()] == ["a", "c"] * 2
     (tmp_path / "items.jsonl").write_text('{"id": 1, "evidence": [{"doc_id": "d"}]}\n{"id": 2}\n')
     assert S.read_jsonl(spark, str(tmp_path / "items.jsonl"), "id int, evidence array<struct<doc_id:string>>").where("size(evidence) > 0").count() == 1
     sample = 'jdk.ExecutionSample {\n  startTime = 12:00:%02d.1\n  stackTrace = [\n    a.B.c() line: 1\n    d.E.f(int) line: 2\n  ]\n}\n'
