@@ -91,9 +91,10 @@ def join_continuations(rows: DataFrame) -> DataFrame:
     """Table rows (doc, row_no, cells): a non-empty row with an empty first cell continues the row before it."""
     w = Window.partitionBy("doc").orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0)
     island = F.sum(F.when((F.get("cells", F.lit(0)) != "") | (F.array_join("cells", "") == ""), 1).otherwise(0)).over(w)
-    cells = rows.withColumn("island", island).select("doc", "island", "row_no", F.posexplode("cells").alias("place", "cell"))
-    joined = cells.groupBy("doc", "island", "place").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_no", "cell"))), lambda s: s["cell"]), "").alias("cell"))
-    return joined.groupBy("doc", "island").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "cell"))), lambda s: s["cell"]).alias("cells"))
+    lists = rows.withColumn("island", island).groupBy("doc", "island").agg(F.transform(F.array_sort(F.collect_list(F.struct("row_no", "cells"))), lambda s: s["cells"]).alias("lists"))
+    places = F.sequence(F.lit(0), F.array_max(F.transform("lists", F.size)) - 1)
+    joined = F.transform(places, lambda k: F.array_join(F.transform("lists", lambda r: F.get(r, k)), ""))
+    return lists.where(F.exists("lists", lambda r: F.size(r) > 0)).select("doc", "island", joined.alias("cells"))
 
 
 def latest_announcement(matches: DataFrame) -> DataFrame:

@@ -237,3 +237,10 @@ def test_search_forms_no_pair_in_a_row(spark):
     assert got == {q: [best[q] + 3 * j for j in range(4)] for q in range(3)}
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "BroadcastHashJoin [size" not in plan
+
+
+def test_continuations_make_no_row_of_a_cell(spark):
+    rows = spark.createDataFrame([("d", 1, ["a", "b"]), ("d", 2, ["", None, "x"]), ("d", 3, []), ("d", 4, ["", "y"]), ("e", 1, [])], "doc string, row_no int, cells array<string>")
+    found = Q.join_continuations(rows)
+    assert "posexplode" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.doc, r.cells) for r in found.collect()) == [("d", ["", "y"]), ("d", ["a", "b", "x"])]
