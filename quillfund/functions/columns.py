@@ -259,13 +259,23 @@ def markdown_table(rows: Column) -> Column:
     """Rows of cells (array of arrays) as a Markdown table with the first row as header. White space in cells goes, bars are
     escaped, rows and columns without content are left out and short rows filled up; no content gives an empty text."""
     clean = lambda c: F.replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", ""), F.lit("|"), F.lit("\\|"))
+    # A value that is used in a function of each row is formed once, as an argument; as a plain column it would be formed
+    # again for every row.
+    once = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
+
+    def places(grid: Column) -> Column:
+        width = F.coalesce(F.array_max(F.transform(grid, F.size)), F.lit(0))
+        filled = lambda k: F.exists(grid, lambda r: F.coalesce(F.get(r, k), F.lit("")) != "")
+        return F.filter(F.sequence(F.lit(0), F.greatest(width - 1, F.lit(0))), filled)
+
+    def text(grid: Column, kept: Column) -> Column:
+        line = lambda r: F.concat(F.lit("| "), F.array_join(F.transform(kept, lambda k: F.coalesce(F.get(r, k), F.lit(""))), " | "), F.lit(" |"))
+        rule = F.concat(F.lit("|"), F.repeat(F.lit("---|"), F.size(kept)))
+        table = lambda lines: F.array_join(F.concat(F.slice(lines, 1, 1), F.array(rule), F.slice(lines, F.lit(2), F.size(lines))), "\n")
+        return F.when(F.size(grid) > 0, once(F.transform(grid, line), table)).otherwise("")
+
     grid = F.filter(F.transform(rows, lambda r: F.transform(r, clean)), lambda r: F.array_join(r, "") != "")
-    width = F.coalesce(F.array_max(F.transform(grid, F.size)), F.lit(0))
-    places = F.filter(F.sequence(F.lit(0), F.greatest(width - 1, F.lit(0))), lambda k: F.exists(grid, lambda r: F.coalesce(F.get(r, k), F.lit("")) != ""))
-    line = lambda r: F.concat(F.lit("| "), F.array_join(F.transform(places, lambda k: F.coalesce(F.get(r, k), F.lit(""))), " | "), F.lit(" |"))
-    lines = F.transform(grid, line)
-    rule = F.concat(F.lit("|"), F.repeat(F.lit("---|"), F.size(places)))
-    return F.when(F.size(grid) > 0, F.array_join(F.concat(F.slice(lines, 1, 1), F.array(rule), F.slice(lines, F.lit(2), F.size(lines))), "\n")).otherwise("")
+    return once(grid, lambda g: once(places(g), lambda kept: text(g, kept)))
 
 
 QUERIES = {"p_parsers": _parse_query, "p_text_norms": _text_query, "c6_text_blocks": _text_docs_query}

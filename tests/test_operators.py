@@ -244,3 +244,11 @@ def test_continuations_make_no_row_of_a_cell(spark):
     found = Q.join_continuations(rows)
     assert "posexplode" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert sorted((r.doc, r.cells) for r in found.collect()) == [("d", ["", "y"]), ("d", ["a", "b", "x"])]
+
+
+def test_tables_form_their_grid_once(spark):
+    """Before, the cleaned grid stood many times in the expression and was formed again for every row and column."""
+    rows = spark.createDataFrame([([["a |b", None, " "], ["", ""], ["c", "", "d"], ["e"]],), ([],), (None,)], "rows array<array<string>>")
+    found = rows.select(C.markdown_table(F.col("rows")).alias("t"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
+    assert [r.t for r in found.collect()] == ["| a\\|b |  |\n|---|---|\n| c | d |\n| e |  |", "", ""]
