@@ -45,6 +45,63 @@ def test_batches_name_their_first_failures(spark):
     assert [r.state for r in told if r.batch_id == "c"] == ["RUNNING", "COMPLETED", "COMPLETED"]
 
 
+class Store:
+    """A map variable and a value variable of one key, with the number of calls."""
+
+    def __init__(self):
+        self.rows, self.value, self.calls = {}, None, 0
+
+    def getMapState(self, *_):
+        return self
+
+    getValueState = getMapState
+
+    def getValue(self, key):
+        self.calls += 1
+        return self.rows.get(key)
+
+    def updateValue(self, key, row):
+        self.calls += 1
+        self.rows[key] = row
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+
+def test_entries_of_a_key_spread_over_rows(monkeypatch):
+    monkeypatch.setattr(states, "ROW_ENTRIES", 100)
+    store, expected = Store(), {}
+    for batch in ([("a", k) for k in range(30)], [(None, k) for k in range(5000)], [("a", k) for k in range(20, 60)], [("\x00é", 7)]):
+        entries = states.Entries(store, "e", parts=2)
+        entries.open(batch)
+        for name in batch:
+            assert entries.get(name) == expected.get(name)
+            expected[name] = [len(expected), None]
+            entries.put(name, expected[name])
+        entries.close()
+    assert {tuple(e[:2]): e[2:] for row in store.rows.values() for e in json.loads(row[0])} == expected
+    assert len(store.rows) == 64 and max(len(json.loads(row[0])) for row in store.rows.values()) < 200
+    assert store.calls < 300  # not one for each entry
+
+
+def test_tasks_of_a_batch_take_few_rows_of_the_store(spark, tmp_path):
+    source = str(tmp_path / "in")
+    planned = "SELECT concat('b', id % 3) AS batch_id, id AS task_id, -1L AS seq, 'PENDING' AS status FROM range(30000)"
+    spark.sql(planned + " UNION ALL SELECT 'b0', id * 3, id, if(id % 2 = 0, 'FAILED', 'ODD') FROM range(9000) UNION ALL SELECT 'c', NULL, 1L, 'PENDING'").write.parquet(source)
+    told = []
+    with states.rocksdb(spark):
+        stream = states.batch_progress(spark.readStream.schema("batch_id string, task_id long, seq long, status string").parquet(source))
+        query = stream.writeStream.outputMode("update").foreachBatch(lambda df, _: told.extend(df.collect())).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        query.awaitTermination()
+    got = {r.batch_id: (r.pending, r.failed, r.state) for r in told}
+    assert got == {"b0": (5500, 4500, "RUNNING"), "b1": (10000, 0, "RUNNING"), "b2": (10000, 0, "RUNNING"), "c": (0, 0, "COMPLETED")}
+    assert [r.failures for r in told if r.batch_id == "b0"] == [[str(6 * k) for k in range(50)]]
+    assert sum(p["numRowsTotal"] for q in query.recentProgress for p in q["stateOperators"]) < 100  # one for each task before
+
+
 def requests(spark, *docs):
     return spark.createDataFrame([(json.dumps({"schema": 1, "batch_id": "b", "task_id": task, "doc_id": doc, "file_path": "f", "sha256": sha, "doc_type": "t"}),) for task, doc, sha in docs], "value string")
 
