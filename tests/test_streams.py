@@ -45,6 +45,35 @@ def test_batches_name_their_first_failures(spark):
     assert [r.state for r in told if r.batch_id == "c"] == ["RUNNING", "COMPLETED", "COMPLETED"]
 
 
+def test_stale_documents_of_one_bucket(spark, monkeypatch):
+    """Documents that share a timer fail at their own times, and only those that are due."""
+    monkeypatch.setattr(states, "BUCKETS", 1)
+    slices = [
+        [("a", 1, "PROCESSING", at(0)), ("b", 2, "PROCESSING", at(5)), ("c", 3, "ODD", at(9)), ("d", 4, "PROCESSING", at(1)), ("d", 5, "READY", at(2))],
+        [("a", 6, "ODD", at(12)), ("z", 7, "PROCESSING", at(35))],  # the timer rings for a, which has moved on; b is just due
+        [("z", 8, "READY", at(41))],  # c is due
+        [("z", 9, "ODD", at(43))],  # a is due
+        [("z", 10, "ODD", at(50))],
+    ]
+    told = states.replay([spark.createDataFrame(rows, EVENTS) for rows in slices], lambda df: states.document_states(df, 30 * 60_000), "shared").orderBy("epoch").collect()
+    stale = [r for r in told if r.stale]
+    assert [(r.doc_id, r.status) for r in stale] == [("b", "FAILED"), ("c", "FAILED"), ("a", "FAILED")]
+    assert len({r.epoch for r in stale}) == 3
+    assert {r.doc_id: r.status for r in told if not r.stale} == {"a": "PROCESSING", "b": "PROCESSING", "c": "PENDING", "d": "READY", "z": "READY"}
+
+
+def test_documents_share_rows_of_the_store(spark, tmp_path):
+    source = str(tmp_path / "in")
+    spark.sql("SELECT concat('d', id % 20000) AS doc_id, id AS seq, if(id < 20000, 'PROCESSING', if(id % 2 = 0, 'READY', 'ODD')) AS status FROM range(40000)").write.parquet(source)
+    told = []
+    with states.rocksdb(spark):
+        stream = states.document_states(spark.readStream.schema("doc_id string, seq long, status string").parquet(source))
+        query = stream.writeStream.outputMode("update").foreachBatch(lambda df, _: told.extend(df.groupBy("status").count().collect())).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        query.awaitTermination()
+    assert {r["status"]: r["count"] for r in told} == {"READY": 10000, "PROCESSING": 10000}
+    assert sum(p["numRowsTotal"] for q in query.recentProgress for p in q["stateOperators"]) < 10000  # one for each document before
+
+
 class Store:
     """A map variable and a value variable of one key, with the number of calls."""
 
